@@ -10,14 +10,28 @@ from pyspark.sql import functions as F
 from cairn.llm._common import read_table
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.fingerprints import compare_with_edit_and_next
+
+    return compare_with_edit_and_next(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.token_counts import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.language_id import held_out, identify, train
+
+    documents = read_table(spark, sf_dir, "documents")
+    out = identify(documents, train(documents))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts,)}
+    return {f.__name__: f for f in (op2_fingerprints, op6_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
