@@ -43,6 +43,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.language_id import held_out, identify, train
 
@@ -52,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_fingerprints, op6_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_topk, op2_fingerprints, op6_token_counts, op8_near_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
