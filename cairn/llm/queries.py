@@ -37,6 +37,14 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit_and_next(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.quality import graded, score, train
+
+    documents = read_table(spark, sf_dir, "documents")
+    out = score(documents, train(documents, graded(read_table(spark, sf_dir, "labels"))))
+    return out.withColumn("kept", F.col("p_top") >= 0.5)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.token_counts import count_tokens
 
@@ -49,6 +57,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.line_dedup import drop_recurring_lines
+
+    out = drop_recurring_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "lines_dropped", "text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.language_id import held_out, identify, train
 
@@ -58,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_fingerprints, op6_token_counts, op8_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_topk, op2_fingerprints, op4_quality, op6_token_counts, op8_near_dedup, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
