@@ -53,3 +53,8 @@ def unit_hash(*cols, seed: int = 0) -> F.Column:
     """A uniform double in [0, 1) that depends on the columns' values and the seed only."""
     bits = F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11)
     return bits.cast("double") * F.lit(2.0**-53)
+
+
+def small_or_not(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A materialised frame with a broadcast hint where it has at most ``most`` rows; as it is, for a shuffled join, beyond."""
+    return F.broadcast(df) if df.count() <= most else df

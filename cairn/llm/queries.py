@@ -37,6 +37,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit_and_next(read_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"), repetition=2.0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.quality import graded, score, train
 
@@ -51,6 +57,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.near_dedup import near_duplicates
 
@@ -73,7 +85,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_fingerprints, op4_quality, op6_token_counts, op8_near_dedup, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_topk, op2_fingerprints, op3_mixing, op4_quality, op6_token_counts, op7_packing, op8_near_dedup, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
