@@ -51,6 +51,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("p_top") >= 0.5)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.html_text import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.token_counts import count_tokens
 
@@ -85,7 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_fingerprints, op3_mixing, op4_quality, op6_token_counts, op7_packing, op8_near_dedup, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_topk, op2_fingerprints, op3_mixing, op4_quality, op5_html_text, op6_token_counts, op7_packing, op8_near_dedup, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
