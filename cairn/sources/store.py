@@ -1,7 +1,7 @@
 """A versioned key-value store on sorted Parquet runs with a manifest.
 
-Layout under the root: ``log/<n>`` (appended changes not yet in a run),
-``runs/<n>`` (sorted runs), ``queue/<n>`` (puts and acknowledgements for
+Layout under the root: ``log/`` (appended changes not yet in a run),
+``runs/`` (sorted runs), ``queue/`` (puts and acknowledgements for
 replicas) and ``manifest-<version>.json``.  A change is visible once a manifest
 names it.  A manifest is written under a temporary name and renamed, and the
 rename fails where the version exists, so commits are atomic and a second writer
@@ -14,6 +14,7 @@ All data moves as DataFrames; the driver handles file names only.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,11 +95,16 @@ class KeyValueStore:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*[f"{self.root}/{p}" for p in parts])
 
+    @staticmethod
+    def _name(kind: str, manifest: Manifest) -> str:
+        """A new data folder; no other writer's, whoever commits first."""
+        return f"{kind}/{manifest.next_file:06d}-{uuid.uuid4().hex[:8]}"
+
     # writes
 
     def _append(self, changes: DataFrame, queued: bool) -> None:
         new = self._next()
-        part = f"log/{new.next_file:06d}"
+        part = self._name("log", new)
         # rows keep the order of ``seq`` where the batch has one, and get numbers after all earlier ones
         order = F.col("seq") if "seq" in changes.columns else F.monotonically_increasing_id()
         base = changes.withColumn("seq", order + F.lit(new.next_seq))
@@ -111,7 +117,7 @@ class KeyValueStore:
         new.log.append(part)
         new.writes += n
         if queued:
-            queue = f"queue/{self.manifest.next_file:06d}"
+            queue = part.replace("log/", "queue/")
             written.where(~F.col("deleted")).write.parquet(f"{self.root}/{queue}")
             new.queue.append(queue)
         self._commit(new)
@@ -186,7 +192,7 @@ class KeyValueStore:
         new = self._next()
         if not new.log:
             return
-        part = f"runs/{new.next_file:06d}"
+        part = self._name("runs", new)
         if self._write_run(lww.latest(self._frame(new.log)), part):
             new.runs.insert(0, part)
             new.next_file += 1
@@ -200,7 +206,7 @@ class KeyValueStore:
         new = self._next()
         if len(new.runs) < 2:
             return
-        part = f"runs/{new.next_file:06d}"
+        part = self._name("runs", new)
         merged = lww.live(self._frame(new.runs)).select("key", "seq", "value", F.lit(False).alias("deleted"))
         old, new.runs = new.runs, []
         if self._write_run(merged, part):
@@ -225,7 +231,7 @@ class KeyValueStore:
         status = self.spark.createDataFrame(replication.ack_status(self.pending(), acks).toArrow())
         done = self.pending().join(acks.select("key", "value").distinct(), ["key", "value"], "left_semi").select("key", "seq", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("deleted"))
         new = self._next()
-        part = f"queue/{new.next_file:06d}"
+        part = self._name("queue", new)
         done.write.parquet(f"{self.root}/{part}")
         new.next_file += 1
         new.queue.append(part)

@@ -1,0 +1,178 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.functions import codec
+from cairn.functions.codec import Record
+from cairn.operators import lww, metrics, replication, ring
+from cairn.sources import files
+from cairn.sources.store import Closed, Conflict, KeyValueStore, ReadOnly
+from cairn.streaming import streams
+
+
+def test_record_bytes(spark, log):
+    hexes = [r[0] for r in log(("ab", "xyz"), ("ab", None, True), ("", "")).select(codec.record_hex(F.col("key"), F.col("value"), F.col("deleted"))).collect()]
+    assert hexes == ["00000000026162000000000000000378797A", "010000000261620000000000000000", "00000000000000000000000000"]
+    assert bytes.fromhex(hexes[0]) == codec.encode_record(Record(b"ab", b"xyz", False))
+
+
+@pytest.mark.parametrize("tail", [b"\x00\x00\x00\x00\x0a", codec.encode_record(Record(b"k2", b"partial", False))[:-3], b"\x00"])
+def test_a_torn_tail_is_left_out(tail):
+    good = codec.encode_record(Record(b"good", b"value", False))
+    assert [r for _, r in codec.decode_records(good + tail)] == [Record(b"good", b"value", False)]
+    assert codec.complete_length(good + tail) == len(good)
+
+
+def test_log_files_keep_order_and_versions(spark, log, tmp_path):
+    changes = log(("k", "v1"), ("k", "v2"), ("d", None, True), ("empty", ""), ("k", "v3"))
+    uri = f"file://{tmp_path}/wal"
+    files.write_wal(changes.coalesce(1), uri)
+    got = [(bytes(r["key"]), None if r["value"] is None else bytes(r["value"]), r["deleted"]) for r in files.read_wal(spark, uri).orderBy("pos").collect()]
+    assert got == [(b"k", b"v1", False), (b"k", b"v2", False), (b"d", None, True), (b"empty", b"", False), (b"k", b"v3", False)]
+    assert not list((tmp_path / "wal").glob("*.tmp"))
+
+
+def test_table_file_round_trip(spark):
+    entries = [Record(f"key-{i:04d}".encode(), None if i % 50 == 0 else f"value-{i:04d}".encode(), i % 50 == 0) for i in range(500)]
+    table = files.decode_table(files.encode_table(entries))
+    assert list(table.rows()) == entries
+    assert len(table.blocks) == 4 and (table.min_key, table.max_key) == (b"key-0000", b"key-0499")
+    assert table.get(b"key-0007") == entries[7] and table.get(b"key-0050").deleted
+    assert table.get(b"key-0007x") is None and table.get(b"a") is None and table.get(b"z") is None
+
+
+def test_table_file_errors():
+    with pytest.raises(ValueError):
+        files.encode_table([])
+    data = files.encode_table([Record(b"a", b"1", False)])
+    for cut in (data[:10], data[40:], data[:-40]):
+        with pytest.raises(ValueError):
+            list(files.decode_table(cut).rows())
+
+
+def test_block_index_has_the_blocks_of_the_file(spark):
+    rows = [(1, f"k-{i:05d}", b"v") for i in range(1000)]
+    index = files.block_index(spark.createDataFrame(rows, "run int, key string, value binary")).orderBy("block").collect()
+    table = files.decode_table(files.encode_table([Record(k.encode(), v, False) for _, k, v in rows]))
+    assert [(r["first_key"].encode(), r["offset"], r["length"]) for r in index] == [(b.first_key, b.offset, b.length) for b in table.blocks]
+    assert len(index) == 6 and sum(r["entries"] for r in index) == 1000
+
+
+def test_one_huge_entry_is_a_block_of_its_own():
+    assert list(files.cut_blocks([10_000, 10])) == [(1, 10_004), (1, 14)]
+
+
+def kv(spark, *rows):
+    return spark.createDataFrame([(k, v.encode()) for k, v in rows], "key string, value binary")
+
+
+def keys(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "key string")
+
+
+def test_store_life(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    store = KeyValueStore(spark, root)
+    store.flush()
+    assert store.manifest.runs == []
+    store.put(kv(spark, ("a", "1"), ("b", "2")))
+    store.put(kv(spark, ("a", "3"), ("empty", "")))
+    store.delete(keys(spark, "b", "never"))
+    assert store.get_one("a") == b"3" and store.get_one("b") is None and store.get_one("empty") == b""
+    store.flush()
+    assert len(store.manifest.runs) == 1 and not store.manifest.log
+    again = KeyValueStore(spark, root)
+    assert {r["key"] for r in again.scan().collect()} == {"a", "empty"} and again.key_count() == 2
+    again.put(kv(spark, ("b", "back")))
+    assert again.get_one("b") == b"back"
+    with pytest.raises(Conflict):
+        store.put(kv(spark, ("c", "late")))
+    seen = []
+    again.foreach(lambda k, v: seen.append(k) or len(seen) < 2)
+    assert seen == ["a", "b"]
+    again.close()
+    with pytest.raises(Closed):
+        again.put(kv(spark, ("x", "y")))
+
+
+def test_store_merges_at_four_runs_and_drops_tombstones(spark, tmp_path):
+    store = KeyValueStore(spark, f"file://{tmp_path}/store")
+    store.put(kv(spark, ("target", "v1"), ("doomed", "x")))
+    store.flush()
+    store.put(kv(spark, ("target", "v2")))
+    store.flush()
+    store.delete(keys(spark, "doomed"))
+    store.flush()
+    assert len(store.manifest.runs) == 3 and store.get_one("doomed") is None
+    store.put(kv(spark, ("pad", "p")))
+    store.flush()
+    assert len(store.manifest.runs) == 1
+    assert {r["key"]: bytes(r["value"]) for r in store.changes().collect()} == {"target": b"v2", "pad": b"p"}
+    assert len(list((tmp_path / "store" / "runs").iterdir())) == 1
+
+
+def test_store_with_nothing_left(spark, tmp_path):
+    store = KeyValueStore(spark, f"file://{tmp_path}/store")
+    store.put(kv(spark, ("a", "1")))
+    store.flush()
+    store.delete(keys(spark, "a"))
+    store.flush()
+    store.compact()
+    assert store.manifest.runs == [] and store.key_count() == 0
+
+
+def test_read_only_store_takes_replicated_puts(spark, tmp_path):
+    store = KeyValueStore(spark, f"file://{tmp_path}/store", read_only=True)
+    for write in (lambda: store.put(kv(spark, ("a", "1"))), lambda: store.delete(keys(spark, "a")), store.purge, lambda: store.delete_where(F.lit(True))):
+        with pytest.raises(ReadOnly):
+            write()
+    store.put_on_replica(kv(spark, ("a", "1")))
+    assert store.get_one("a") == b"1" and store.next_pending().isEmpty()
+
+
+def test_store_replication_and_purge(spark, tmp_path):
+    shards = [ring.Shard("A", 0, ""), ring.Shard("B", 1, ""), ring.Shard("C", 2, "")]
+    store = KeyValueStore(spark, f"file://{tmp_path}/store", shards=shards, current=1)
+    store.put(kv(spark, ("foo", "1"), ("", "empty key"), ("hello", "2")))
+    store.put(kv(spark, ("foo", "3")))
+    assert store.next_pending().first()["key"] == ""
+    status = {r["key"]: r["status"] for r in store.ack(kv(spark, ("foo", "1"), ("", "empty key"), ("none", "x"))).collect()}
+    assert status == {"foo": "mismatch", "": "ok", "none": "missing"}
+    assert {r["key"] for r in store.pending().collect()} == {"foo", "hello"}
+    store.put(kv(spark, ("", "again")))
+    assert store.next_pending().first()["key"] == ""
+    store.purge()
+    assert {r["key"] for r in store.scan().collect()} == {"", "foo"}
+    assert store.metrics("B").first()["key_count"] == 2
+
+
+def test_acks_and_messages(spark, log):
+    queue = replication.pending(log(("b", "2"), ("a", "1"), ("b", "3"), ("d", None, True)))
+    assert [r["key"] for r in queue.orderBy("key").collect()] == ["a", "b"]
+    assert json.loads(replication.message(queue).where("key = 'b'").first()["message"]) == {"Key": "b", "Value": "3", "Err": None}
+    left = replication.pending(log(("b", "2"), ("a", "1"), ("b", "3")), kv(spark, ("b", "2"), ("a", "1")))
+    assert [r["key"] for r in left.collect()] == ["b"]
+
+
+def test_metrics(spark):
+    data = [(i, op, failed) for i, (op, failed) in enumerate([("get", False), ("get", True), ("set", False), ("get", False)])]
+    requests = spark.createDataFrame(data, "s int, op string, failed boolean").select(F.timestamp_seconds("s").alias("ts"), "op", "failed")
+    snap = metrics.snapshot(requests, spark.createDataFrame([(7,)], "key_count long"), "A", 0)
+    assert snap.first().asDict() == {"reads": 3, "writes": 1, "errors": 1, "key_count": 7, "shard_name": "A", "shard_idx": 0}
+    assert json.loads(metrics.snapshot_json(snap).first()[0])["reads"] == 3
+    assert [(r["reads"], r["writes"]) for r in metrics.samples(requests).orderBy("sample").collect()] == [(2, 0), (3, 1)]
+    assert len(metrics.samples(requests, kept=1).collect()) == 1
+
+
+def test_streams_take_late_changes_and_restarts(spark, log, tmp_path):
+    changes = log(("a", "1"), ("b", "1"), ("a", "2"), ("b", None, True), ("c", "1"))
+    source, out = str(tmp_path / "in"), f"file://{tmp_path}/out"
+    for i, part in enumerate([[5, 3], [4, 1], [2]]):  # out of order, over three runs of the stream
+        changes.where(F.col("seq").isin(part)).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(lww.CHANGE).parquet(source)
+        streams.write_latest(stream, out, f"{tmp_path}/checkpoint").awaitTermination()
+    assert {r["key"]: bytes(r["value"]) for r in streams.read_latest(spark, out).collect()} == {"a": b"2", "c": b"1"}
+    stream = spark.readStream.schema(lww.CHANGE).parquet(source)
+    streams.replicate(stream, f"{out}2", f"{tmp_path}/checkpoint2").awaitTermination()
+    assert {r["key"] for r in streams.read_latest(spark, f"{out}2").collect()} == {"a", "b", "c"}
