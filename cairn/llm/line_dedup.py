@@ -23,15 +23,16 @@ Other columns pass through unchanged.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import materialise
+from cairn.llm._common import arrow_map, materialise
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -43,6 +44,8 @@ PART = 20_000
 PLACES = 1 << 20
 VARIABLE = "\x00"
 
+_DIGITS = re.compile("[0-9]+")
+
 
 class Leaf:
     """The templates of one leaf.  All lines have the same number of tokens."""
@@ -94,9 +97,59 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _normal(line: Column) -> Column:
-    one_blank = F.trim(F.regexp_replace(F.translate(line, "\t\r\x0b\x0c\x00", "     "), " {2,}", " "))
-    return F.regexp_replace(F.translate(one_blank, "123456789", "000000000"), "0{2,}", "0")
+def _normal(line: str) -> list[str]:
+    """A line's tokens; runs of digits are one 0."""
+    tokens = line.split()
+    return _DIGITS.sub("0", " ".join(tokens)).split(" ") if _DIGITS.search(line) else tokens
+
+
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def _leaf(tokens: list[str]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest("\n".join(tokens[:DEPTH]).encode("utf-8", "surrogatepass"), len(tokens)))
+
+
+def _line_id(tokens: list[str]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass")))
+
+
+def _place(leaf: int) -> int:
+    return leaf % PLACES
+
+
+def _places_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(key, digest, text) -> (key, digest, pos, leaf, line_id) of every line that counts."""
+    take, pos, leaf, line = [], [], [], []
+    for i, text in enumerate(batch.column(2).to_pylist()):
+        for p, raw in enumerate(text.split("\n")):
+            tokens = _normal(raw)
+            if len(tokens) >= MIN_TOKENS:
+                take.append(i)
+                pos.append(p)
+                leaf.append(_leaf(tokens))
+                line.append(_line_id(tokens))
+    picked = pa.array(take, pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64())], ["key", "digest", "pos", "leaf", "line_id"])
+
+
+def _lines_in(texts: list[str], wanted: np.ndarray) -> pa.RecordBatch:
+    """The lines of leaves whose places are ``wanted``: (leaf, line_id, line, times)."""
+    times: dict[str, int] = {}
+    leaves: dict[str, int] = {}
+    for text in texts:
+        for raw in text.split("\n"):
+            tokens = _normal(raw)
+            if len(tokens) >= MIN_TOKENS:
+                leaf = _leaf(tokens)
+                place = _place(leaf)
+                if wanted[place >> 3] >> (place & 7) & 1:
+                    line = " ".join(tokens)
+                    times[line] = times.get(line, 0) + 1
+                    leaves[line] = leaf
+    lines = list(times)
+    return pa.RecordBatch.from_arrays([pa.array([leaves[x] for x in lines], pa.int64()), pa.array([_line_id(x.split(" ")) for x in lines], pa.int64()), pa.array(lines, pa.string()), pa.array([times[x] for x in lines], pa.int64())], ["leaf", "line_id", "line", "times"])
 
 
 def _parse(lines: DataFrame) -> DataFrame:
@@ -106,28 +159,27 @@ def _parse(lines: DataFrame) -> DataFrame:
 
 def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
     """Documents with lines to drop: (key, digest of the text, gone: line numbers from 0)."""
-    docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.split(text, "\n").alias("lines")).where(F.col("lines").isNotNull())
-    every = docs.select("key", "digest", F.posexplode("lines").alias("pos", "raw")).select("key", "digest", "pos", _normal(F.col("raw")).alias("line"))
-    tokens = F.split("line", " ")
-    every = every.withColumn("tokens", tokens).where(F.size("tokens") >= MIN_TOKENS)
-    every = every.select("key", "digest", "pos", "line", F.xxhash64(F.size("tokens"), *[F.col("tokens")[i] for i in range(DEPTH)]).alias("leaf"), F.xxhash64("line").alias("line_id"))
-
-    places = materialise(every.select("key", "digest", "pos", "leaf", "line_id"))
+    docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
+    kind = df.schema[key].dataType.simpleString()
+    places = materialise(arrow_map(docs, _places_of, f"key {kind}, digest long, pos int, leaf long, line_id long"))
     leaves = places.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    place = lambda c: F.pmod(F.col(c), F.lit(PLACES)).alias("place")
     # at most PLACES integers, whatever the data's size
-    likely = every.select("leaf", "line").join(F.broadcast(leaves.select(place("leaf")).distinct()), place("leaf") == F.col("place"), "left_semi")
-    different = likely.groupBy("leaf", "line").agg(F.count("*").alias("times")).join(leaves, "leaf")
-    different = materialise(different.withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / PART)).cast("int")))
+    wanted = np.zeros(PLACES // 8, np.uint8)
+    for r in leaves.select(F.pmod("leaf", F.lit(PLACES)).alias("place")).distinct().toLocalIterator():
+        wanted[r["place"] >> 3] |= 1 << (r["place"] & 7)
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
+    likely = arrow_map(docs.select("text"), lambda batch: _lines_in(batch.column(0).to_pylist(), shared.value), "leaf long, line_id long, line string, times long")
+    different = likely.groupBy("leaf", "line_id", "line").agg(F.sum("times").alias("times")).join(leaves, "leaf")
+    different = materialise(different.withColumn("part", F.pmod("line_id", F.ceil(F.col("n") / PART)).cast("int")))
 
     first = _parse(different)
     large = different.where(F.col("n") > PART).select("leaf").distinct()
     merged = _parse(first.join(large, "leaf", "left_semi").select("leaf", F.lit(0).alias("part"), F.col("template").alias("line")).distinct())
     merged = merged.select("leaf", F.col("line").alias("template"), F.col("template").alias("final"))
     found = first.join(merged, ["leaf", "template"], "left").select("leaf", "line", F.xxhash64("leaf", F.coalesce("final", "template")).alias("template"))
-    counted = found.join(different.select("leaf", "line", "times"), ["leaf", "line"])
+    counted = found.join(different.select("leaf", "line", "line_id", "times"), ["leaf", "line"])
     often = counted.groupBy("template").agg(F.sum("times").alias("times")).where(F.col("times") >= min_docs)
-    named = materialise(counted.join(often, "template", "left_semi").select(F.xxhash64("line").alias("line_id"), "template"))
+    named = materialise(counted.join(often, "template", "left_semi").select("line_id", "template"))
 
     met = places.join(named, "line_id").select("key", "digest", "pos", "template")
     each = met.groupBy("template", "key", "digest").agg(F.min("pos").alias("pos"))
