@@ -153,6 +153,8 @@ class PpmModel:
 def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: int = MAX_CONTEXTS) -> PpmModel:
     """The frozen model from each language's counts of (context, symbol) codes over all ``SYMBOLS``."""
     languages = sorted(counts)
+    if not languages:
+        return PpmModel([], np.zeros(SYMBOLS, np.int64), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     used = np.zeros(SYMBOLS, bool)
     parts = {}
     for lang in languages:
