@@ -108,7 +108,8 @@ def _role(tag: str, attributes: str, in_main: bool) -> tuple[int, str]:
                 names += f"{name}={value};"
                 words = {w.lower() for w in _WORD.findall(value)}
                 noise = words & NOISE_WORDS - (HEADER_WORDS if in_main else set())
-                if noise:
+                # an article is noise only by a name that says nothing else, such as "comment"
+                if noise and (role != MAIN or any(t and all(w.lower() in NOISE_WORDS for w in _WORD.findall(t)) for t in value.split())):
                     role = NOISE
                 elif role == NEUTRAL and words & MAIN_WORDS:
                     role = LIKELY
