@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import bloom, codec, hashing
@@ -16,7 +16,6 @@ from cairn.sources import files, scratch
 from cairn.streaming import streams
 
 SHARDS = [ring.Shard("Belgrade", 0, "localhost:8080"), ring.Shard("Nis", 1, "localhost:8081"), ring.Shard("Kragujevac", 2, "localhost:8082")]
-BLOOM_M, BLOOM_K = 9586, 7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -243,16 +242,13 @@ def route_report(spark, sf_dir):
 
 # Bloom filters
 
-BITS = "list_transform(range({k}), lambda i: ((({h1} + i::UHUGEINT * {h2}) % 18446744073709551616::UHUGEINT) % {m}::UHUGEINT)::BIGINT)"
-
-
-def bits_sql(key: str) -> str:
-    h2 = f"greatest({djb(key)}, 1::UHUGEINT)"
-    return BITS.format(k=BLOOM_K, m=BLOOM_M, h1="h1", h2="h2"), f"{fnv(key)} AS h1, {h2} AS h2"
-
-
-_POS, _HASHES = bits_sql("key")
-P = f"members AS (SELECT 'part-' || p_partkey AS key FROM part WHERE p_partkey % 2 = 0), mh AS (SELECT key, {_HASHES} FROM members), mp AS (SELECT key, {_POS} AS pos FROM mh), set_bits AS (SELECT DISTINCT unnest(pos) AS bit FROM mp)"
+# the filter of all part keys, sized by their number; probed with them and with as many keys that are not in it
+BITS = "list_transform(range(k), lambda i: ((({h1} + i::UHUGEINT * {h2}) % 18446744073709551616::UHUGEINT) % m::UHUGEINT)::BIGINT)".format(h1="h1", h2="h2")
+HASHES = f"{fnv('key')} AS h1, greatest({djb('key')}, 1::UHUGEINT) AS h2"
+P = f"""members AS (SELECT 'part-' || p_partkey AS key FROM part),
+size_ AS (SELECT greatest(count(*), 1)::DOUBLE AS n, greatest(64, ceil(-greatest(count(*), 1) * ln(0.01) / (ln(2) * ln(2))))::BIGINT AS m FROM members),
+params AS (SELECT m, least(greatest(floor(m / n * ln(2) + 0.5), 1), 30)::BIGINT AS k FROM size_),
+mp AS (SELECT key, {BITS} AS pos FROM (SELECT key, {HASHES}, m, k FROM members, params)), set_bits AS (SELECT DISTINCT unnest(pos) AS bit FROM mp)"""
 
 
 @query("""WITH s AS (SELECT n::BIGINT AS n, p::DOUBLE AS p FROM (VALUES (-5, 0.01), (0, 0.01), (1, 0.01), (10, 0.01), (100, 0.01), (500, 0.01), (1000, 0.01), (10000, 0.01), (100000, 0.01), (1000, 0.5), (1000, 0.0), (1000, 1.5)) v(n, p)),
@@ -265,39 +261,40 @@ def bloom_params(spark, sf_dir):
     return spark.createDataFrame(sizes, "n bigint, p double").withColumn("m", m).withColumn("k", k)
 
 
-def part_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("key"), "p_partkey")
+def part_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """The keys, and the bits and hashes of a filter for as many."""
+    keys = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("key"))
+    return keys, *bloom.bloom_params(keys.count())
 
 
 @query(f"WITH {P} SELECT key, array_to_string(pos, ',') AS positions FROM mp")
 def bloom_positions(spark, sf_dir):
-    keys = part_keys(spark, sf_dir).where("p_partkey % 2 = 0")
-    return keys.select("key", F.concat_ws(",", bloom.positions(F.col("key"), BLOOM_M, BLOOM_K).cast("array<string>")).alias("positions"))
-
-
-def part_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.build_words(part_keys(spark, sf_dir).where("p_partkey % 2 = 0"), "key", BLOOM_M, BLOOM_K)
+    keys, m, k = part_keys(spark, sf_dir)
+    return keys.select("key", F.concat_ws(",", bloom.positions(F.col("key"), m, k).cast("array<string>")).alias("positions"))
 
 
 @query(f"WITH {P} SELECT (bit // 64)::INTEGER AS word, lpad(to_hex(bit_or(1::UBIGINT << (bit % 64)::INTEGER)), 16, '0') AS bits FROM set_bits GROUP BY 1")
 def bloom_build_words(spark, sf_dir):
-    return part_filter(spark, sf_dir).withColumn("bits", F.lpad(F.hex("bits"), 16, "0"))
+    return bloom.build_words(part_keys(spark, sf_dir)[0], "key", *part_keys(spark, sf_dir)[1:]).withColumn("bits", F.lpad(F.hex("bits"), 16, "0"))
 
 
-PROBE = f"{P}, asked AS (SELECT 'part-' || p_partkey AS key, p_partkey % 2 = 0 AS member FROM part), ah AS (SELECT key, member, {_HASHES} FROM asked), ab AS (SELECT key, member, unnest({_POS}) AS bit FROM ah), hit AS (SELECT key, member, bool_and(s.bit IS NOT NULL) AS may_contain FROM ab LEFT JOIN set_bits s ON ab.bit = s.bit GROUP BY ALL)"
+PROBE = f"{P}, asked AS (SELECT key, true AS member FROM members UNION ALL SELECT 'absent-' || p_partkey, false FROM part), ab AS (SELECT key, member, unnest({BITS}) AS bit FROM (SELECT key, member, {HASHES}, m, k FROM asked, params)), hit AS (SELECT key, member, bool_and(s.bit IS NOT NULL) AS may_contain FROM ab LEFT JOIN set_bits s ON ab.bit = s.bit GROUP BY ALL)"
+
+
+def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys, m, k = part_keys(spark, sf_dir)
+    absent = keys.select(F.replace("key", F.lit("part-"), F.lit("absent-")).alias("key"))
+    return bloom.probe(keys.unionByName(absent), "key", bloom.build_words(keys, "key", m, k), m, k)
 
 
 @query(f"WITH {PROBE} SELECT key, may_contain FROM hit")
 def bloom_probe(spark, sf_dir):
-    return bloom.probe(part_keys(spark, sf_dir), "key", part_filter(spark, sf_dir), BLOOM_M, BLOOM_K)
+    return probed(spark, sf_dir)
 
 
 @query(f"WITH {PROBE} SELECT member, count(*) AS keys, count(*) FILTER (may_contain) AS passed FROM hit GROUP BY member")
 def bloom_fp_rate(spark, sf_dir):
-    keys = part_keys(spark, sf_dir)
-    hit = bloom.probe(keys, "key", part_filter(spark, sf_dir), BLOOM_M, BLOOM_K)
-    member = F.substring_index("key", "-", -1).cast("bigint") % 2 == 0
-    return hit.groupBy(member.alias("member")).agg(F.count("*").alias("keys"), F.count_if("may_contain").alias("passed"))
+    return probed(spark, sf_dir).groupBy(F.col("key").startswith("part-").alias("member")).agg(F.count("*").alias("keys"), F.count_if("may_contain").alias("passed"))
 
 
 # replication: an acknowledgement for every user of a customer key, right for even ones
@@ -352,20 +349,13 @@ def wal_encode_hex(spark, sf_dir):
     return event_changes(spark, sf_dir).select("seq", codec.record_hex(F.col("key"), F.col("value"), F.col("deleted")).alias("record"))
 
 
-@query(f"WITH {C} SELECT row_number() OVER (ORDER BY seq) AS nth, key, CASE WHEN deleted THEN NULL ELSE value END AS value, deleted FROM c WHERE key IN ('user-1', 'user-2', 'user-3')")
+@query(f"WITH {C} SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS nth, CASE WHEN deleted THEN NULL ELSE value END AS value, deleted FROM c")
 def wal_replay_order(spark, sf_dir):
-    """Written to one log file and read back: the order of the file."""
+    """The whole log written to files, a key's changes to one file, and read back in the order of the files."""
     path = scratch.scratch_path(spark, "wal")
-    some = event_changes(spark, sf_dir).where(F.col("key").isin("user-1", "user-2", "user-3"))
-    files.write_wal(some.coalesce(1), path)
-    back = files.read_wal(spark, path)
-    return back.select(F.count("*").over(_all_before()).alias("nth"), F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), "deleted")
-
-
-def _all_before():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("path").orderBy("pos")
+    files.write_wal(event_changes(spark, sf_dir).repartition("key"), path)
+    in_file = Window.partitionBy("key").orderBy("path", "pos")
+    return files.read_wal(spark, path).select(F.decode("key", "UTF-8").alias("key"), F.row_number().over(in_file).cast("bigint").alias("nth"), F.decode("value", "UTF-8").alias("value"), "deleted")
 
 
 @query(f"WITH {C} SELECT key, value, deleted FROM newest")
