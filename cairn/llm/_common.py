@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.shipping import ship
+
 #: Rows that a Python step handles at once; bounds its memory, not its input.
 ROWS_AT_ONCE = 512
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +39,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
+    ship(spark)
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, BATCH_ROWS)
 
