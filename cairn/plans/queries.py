@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import bloom, codec, hashing
 from cairn.operators import lww, metrics, replication, ring, runs
-from cairn.sources import files, scratch
+from cairn.sources import files, scratch, store
 from cairn.streaming import streams
 
 SHARDS = [ring.Shard("Belgrade", 0, "localhost:8080"), ring.Shard("Nis", 1, "localhost:8081"), ring.Shard("Kragujevac", 2, "localhost:8082")]
@@ -379,6 +379,25 @@ def block_index(spark, sf_dir):
     return files.block_index(entries)
 
 
+@query(f"WITH {C} SELECT key, value FROM live")
+def store_scan(spark, sf_dir):
+    """The log applied to a store in five batches, each flushed to a run (the fourth run brings a merge), and read back."""
+    kv = store.KeyValueStore(spark, scratch.scratch_path(spark, "store"))
+    changes = event_changes(spark, sf_dir)
+    top = changes.agg(F.max("seq")).first()[0] or 0
+    for i in range(5):
+        kv.apply(changes.where(F.floor(F.col("seq") * 5 / F.lit(top + 1)) == i))
+        kv.flush()
+    return as_text(kv.scan()).select("key", "value")
+
+
+@query(f"WITH {Q} SELECT key, value FROM pending")
+def store_pending(spark, sf_dir):
+    kv = store.KeyValueStore(spark, scratch.scratch_path(spark, "store"))
+    kv.apply(event_changes(spark, sf_dir))
+    return as_text(kv.pending()).select("key", "value")
+
+
 # observation
 
 

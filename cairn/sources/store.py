@@ -128,6 +128,12 @@ class KeyValueStore:
             raise ReadOnly("read-only mode")
         self._append(rows.withColumn("deleted", F.lit(False)), queued=True)
 
+    def apply(self, changes: DataFrame) -> None:
+        """Writes a batch of puts and deletes (key, seq, value, deleted), in the order of its ``seq``."""
+        if self.read_only:
+            raise ReadOnly("read-only mode")
+        self._append(changes, queued=True)
+
     def put_on_replica(self, rows: DataFrame) -> None:
         """Applies replicated puts: to the data only, read-only or not."""
         self._append(rows.withColumn("deleted", F.lit(False)), queued=False)
