@@ -15,7 +15,7 @@ from cairn.operators import lww, metrics, replication, ring, runs
 from cairn.sources import files, scratch, store
 from cairn.streaming import streams
 
-SHARDS = [ring.Shard("Belgrade", 0, "localhost:8080"), ring.Shard("Nis", 1, "localhost:8081"), ring.Shard("Kragujevac", 2, "localhost:8082")]
+SHARDS = [ring.Shard("alpha", 0, "localhost:8080"), ring.Shard("beta", 1, "localhost:8081"), ring.Shard("gamma", 2, "localhost:8082")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -233,7 +233,7 @@ def purge_foreign(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT 'user-' || user_id AS key, count(*) AS n FROM events GROUP BY user_id), k AS (SELECT *, {fnv('key')} AS h FROM r), {ring_sql(3)},
-names AS (SELECT * FROM (VALUES (0, 'Belgrade', 'localhost:8080'), (1, 'Nis', 'localhost:8081'), (2, 'Kragujevac', 'localhost:8082')) v(shard, name, address))
+names AS (SELECT * FROM (VALUES (0, 'alpha', 'localhost:8080'), (1, 'beta', 'localhost:8081'), (2, 'gamma', 'localhost:8082')) v(shard, name, address))
 SELECT x.shard::INTEGER AS shard, name, address, x.shard <> 0 AS redirected, sum(n)::BIGINT AS requests FROM ({owner_sql('k', 'ring')}) x JOIN names ON x.shard = names.shard GROUP BY ALL""")
 def route_report(spark, sf_dir):
     requests = table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key"))
@@ -407,9 +407,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("ts", F.when(F.col("event_type").isin("purchase", "signup"), "set").otherwise("get").alias("op"), (F.col("event_type") == "error").alias("failed"))
 
 
-@query(f"WITH {C} SELECT count(*) FILTER (event_type IN ('view', 'click', 'error')) AS reads, count(*) FILTER (event_type IN ('purchase', 'signup')) AS writes, count(*) FILTER (event_type = 'error') AS errors, (SELECT count(*) FROM live) AS key_count, 'Belgrade' AS shard_name, 0 AS shard_idx FROM events")
+@query(f"WITH {C} SELECT count(*) FILTER (event_type IN ('view', 'click', 'error')) AS reads, count(*) FILTER (event_type IN ('purchase', 'signup')) AS writes, count(*) FILTER (event_type = 'error') AS errors, (SELECT count(*) FROM live) AS key_count, 'alpha' AS shard_name, 0 AS shard_idx FROM events")
 def metrics_snapshot(spark, sf_dir):
-    return metrics.snapshot(requests(spark, sf_dir), lww.key_count(event_changes(spark, sf_dir)), "Belgrade", 0)
+    return metrics.snapshot(requests(spark, sf_dir), lww.key_count(event_changes(spark, sf_dir)), "alpha", 0)
 
 
 @query("""WITH r AS (SELECT to_timestamp((floor(epoch(ts) / 2) * 2 + 2)::BIGINT) AT TIME ZONE 'UTC' AS t, event_type IN ('purchase', 'signup') AS w FROM events),

@@ -62,23 +62,23 @@ def test_bloom_binary_form():
 
 CONFIG = """
 [[shards]]
-name = "Belgrade"
+name = "alpha"
 idx = 0
 address = "localhost:8080"
 replicas = ["x"]
 [[shards]]
-name = "Nis"
+name = "beta"
 idx = 1
 address = "localhost:8081"
 [[shards]]
-name = "Kragujevac"
+name = "gamma"
 idx = 2
 address = "localhost:8082"
 """
 
 
 def test_config():
-    shards = ring.parse_shards(ring.parse_config(CONFIG), "Nis")
+    shards = ring.parse_shards(ring.parse_config(CONFIG), "beta")
     assert (shards.count, shards.current, shards.addresses) == (3, 1, {0: "localhost:8080", 1: "localhost:8081", 2: "localhost:8082"})
 
 
