@@ -62,14 +62,14 @@ def positions(key: Column, m: int, k: int) -> Column:
 def build_words(keys: DataFrame, key: str, m: int, k: int) -> DataFrame:
     """The filter over all keys: (word, bits), the 64-bit words that are not zero.  Words are OR-ed before they are shuffled."""
     bits = keys.select(F.explode(positions(F.col(key), m, k)).alias("bit"))
-    return bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    return bits.groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
 
 
 def probe(keys: DataFrame, key: str, words: DataFrame, m: int, k: int) -> DataFrame:
     """(key, may_contain) of every distinct key; ``words`` has m / 64 rows at most and m is the filter's own size, so its broadcast is bounded by it."""
     asked = keys.select(F.col(key).alias("key")).distinct().select("key", F.explode(positions(F.col("key"), m, k)).alias("bit"))
     side = F.broadcast(words) if m <= 1 << 26 else words
-    hit = asked.join(side, F.floor(F.col("bit") / 64).cast("int") == F.col("word"), "left")
+    hit = asked.join(side, F.expr("cast(bit div 64 as int)") == F.col("word"), "left")
     is_set = F.expr("coalesce((shiftrightunsigned(bits, cast(bit % 64 as int)) & 1) = 1, false)")
     return hit.groupBy("key").agg(F.bool_and(is_set).alias("may_contain"))
 

@@ -102,14 +102,17 @@ def points_frame(spark: SparkSession, n_shards: int, vnodes: int = VNODES) -> Da
 
 
 def with_owner(df: DataFrame, n_shards: int, key: str = "key", vnodes: int = VNODES, into: str = "shard", hash_col: str | None = None) -> DataFrame:
-    """``df`` with the shard that owns its key.  Rows are not shuffled."""
+    """``df`` with the shard that owns its key, null for a null key.  Rows are not shuffled.
+
+    The join is an outer one as arcs cover everything: an inner one would have Spark test the hash for null first, and so hash twice.
+    """
     spark = df.sparkSession
     shift = 64 - PREFIX_BITS
     arcs = arcs_frame(spark, n_shards, vnodes).select("*", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright("high", shift))).alias("__prefix"))
     arcs = arcs.select(F.col("low").alias("__low"), F.col("high").alias("__high"), F.col("shard").alias(into), "__prefix")
     hashed = df.withColumn("__hash", F.col(hash_col) if hash_col else fnv1a(F.col(key))).withColumn("__at", F.shiftright("__hash", shift))
     # 150 points a shard and 4096 prefixes: bounded by the configuration
-    return hashed.join(F.broadcast(arcs), (F.col("__at") == F.col("__prefix")) & F.col("__hash").between(F.col("__low"), F.col("__high"))).drop("__hash", "__at", "__low", "__high", "__prefix")
+    return hashed.join(F.broadcast(arcs), (F.col("__at") == F.col("__prefix")) & F.col("__hash").between(F.col("__low"), F.col("__high")), "left").drop("__hash", "__at", "__low", "__high", "__prefix")
 
 
 def modulo_owner(key: Column, n_shards: int) -> Column:
