@@ -19,7 +19,7 @@ null or non-finite components, take no part; vectors of different lengths are
 not compared; rows that repeat an id count once, with the smallest vector; a
 query never finds its own id; equal scores go to the smaller id; a query
 without candidates gives no row; empty tables give an empty result.  Scores
-beyond 64 bits are not supported.
+must be within 2**61 on either side, and scaled components be 64-bit integers.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ QUERIES_IN_CELL = 2048
 ROWS_IN_CELL = 8192
 BINS = 4096
 _EXACT_DOUBLE = float(1 << 53)
+#: Scores are within this on either side.
+LARGEST = 1 << 61
 #: Stands for "no score".
 NONE = np.iinfo(np.int64).min
 
@@ -85,7 +87,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     ).first()
     if not n_queries:
         return rows.sparkSession.createDataFrame([], f"query_id long, rank int, {key} long, score long")
-    bound = max(abs(low), abs(high)) ** 2 * dim
+    bound = min(max(abs(low), abs(high)) ** 2 * dim, LARGEST)
     across, along = math.ceil(n_queries / QUERIES_IN_CELL), math.ceil(n / ROWS_IN_CELL)
     spread = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
     to_all = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

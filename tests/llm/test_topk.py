@@ -47,3 +47,9 @@ def test_few_and_no_rows(spark):
 def test_large_components_stay_exact():
     a = np.array([[1 << 30, 3]], np.int64)
     assert topk._scores(a, a)[0, 0] == (1 << 60) + 9
+
+
+def test_large_scores(spark):
+    rows = [(0, [2.0**20, 0.0], "c", 0), (1, [2.0**20, 1.0], "c", 0), (2, [-(2.0**20), 1.0], "c", 0)]
+    got = topk.top_k(frame(spark, rows), F.col("id") % 50 == 0)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [(0, 1, 1, 1 << 56), (0, 2, 2, -(1 << 56))]
