@@ -13,9 +13,13 @@ deviations) with 3e-7.
 Documents with equal sets form a class that is handled as one.  In a band's
 bucket not all pairs are made: all members are compared with one pivot, links
 join components, and only buckets that still hold several components get further
-pivots (then every member of theirs is), until none is left to compare.  Work in
-a large bucket of mutual copies so is in proportion to its size, and no link
-between different components is left out.
+pivots: all members outside the largest component where these are few, else some
+more of all, until every pair of a bucket is in one component or was compared.
+Before that, bounds on what can be in common leave out what can't be a link:
+shingles that no other undecided document has, and those of a bucket's most
+central member that one of two others lacks.
+Work in a large bucket of mutual copies so is in proportion to its size, and no
+link between different components is left out.
 
 Edge cases: a text that is null, empty or without words has the empty set and is
 linked with nothing; fewer than five words are one shingle, the whole sequence;
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import arrow_map, materialise
+from cairn.llm._common import arrow_map, materialise, small_or_not
 from cairn.llm.components import connected_components
 
 WORDS = 5
@@ -43,8 +47,10 @@ THRESHOLD = 75  # per cent
 MARGIN = 0.2
 #: The filter of documents that take part in candidates has so many places, whatever the data's size.
 PLACES = 1 << 20
-#: Pivots of an undecided bucket in each round after the first.
-PIVOTS = (16, 128, 1024)
+#: Pivots of an undecided bucket, how their number grows from round to round, and those of the first of these rounds.
+PIVOTS = 16
+GROWTH = 4
+CENTRAL = 4
 
 #: Fixed value: ASCII capitals become small letters.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -127,6 +133,27 @@ def estimate(a: Column, b: Column) -> Column:
     return ((F.lit(1.0) - unlike / HASHES) - chance) / (1 - chance)
 
 
+_LACKS = [f"lack_{i}" for i in range(4)]
+
+
+def _against(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """For pairs (id, ref): the size of ref's set, which of its shingles the id lacks (folded to 256 bits) and how many others the id has.
+
+    Two ids have at most as many shingles in common as ref has without those that either lacks, and others.
+    Folding only lowers the count of what they lack, so the bound stays one.
+    """
+    both = pairs.join(full, "id").join(full.select(F.col("id").alias("ref"), F.col("shingles").alias("theirs")), "ref")
+    both = both.withColumn("lack", F.array_except("theirs", "shingles"))
+    word = lambda i: F.expr(f"aggregate(filter(lack, s -> (shiftright(s, 6) & 3) = {i}), 0L, (acc, s) -> acc | shiftleft(1L, cast(s & 63 as int)))")
+    return both.select("id", "ref", F.size("theirs").alias("ref_n"), F.size(F.array_except("shingles", "theirs")).alias("beside"), *[word(i).alias(c) for i, c in enumerate(_LACKS)])
+
+
+def _few_parts(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Materialised, in no more parts than its rows need: parts of a few rows cost files and tasks in every later shuffle."""
+    out = materialise(df)
+    return out.coalesce(max(8, out.count() // rows))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: the key, ``n_shingles``, ``component_id`` (smallest key reachable over links) and ``kept`` (the key is the component)."""
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -138,44 +165,76 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     rows = usable.groupBy("class").agg(F.min("key").alias("id"), F.first("bands").alias("bands")).select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    open_rows = materialise(rows.join(shared, "bucket").select("bucket", "id", "pivot", "members"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b), those that are links."""
-        side = lambda c: known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b")
-        likely = likely.where((100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b")) & (estimate(F.col("sig_a"), F.col("sig_b")) >= THRESHOLD / 100 - MARGIN))
-        likely = materialise(likely.select("a", "b", "n_a", "n_b"))
+    open_rows = _few_parts(rows.join(shared, "bucket").select("bucket", "id", "pivot"), 200_000)
+
+    repeated = sketches.groupBy("key").count().where("count > 1").limit(1).count() > 0
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The full sets of some ids."""
         place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)).alias("place")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         # at most PLACES integers, whatever the data's size
         some = source.join(F.broadcast(ids.select(place("id")).distinct()), place("key") == F.col("place"), "left_semi")
-        full = arrow_map(some.where(F.col("key").isNotNull()), _sets, f"id {kind}, shingles array<bigint>")
-        full = full.join(ids, "id", "left_semi").dropDuplicates(["id"]) if repeated else full.join(ids, "id", "left_semi")
-        full = materialise(full)
+        full = arrow_map(some.where(F.col("key").isNotNull()), _sets, f"id {kind}, shingles array<bigint>").join(ids, "id", "left_semi")
+        return _few_parts(full.dropDuplicates(["id"]) if repeated else full)
+
+    def likely_of(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """Of the pairs (a, b), those that may be links by ``facts`` (id, n, sig, common: shingles that others may share)."""
+        side = lambda c: facts.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "sig", "common")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        most = F.least("common_a", "common_b")
+        return both.where((100 * most >= THRESHOLD * (F.col("n_a") + F.col("n_b") - most)) & (estimate(F.col("sig_a"), F.col("sig_b")) >= THRESHOLD / 100 - MARGIN)).select("a", "b", "n_a", "n_b")
+
+    def confirmed(likely: DataFrame, full: DataFrame) -> DataFrame:
         has = lambda c: full.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
         both = likely.join(has("a"), "a").join(has("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
         return both.where(100 * F.col("common") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
-    repeated = sketches.groupBy("key").count().where("count > 1").limit(1).count() > 0
-    links = confirmed(open_rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    labels = connected_components(links)
+    # every bucket's members with its smallest id
+    likely = _few_parts(likely_of(open_rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known.withColumn("common", F.col("n"))))
+    labels = connected_components(confirmed(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
     left = open_rows.where("id <> pivot").select("bucket", "id")
+    full = facts = None
     for turn in range(1 << 30):
-        few = PIVOTS[min(turn, len(PIVOTS) - 1)]
+        few = PIVOTS * GROWTH**turn
         # a bucket is decided once all its members are in one component
-        now = left.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        undecided = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least <> most").select("bucket", "members")
-        now = materialise(now.join(undecided, "bucket"))
+        now = left.join(labels, "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component"))
+        sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("of_it")).groupBy("bucket")
+        sizes = sizes.agg(F.sum("of_it").alias("members"), F.max(F.struct("of_it", "component")).alias("most"), F.count("*").alias("components"))
+        undecided = sizes.where("components > 1").select("bucket", "members", F.col("most.component").alias("main"), (F.col("members") - F.col("most.of_it")).alias("outside"))
+        now = _few_parts(now.join(undecided, "bucket"), 200_000)
         if now.isEmpty():
             break
-        chance = F.shiftrightunsigned(F.xxhash64("bucket", "id", F.lit(turn)), 11) * F.lit(2.0**-53)
-        now = now.withColumn("is_pivot", (F.col("members") <= few) | (chance < few / F.col("members")))
-        pivots = now.where("is_pivot").select("bucket", F.col("id").alias("p"), F.col("component").alias("p_component"))
-        pairs = now.join(pivots, "bucket").where("id <> p and component <> p_component").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        links = confirmed(pairs)
+        if full is None:
+            # shingles of one document only can't be in common: many texts so can link with none of their buckets
+            full = sets_of(now.select("id").distinct())
+            alone = full.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+            facts = known.join(full.select("id"), "id").join(alone, "id", "left").select("id", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+            facts = _few_parts(facts)
+            now = _few_parts(now.join(facts.select("id", "n", "common"), "id"), 200_000)
+        own = F.col("n") - F.col("common")
+        # those with the fewest shingles of their own are nearest to what the others were made from
+        central = [F.min(F.struct(own.alias("own"), F.xxhash64("id", F.lit(i)), "id")).getField("id") for i in range(CENTRAL)]
+        per = now.groupBy("bucket").agg(F.min("n").alias("smallest"), F.min(F.struct(own.alias("own"), "id")).getField("id").alias("ref"), *([F.array(*central).alias("central")] if turn == 0 else []))
+        able = 100 * F.col("common") >= THRESHOLD * (F.col("n") + F.greatest("smallest", "common") - F.col("common"))
+        now = _few_parts(now.join(per, "bucket").where(able), 200_000)
+        # few outside the main component: with all of them as pivots nothing is left to compare; else the same ids in all buckets
+        chosen, extra = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11) * F.lit(2.0**-53) < few / F.col("members"), []
+        if turn == 0:
+            chosen = F.array_contains("central", F.col("id"))
+        else:
+            now = now.join(_against(now.select("id", "ref").distinct(), full), ["id", "ref"]).withColumn("beside", F.greatest(F.lit(0), F.col("beside") - own))
+            extra = ["beside", *_LACKS]
+        now = _few_parts(now.withColumn("is_pivot", F.when(F.col("outside") <= few, F.col("component") != F.col("main")).otherwise(chosen)), 200_000)
+        pivots = now.where("is_pivot").select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("id", "component", "n", "common", *extra)])
+        most = F.least("common", "p_common")
+        if extra:
+            most = F.least(most, F.col("ref_n") - sum((F.bit_count(F.col(c).bitwiseOR(F.col(f"p_{c}"))) for c in _LACKS), F.lit(0)) + F.least("beside", "p_beside"))
+        enough = 100 * most >= THRESHOLD * (F.col("n") + F.col("p_n") - most)
+        pairs = now.join(pivots, (now["bucket"] == pivots["bucket"]) & (F.col("component") != F.col("p_component")) & enough)
+        pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+        links = confirmed(_few_parts(likely_of(pairs, facts)), full)
         labels = connected_components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
-        left = now.where(~F.col("is_pivot")).select("bucket", "id")
+        left = now.where((F.col("outside") > few) & ~F.col("is_pivot")).select("bucket", "id", "n", "common")
 
     members = sketches.select("key", "n", "class").join(classes, "class", "left").join(labels, "id", "left")
     found = members.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id", "key").alias("component_id"))
@@ -184,8 +243,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that :func:`near_duplicates` keeps; of rows that repeat an id, one; rows without an id stay."""
-    gone = near_duplicates(df, text, key).where("not kept").select(key).distinct()
-    out = df.join(gone, key, "left_anti")
+    gone = materialise(near_duplicates(df, text, key).where("not kept").select(F.col(key).alias("gone")).distinct())
+    out = df.join(small_or_not(gone), F.col(key) == F.col("gone"), "left_anti")
     if df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
         return out
     return out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
