@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; under /tmp only where none is set (tests, one machine)."""
+def shared_root(spark: SparkSession) -> str:
+    """The session's checkpoint folder (``spark.checkpoint.dir``).  Only where none is set (tests, one machine) it becomes a temporary one, which goes with the process."""
     context = spark.sparkContext
-    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cairn-checkpoints"
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        folder = tempfile.mkdtemp(prefix="cairn-checkpoints-")
+        atexit.register(shutil.rmtree, folder, True)
+        root = f"file://{folder}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return context.getCheckpointDir() or root
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
