@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.shipping import ship
+from cairn.sources.scratch import shared_root
 
 #: Rows that a Python step handles at once; bounds its memory, not its input.
 ROWS_AT_ONCE = 512
@@ -20,16 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's ``spark.checkpoint.dir``; sets a folder only where none is configured (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cairn-checkpoints")
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared checkpoint folder, so that a lost executor costs only its own tasks."""
-    checkpoint_dir(df.sparkSession)
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
