@@ -16,7 +16,7 @@ def counters(requests: DataFrame) -> DataFrame:
 
 def snapshot(requests: DataFrame, key_count: DataFrame, shard_name: str, shard_idx: int, uptime: Column | None = None) -> DataFrame:
     """One row: the counters, the number of live keys and the shard; with ``uptime`` that too."""
-    row = counters(requests).crossJoin(key_count)  # one row each
+    row = counters(requests).withColumn("one", F.lit(1)).join(key_count.withColumn("one", F.lit(1)), "one")  # one row each
     columns = ["reads", "writes", "errors", "key_count", F.lit(shard_name).alias("shard_name"), F.lit(shard_idx).alias("shard_idx")]
     return row.select(*([uptime.alias("uptime")] if uptime is not None else []), *columns)
 

@@ -97,8 +97,9 @@ def arcs_frame(spark: SparkSession, n_shards: int, vnodes: int = VNODES) -> Data
 
 def points_frame(spark: SparkSession, n_shards: int, vnodes: int = VNODES) -> DataFrame:
     """(idx, vnode, hash) of every label, hashed by Spark."""
-    labels = spark.range(n_shards).crossJoin(spark.range(vnodes if vnodes > 0 else VNODES).withColumnRenamed("id", "vnode"))  # the configuration's own size
-    return labels.select(F.col("id").cast("int").alias("idx"), F.col("vnode").cast("int").alias("vnode"), fnv1a(F.concat_ws("-", F.col("id").cast("string"), F.col("vnode").cast("string"))).alias("hash"))
+    each = vnodes if vnodes > 0 else VNODES
+    idx, vnode = F.expr(f"cast(id div {each} as int)"), (F.col("id") % each).cast("int")
+    return spark.range(n_shards * each).select(idx.alias("idx"), vnode.alias("vnode"), fnv1a(F.concat_ws("-", idx.cast("string"), vnode.cast("string"))).alias("hash"))
 
 
 def with_owner(df: DataFrame, n_shards: int, key: str = "key", vnodes: int = VNODES, into: str = "shard", hash_col: str | None = None) -> DataFrame:
