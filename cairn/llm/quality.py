@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from cairn.llm._common import arrow_map
 
 GRADES = 3
-ROWS_PER_GRADE = 2500
+ROWS_PER_GRADE = 1500
 SPACE = 1 << 18
 #: The weight of a word shape's share; presence of a word weighs 1.
 SHAPE_SCALE = 6.0
@@ -131,9 +131,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, share: np
     rows = [(a[often[a]], x[often[a]]) for a, x in rows]
     rows = [(np.append(a, SPACE), np.append(x, np.float32(0))) for a, x in rows]  # so that none is empty
     at = np.concatenate([a for a, _ in rows])
-    x = np.concatenate([v for _, v in rows]).astype(np.float64)
+    x = np.concatenate([v for _, v in rows])
     used, at = np.unique(at, return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(a) for a, _ in rows])
+    at = at.astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(a) for a, _ in rows])
     starts = np.concatenate([[0], np.cumsum([len(a) for a, _ in rows])[:-1]])
     weight = np.zeros(len(used))
     free = np.zeros(n_grades - 1)  # first threshold, logs of gaps
@@ -142,7 +143,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, share: np
     each = each / each.sum()
     moment = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(free), np.zeros_like(free)]
     for step in range(1, STEPS + 1):
-        score = np.add.reduceat(weight[at] * x, starts)
+        score = np.add.reduceat(weight[at] * x, starts)  # doubles, as the weights are
         cut = free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))])
         upper = np.concatenate([cut, [np.inf]])[grades]
         lower = np.concatenate([[-np.inf], cut])[grades]
@@ -194,6 +195,7 @@ def train(documents: DataFrame, grades: DataFrame, text: str = "text", key: str
     table = arrow_map(picked, rows, f"key {kind}, grade int, at array<int>, x array<float>").orderBy("key").toArrow()
     if table.num_rows == 0:
         return OrdinalModel(np.zeros(SPACE), np.full(GRADES - 1, -20.0) + np.arange(GRADES - 1))
+    table = table.combine_chunks()
     split = lambda c: np.split(c.combine_chunks().values.to_numpy(), c.combine_chunks().offsets.to_numpy()[1:-1])
     return fit(list(zip(split(table["at"]), split(table["x"]), strict=True)), table["grade"].to_numpy().astype(np.int64), np.array([found.get(g, 0) for g in range(GRADES)], float))
 
