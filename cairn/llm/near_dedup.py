@@ -23,8 +23,9 @@ link between different components is left out.
 
 Edge cases: a text that is null, empty or without words has the empty set and is
 linked with nothing; fewer than five words are one shingle, the whole sequence;
-rows that repeat an id belong to the class of their text each; a null id takes
-no part and has null results; an empty table gives an empty result.  Texts are
+rows that repeat an id belong to the class of their text each, but where an id has
+several texts, links of that id are confirmed on one of them; a null id takes no
+part and has null results; an empty table gives an empty result.  Texts are
 read whole.
 """
 
