@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 16_384
 PER_SOURCE = 4
-SHARD = 16_384
+SHARD = 4_096
 
 
 class Packer:
