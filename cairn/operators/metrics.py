@@ -9,6 +9,12 @@ SAMPLE = "2 seconds"
 KEPT_SAMPLES = 30
 
 
+def uptime(started: Column) -> Column:
+    """Time since ``started`` (seconds since the epoch) as text, such as '2h3m4s'."""
+    total = F.floor(F.unix_micros(F.current_timestamp()) / 1000000 - started).cast("bigint")
+    return F.format_string("%dh%dm%ds", F.floor(total / 3600).cast("bigint"), F.floor(total % 3600 / 60).cast("bigint"), total % 60)
+
+
 def counters(requests: DataFrame) -> DataFrame:
     """Reads, writes and errors.  Attempts count, failed ones too; a missing key is no error."""
     return requests.agg(F.count_if(F.col("op") == "get").alias("reads"), F.count_if(F.col("op") == "set").alias("writes"), F.count_if("failed").alias("errors"))

@@ -14,13 +14,14 @@ All data moves as DataFrames; the driver handles file names only.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import lww, replication, ring, runs
+from cairn.operators import lww, metrics, replication, ring, runs
 
 SCHEMA = lww.CHANGE
 
@@ -45,9 +46,6 @@ class Manifest:
     log: list[str] = field(default_factory=list)
     runs: list[str] = field(default_factory=list)  # newest first
     queue: list[str] = field(default_factory=list)
-    reads: int = 0
-    writes: int = 0
-    errors: int = 0
 
 
 class KeyValueStore:
@@ -59,6 +57,8 @@ class KeyValueStore:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
         self.closed = False
+        self.started = time.time()
+        self.reads = self.writes = self.errors = 0  # attempts through this handle
         self.manifest = self._load()
 
     # manifests
@@ -103,6 +103,20 @@ class KeyValueStore:
     # writes
 
     def _append(self, changes: DataFrame, queued: bool) -> None:
+        self.writes += 1
+        try:
+            self._write(changes, queued)
+        except Exception:
+            self.errors += 1
+            raise
+
+    def _refuse_read_only(self) -> None:
+        if self.read_only:
+            self.writes += 1
+            self.errors += 1
+            raise ReadOnly("read-only mode")
+
+    def _write(self, changes: DataFrame, queued: bool) -> None:
         new = self._next()
         part = self._name("log", new)
         # rows keep the order of ``seq`` where the batch has one, and get numbers after all earlier ones
@@ -111,11 +125,10 @@ class KeyValueStore:
         rows = base.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("bigint").alias("seq"), F.when(~F.col("deleted"), F.coalesce(F.col("value").cast("binary"), F.unhex(F.lit("")))).alias("value"), "deleted")
         rows.write.parquet(f"{self.root}/{part}")
         written = self._frame([part])
-        top, n = written.agg(F.max("seq"), F.count("*")).first()
+        top = written.agg(F.max("seq")).first()[0]
         new.next_file += 1
         new.next_seq = max(new.next_seq, (top if top is not None else new.next_seq - 1) + 1)
         new.log.append(part)
-        new.writes += n
         if queued:
             queue = part.replace("log/", "queue/")
             written.where(~F.col("deleted")).write.parquet(f"{self.root}/{queue}")
@@ -124,14 +137,12 @@ class KeyValueStore:
 
     def put(self, rows: DataFrame) -> None:
         """Writes (key, value[, seq]); data and queue are one commit."""
-        if self.read_only:
-            raise ReadOnly("read-only mode")
+        self._refuse_read_only()
         self._append(rows.withColumn("deleted", F.lit(False)), queued=True)
 
     def apply(self, changes: DataFrame) -> None:
         """Writes a batch of puts and deletes (key, seq, value, deleted), in the order of its ``seq``."""
-        if self.read_only:
-            raise ReadOnly("read-only mode")
+        self._refuse_read_only()
         self._append(changes, queued=True)
 
     def put_on_replica(self, rows: DataFrame) -> None:
@@ -140,21 +151,18 @@ class KeyValueStore:
 
     def delete(self, keys: DataFrame) -> None:
         """Tombstones for keys, whether they exist or not.  Replicas aren't told."""
-        if self.read_only:
-            raise ReadOnly("read-only mode")
+        self._refuse_read_only()
         columns = ["key", *[c for c in keys.columns if c == "seq"]]
         self._append(keys.select(*columns, F.lit(None).cast("binary").alias("value"), F.lit(True).alias("deleted")), queued=False)
 
     def delete_where(self, predicate: Column) -> None:
         """Tombstones for the live keys that satisfy a predicate on ``key``."""
-        if self.read_only:
-            raise ReadOnly("read-only mode")
+        self._refuse_read_only()
         self.delete(lww.live(self.changes()).where(predicate).select("key"))
 
     def purge(self) -> None:
         """Deletes the keys that belong to another shard."""
-        if self.read_only:
-            raise ReadOnly("read-only mode")
+        self._refuse_read_only()
         self.delete(ring.foreign_keys(lww.live(self.changes()), len(self.shards or []), self.current).select("key"))
 
     # reads
@@ -164,9 +172,12 @@ class KeyValueStore:
         return self._frame(self.manifest.runs + self.manifest.log)
 
     def get(self, keys: DataFrame) -> DataFrame:
+        """(key, value) of every asked key; null for a missing one, which is no error."""
+        self.reads += 1
         return lww.get(self.changes(), keys)
 
     def get_one(self, key: str) -> bytes | None:
+        self.reads += 1
         row = lww.point_get(self.changes(), key).first()
         return None if row is None else bytes(row["value"])
 
@@ -183,6 +194,13 @@ class KeyValueStore:
             if visit(r["key"], bytes(r["value"])) is False:
                 break
 
+    def route(self, keys: DataFrame) -> DataFrame:
+        """(key, shard, current, address): who owns each key, and whether that is this shard."""
+        shards = self.shards or []
+        names = self.spark.createDataFrame([(x.idx, x.address) for x in shards], "shard int, address string")
+        owned = ring.with_owner(keys.select("key").distinct(), len(shards))
+        return owned.join(F.broadcast(names), "shard", "left").select("key", "shard", (F.col("shard") == self.current).alias("current"), "address")  # one row a shard
+
     # maintenance
 
     def _write_run(self, rows: DataFrame, part: str) -> bool:
@@ -246,8 +264,9 @@ class KeyValueStore:
 
     # observation
 
-    def metrics(self, shard_name: str = "") -> DataFrame:
-        """One row: writes so far, live keys, runs and log segments."""
-        m = self.manifest
+    def metrics(self) -> DataFrame:
+        """One row: uptime, attempted reads and writes and errors through this handle, live keys, the shard, runs and log segments."""
+        m, name = self.manifest, next((x.name for x in self.shards or [] if x.idx == self.current), "")
+        counted = {"reads": self.reads, "writes": self.writes, "errors": self.errors}
         count = lww.key_count(self.changes())
-        return count.select(F.lit(m.writes).alias("writes"), "key_count", F.lit(len(m.runs)).alias("runs"), F.lit(len(m.log)).alias("log_segments"), F.lit(shard_name).alias("shard_name"), F.lit(self.current).alias("shard_idx"))
+        return count.select(metrics.uptime(F.lit(self.started)).alias("uptime"), *[F.lit(v).cast("bigint").alias(k) for k, v in counted.items()], "key_count", F.lit(name).alias("shard_name"), F.lit(self.current).alias("shard_idx"), F.lit(len(m.runs)).alias("runs"), F.lit(len(m.log)).alias("log_segments"))

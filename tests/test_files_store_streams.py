@@ -127,6 +127,7 @@ def test_read_only_store_takes_replicated_puts(spark, tmp_path):
     for write in (lambda: store.put(kv(spark, ("a", "1"))), lambda: store.delete(keys(spark, "a")), store.purge, lambda: store.delete_where(F.lit(True))):
         with pytest.raises(ReadOnly):
             write()
+    assert store.errors == 4
     store.put_on_replica(kv(spark, ("a", "1")))
     assert store.get_one("a") == b"1" and store.next_pending().isEmpty()
 
@@ -144,7 +145,10 @@ def test_store_replication_and_purge(spark, tmp_path):
     assert store.next_pending().first()["key"] == ""
     store.purge()
     assert {r["key"] for r in store.scan().collect()} == {"", "foo"}
-    assert store.metrics("B").first()["key_count"] == 2
+    assert {r["key"]: (r["shard"], r["current"]) for r in store.route(keys(spark, "foo", "hello")).collect()} == {"foo": (1, True), "hello": (2, False)}
+    row = store.metrics().first()
+    assert (row["key_count"], row["shard_name"], row["shard_idx"], row["writes"], row["errors"]) == (2, "B", 1, 4, 0)
+    assert row["uptime"].startswith("0h")
 
 
 def test_acks_and_messages(spark, log):
