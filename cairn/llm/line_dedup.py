@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import arrow_map, materialise
+from cairn.llm._common import arrow_map, materialise, small_or_not
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -181,11 +181,12 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     often = counted.groupBy("template").agg(F.sum("times").alias("times")).where(F.col("times") >= min_docs)
     named = materialise(counted.join(often, "template", "left_semi").select("line_id", "template"))
 
-    met = places.join(named, "line_id").select("key", "digest", "pos", "template")
+    met = places.join(small_or_not(named), "line_id").select("key", "digest", "pos", "template")
     each = met.groupBy("template", "key", "digest").agg(F.min("pos").alias("pos"))
     order = F.struct(F.col("key").isNull().alias("none"), "key", "digest", "pos")
     many = each.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
-    out = met.join(many.select("template", "first"), "template").where(~order.eqNullSafe(F.col("first")))
+    many = materialise(many.select("template", "first"))
+    out = met.join(small_or_not(many), "template").where(~order.eqNullSafe(F.col("first")))
     return out.groupBy("key", "digest").agg(F.collect_set("pos").alias("gone"))
 
 
