@@ -33,6 +33,7 @@ def test_article_without_the_rest():
         ("<article><p a='>'>x</p><p b=\"unclosed>y</p></article>", "x\ny"),
         ('<article class="post comments-open"><p>a</p></article>', "a"),
         ('<article class="post"><p>a</p></article><article class="comment even"><p>c</p></article>', "a"),
+        ('<article><p data-state="hidden" title="class=ad" data-id="menu">a</p><p HIDDEN>b</p><p Class=Menu>c</p></article>', "a"),
         ("<main><div>m</div></main><div>o</div>", "m"),
         ("<nav>n</nav><div>one</div><div>two</div>", "one\ntwo"),
         ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
