@@ -14,7 +14,9 @@ a line's text moves.  Equal lines are counted before templates are sought, and
 a leaf with very many different lines is parsed in parts whose templates are
 then merged.
 
-Edge cases: lines of fewer than ``MIN_TOKENS`` tokens always stay; null texts
+Edge cases: lines of fewer than ``min_tokens`` tokens always stay, which is
+``MIN_TOKENS`` where a caller says nothing and 1 in the queries, so that only blank
+lines are exempt there; in lines of one and two tokens all tokens must agree; null texts
 stay null and empty ones empty; a document whose lines all go gets the empty
 text; rows that repeat a key and a text are one document; a null key counts as a
 document of its own, after all others; an empty table gives an empty result.
@@ -119,13 +121,13 @@ def _place(leaf: int) -> int:
     return leaf % PLACES
 
 
-def _places_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _places_of(batch: pa.RecordBatch, min_tokens: int) -> pa.RecordBatch:
     """(key, digest, text) -> (key, digest, pos, leaf, line_id) of every line that counts."""
     take, pos, leaf, line = [], [], [], []
     for i, text in enumerate(batch.column(2).to_pylist()):
         for p, raw in enumerate(text.split("\n")):
             tokens = _normal(raw)
-            if len(tokens) >= MIN_TOKENS:
+            if len(tokens) >= min_tokens:
                 take.append(i)
                 pos.append(p)
                 leaf.append(_leaf(tokens))
@@ -134,14 +136,14 @@ def _places_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64())], ["key", "digest", "pos", "leaf", "line_id"])
 
 
-def _lines_in(texts: list[str], wanted: np.ndarray) -> pa.RecordBatch:
+def _lines_in(texts: list[str], wanted: np.ndarray, min_tokens: int) -> pa.RecordBatch:
     """The lines of leaves whose places are ``wanted``: (leaf, line_id, line, times)."""
     times: dict[str, int] = {}
     leaves: dict[str, int] = {}
     for text in texts:
         for raw in text.split("\n"):
             tokens = _normal(raw)
-            if len(tokens) >= MIN_TOKENS:
+            if len(tokens) >= min_tokens:
                 leaf = _leaf(tokens)
                 place = _place(leaf)
                 if wanted[place >> 3] >> (place & 7) & 1:
@@ -157,18 +159,19 @@ def _parse(lines: DataFrame) -> DataFrame:
     return lines.select("leaf", "part", "line").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line").mapInArrow(_parsed, "leaf long, line string, template string")
 
 
-def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Documents with lines to drop: (key, digest of the text, gone: line numbers from 0)."""
+    min_tokens = max(1, min_tokens)  # a blank line is no line
     docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
     kind = df.schema[key].dataType.simpleString()
-    places = materialise(arrow_map(docs, _places_of, f"key {kind}, digest long, pos int, leaf long, line_id long"))
+    places = materialise(arrow_map(docs, lambda batch: _places_of(batch, min_tokens), f"key {kind}, digest long, pos int, leaf long, line_id long"))
     leaves = places.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     # at most PLACES integers, whatever the data's size
     wanted = np.zeros(PLACES // 8, np.uint8)
     for r in leaves.select(F.pmod("leaf", F.lit(PLACES)).alias("place")).distinct().toLocalIterator():
         wanted[r["place"] >> 3] |= 1 << (r["place"] & 7)
     shared = df.sparkSession.sparkContext.broadcast(wanted)
-    likely = arrow_map(docs.select("text"), lambda batch: _lines_in(batch.column(0).to_pylist(), shared.value), "leaf long, line_id long, line string, times long")
+    likely = arrow_map(docs.select("text"), lambda batch: _lines_in(batch.column(0).to_pylist(), shared.value, min_tokens), "leaf long, line_id long, line string, times long")
     different = likely.groupBy("leaf", "line_id", "line").agg(F.sum("times").alias("times")).join(leaves, "leaf")
     different = materialise(different.withColumn("part", F.pmod("line_id", F.ceil(F.col("n") / PART)).cast("int")))
 
@@ -190,9 +193,9 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     return out.groupBy("key", "digest").agg(F.collect_set("pos").alias("gone"))
 
 
-def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``df`` with the recurring lines gone from ``text``, and ``lines_dropped``, how many of the row's went."""
-    gone = recurring_lines(df, text, key, min_docs).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
+    gone = recurring_lines(df, text, key, min_docs, min_tokens).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
     joined = df.join(gone, F.col("__key").eqNullSafe(F.col(key)) & (F.col("__digest") == F.xxhash64(text)), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     dropped = F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_dropped")

@@ -104,7 +104,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.line_dedup import drop_recurring_lines
 
-    out = drop_recurring_lines(read_table(spark, sf_dir, "documents"))
+    out = drop_recurring_lines(read_table(spark, sf_dir, "documents"), min_tokens=1)
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "lines_dropped", "text")
 
 

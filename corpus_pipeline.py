@@ -40,7 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = drop_recurring_lines(docs).where((F.col("lines_dropped") == 0) | (F.trim(F.translate("text", "\t\r\n", "   ")) != ""))
+    out = drop_recurring_lines(docs, min_tokens=1).where((F.col("lines_dropped") == 0) | (F.trim(F.translate("text", "\t\r\n", "   ")) != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -68,3 +68,16 @@ def test_odd_tables(odd_docs, docs):
     assert {r["doc_id"]: r["text"] for r in out.where("doc_id < 5").collect()} == {r["doc_id"]: r["text"] for r in odd_docs.where("doc_id < 5").collect()}
     assert [r["text"] for r in out.where("doc_id = 5").collect()] == ["", ""]
     assert ld.drop_recurring_lines(docs("x").where("false")).isEmpty()
+
+
+def test_short_lines_go_by_the_same_threshold(docs, spark, tmp_path):
+    import corpus_pipeline
+    from cairn.llm import queries
+
+    own = [a + b for a in "abcdef" for b in "uvwxy"]
+    df = docs(*[f"{x} is where this one begins\nMenu\n\nRead more\n{x}" for x in own])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op9_line_dedup(spark, str(tmp_path)), corpus_pipeline.line_dedup(spark, df, str(tmp_path))):
+        got = {x["doc_id"]: x["text"].split("\n") for x in out.collect()}
+        assert got[0] == ["au is where this one begins", "Menu", "", "Read more", "au"]
+        assert all(got[i] == [f"{x} is where this one begins", "", x] for i, x in enumerate(own) if i)
