@@ -5,7 +5,8 @@ A line's place in the tree is fixed by its number of tokens and its first
 templates: a line joins the first template that agrees with it in a share of
 ``SIMILARITY`` of the tokens at least, and where they differ the template has a
 variable field.  A template that occurs in ``MIN_DOCS`` documents or more is
-recurring: its lines are dropped everywhere but at its first occurrence (the
+recurring, and one of ``PASSAGE`` tokens or more, which chance does not repeat, in
+``PASSAGE_DOCS`` already: its lines are dropped everywhere but at its first occurrence (the
 smallest key, then the smallest line number), so that of a passage or of a
 group of copies one remains.
 
@@ -38,7 +39,10 @@ from cairn.llm._common import arrow_map, materialise, small_or_not
 
 DEPTH = 3
 SIMILARITY = 0.7
-MIN_DOCS = 20
+MIN_DOCS = 5
+#: Lines of so many tokens are passages, for which fewer documents do.
+PASSAGE = 20
+PASSAGE_DOCS = 3
 MIN_TOKENS = 3
 #: Different lines of a leaf that are parsed together.
 PART = 20_000
@@ -110,7 +114,14 @@ def _signed(digest: int) -> int:
 
 
 def _leaf(tokens: list[str]) -> int:
-    return _signed(xxhash.xxh3_64_intdigest("\n".join(tokens[:DEPTH]).encode("utf-8", "surrogatepass"), len(tokens)))
+    """A hash of the leaf; its last bit says whether the leaf's lines are passages."""
+    digest = xxhash.xxh3_64_intdigest("\n".join(tokens[:DEPTH]).encode("utf-8", "surrogatepass"), len(tokens))
+    return _signed(digest & ~1 | (len(tokens) >= PASSAGE))
+
+
+def _needed(col: str, min_docs: int) -> F.Column:
+    """The documents that make a template recurring; ``col`` is a leaf, or a template with the leaf's last bit."""
+    return F.when(F.col(col).bitwiseAND(F.lit(1)) == 1, min(min_docs, PASSAGE_DOCS)).otherwise(min_docs)
 
 
 def _line_id(tokens: list[str]) -> int:
@@ -165,7 +176,7 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
     kind = df.schema[key].dataType.simpleString()
     places = materialise(arrow_map(docs, lambda batch: _places_of(batch, min_tokens), f"key {kind}, digest long, pos int, leaf long, line_id long"))
-    leaves = places.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    leaves = places.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= _needed("leaf", min_docs))
     # at most PLACES integers, whatever the data's size
     wanted = np.zeros(PLACES // 8, np.uint8)
     for r in leaves.select(F.pmod("leaf", F.lit(PLACES)).alias("place")).distinct().toLocalIterator():
@@ -179,15 +190,16 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     large = different.where(F.col("n") > PART).select("leaf").distinct()
     merged = _parse(first.join(large, "leaf", "left_semi").select("leaf", F.lit(0).alias("part"), F.col("template").alias("line")).distinct())
     merged = merged.select("leaf", F.col("line").alias("template"), F.col("template").alias("final"))
-    found = first.join(merged, ["leaf", "template"], "left").select("leaf", "line", F.xxhash64("leaf", F.coalesce("final", "template")).alias("template"))
+    template = F.xxhash64("leaf", F.coalesce("final", "template")).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("leaf").bitwiseAND(F.lit(1)))
+    found = first.join(merged, ["leaf", "template"], "left").select("leaf", "line", template.alias("template"))
     counted = found.join(different.select("leaf", "line", "line_id", "times"), ["leaf", "line"])
-    often = counted.groupBy("template").agg(F.sum("times").alias("times")).where(F.col("times") >= min_docs)
+    often = counted.groupBy("template").agg(F.sum("times").alias("times")).where(F.col("times") >= _needed("template", min_docs))
     named = materialise(counted.join(often, "template", "left_semi").select("line_id", "template"))
 
     met = places.join(small_or_not(named), "line_id").select("key", "digest", "pos", "template")
     each = met.groupBy("template", "key", "digest").agg(F.min("pos").alias("pos"))
     order = F.struct(F.col("key").isNull().alias("none"), "key", "digest", "pos")
-    many = each.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
+    many = each.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= _needed("template", min_docs))
     many = materialise(many.select("template", "first"))
     out = met.join(small_or_not(many), "template").where(~order.eqNullSafe(F.col("first")))
     return out.groupBy("key", "digest").agg(F.collect_set("pos").alias("gone"))

@@ -81,3 +81,13 @@ def test_short_lines_go_by_the_same_threshold(docs, spark, tmp_path):
         got = {x["doc_id"]: x["text"].split("\n") for x in out.collect()}
         assert got[0] == ["au is where this one begins", "Menu", "", "Read more", "au"]
         assert all(got[i] == [f"{x} is where this one begins", "", x] for i, x in enumerate(own) if i)
+
+
+def test_lines_and_passages_of_few_documents_go(docs):
+    own = [a + b for a in "abcdef" for b in "uvwxy"]
+    passage = " ".join(f"{x}tion" for x in own) + " " + " ".join(f"{x}ing" for x in own)
+    line, rare = "Released under the terms of that license.", "a line that two writers had both"
+    texts = [f"{x} is where this one begins" + "".join(f"\n{y}" for y, n in ((passage, 3), (line, 5), (rare, 2)) if i < n) for i, x in enumerate(own)]
+    got = [r["text"] for r in ld.drop_recurring_lines(docs(*texts)).orderBy("doc_id").collect()]
+    assert [sum(y in x.split("\n") for x in got) for y in (passage, line, rare)] == [1, 1, 2]
+    assert got[0] == texts[0] and [x.split("\n")[0] for x in got] == [x.split("\n")[0] for x in texts]
