@@ -13,7 +13,9 @@ page, asides, notices, adverts, forms, scripts, styles and comments (by tag, rol
 class or id) have importance 0, and what is inside of ``article`` or ``main`` and
 is none of these has importance 1, however often a site repeats it.  Where a page
 has such a part, only that is its main text; where just a class or id says so,
-that part is, under the importances of its branches.
+that part is, under the importances of its branches.  An element whose class or id
+also says something else ("layout has-sidebar") does not hide a main element below
+it, nor an article where the page has no other main part.
 
 Pages with equal html are counted once.  A host with two or fewer pages gives no
 evidence, and everything there that is not of importance 0 stays.
@@ -78,7 +80,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
-NEUTRAL, NOISE, MAIN, LIKELY = 0, 1, 2, 3
+# NAMED is noise by a class or id that says something else as well, such as "layout has-sidebar"
+NEUTRAL, NOISE, MAIN, LIKELY, NAMED = 0, 1, 2, 3, 4
 
 
 class Node:
@@ -109,8 +112,11 @@ def _role(tag: str, attributes: str, in_main: bool) -> tuple[int, str]:
                 words = {w.lower() for w in _WORD.findall(value)}
                 noise = words & NOISE_WORDS - (HEADER_WORDS if in_main else set())
                 # an article is noise only by a name that says nothing else, such as "comment"
-                if noise and (role != MAIN or any(t and all(w.lower() in NOISE_WORDS for w in _WORD.findall(t)) for t in value.split())):
+                only = noise and any(t and all(w.lower() in NOISE_WORDS for w in _WORD.findall(t)) for t in value.split())
+                if only:
                     role = NOISE
+                elif noise and role not in (MAIN, NOISE):
+                    role = NAMED
                 elif role == NEUTRAL and words & MAIN_WORDS:
                     role = LIKELY
             elif name == "role" and value.lower() in NOISE_ROLES:
@@ -122,11 +128,29 @@ def _role(tag: str, attributes: str, in_main: bool) -> tuple[int, str]:
     return role, names
 
 
+def _open_wrappers(root: Node) -> None:
+    """Makes ``NAMED`` elements neutral that hold a main element, or an article where the page has no other main part."""
+    nodes, above, seen = [root], [-1], [True]
+    for i, node in enumerate(nodes):  # grows meanwhile
+        for c in node.children:
+            if isinstance(c, Node) and c.role != NOISE:
+                nodes.append(c)
+                above.append(i)
+                seen.append(seen[i] and c.role != NAMED)
+    holds = [0 if n.role != MAIN else 1 if n.tag == "article" else 2 for n in nodes]
+    least = 2 if any(h and s for h, s in zip(holds, seen, strict=True)) else 1
+    for i in range(len(nodes) - 1, 0, -1):
+        if nodes[i].role == NAMED and holds[i] >= least:
+            nodes[i].role = NEUTRAL
+        holds[above[i]] = max(holds[above[i]], holds[i])
+
+
 def parse(page: str) -> Node:
     """The page's tree; forgiving, and without recursion."""
     root = Node("#root", 0, NEUTRAL)
     stack = [root]
     at, end = 0, len(page)
+    named = False
     while at < end:
         begin = page.find("<", at)
         if begin < 0:
@@ -173,6 +197,7 @@ def parse(page: str) -> Node:
         attributes = found.group(3)
         in_main = any(n.role in (MAIN, LIKELY) for n in stack)
         role, names = _role(tag, attributes, in_main)
+        named |= role == NAMED
         node = Node(tag, _path(stack[-1].path, tag, names), role)
         stack[-1].children.append(node)
         if tag in RAW_TAGS:
@@ -185,6 +210,8 @@ def parse(page: str) -> Node:
             continue
         if tag not in VOID and not attributes.endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)
+    if named:
+        _open_wrappers(root)
     return root
 
 
@@ -218,7 +245,7 @@ def blocks(root: Node) -> list[Block]:
             trail.pop()
         elif isinstance(node, str):
             held.append(node)
-        elif node.role == NOISE:
+        elif node.role in (NOISE, NAMED):
             if node.tag in BLOCK:
                 flush()
         elif node.tag == "br":

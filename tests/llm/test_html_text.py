@@ -68,3 +68,18 @@ def test_site_tree_drops_what_a_host_repeats(spark, monkeypatch, most):
 
 def test_empty_table(spark):
     assert ht.extract(pages(spark, [])).isEmpty()
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<div class="layout has-sidebar"><article><p>a</p></article><div class="sidebar">s</div></div>', "a"),
+        ('<div class="content no-sidebar"><div id="with-menu"><main>m</main></div></div>', "m"),
+        ('<div class="layout has-sidebar"><main>m</main></div><article>teaser</article>', "m\nteaser"),
+        ('<main>m</main><div class="related-posts"><article>teaser</article></div>', "m"),
+        ('<div class="has-sidebar"><nav><article>n</article></nav></div><div>d</div>', "d"),
+        ('<div class="content has-sidebar" role="main">m</div><div>d</div>', "m"),
+    ],
+)
+def test_wrappers_with_a_noise_word_do_not_hide_the_article(page, want):
+    assert text(page) == want
