@@ -1,39 +1,52 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host's pages are merged: nodes with one path of tags, classes and
-ids are one node of the tree.  Its presentation is the sequence of its children's
-tags, and the entropy of the presentations over the pages (to the base of the
-number of pages) is its presentation importance.  A text in a node that k of m
-pages have there has the content importance 1 - log k / log m.  A branch's
-importance is that of its own presentation and of what it holds, weighed by the
-length of the text, and branches below ``LEAST`` are removed from a page.
-
-What elements say of themselves counts first: menus, headers and footers of the
-page, asides, notices, adverts, forms, scripts, styles and comments (by tag, role,
-class or id) have importance 0, and what is inside of ``article`` or ``main`` and
-is none of these has importance 1, however often a site repeats it.  Where a page
-has such a part, only that is its main text; where just a class or id says so,
-that part is, under the importances of its branches.  An element whose class or id
-also says something else ("layout has-sidebar") does not hide a main element below
-it, nor an article where the page has no other main part.
-
-Pages with equal html are counted once.  A host with two or fewer pages gives no
-evidence, and everything there that is not of importance 0 stays.
+The DOMs of a host's pages are merged: a node of the tree is a path of tags,
+classes, ids and places among siblings of one kind (the first ``OWN_PLACES`` are
+nodes of their own, all later ones are one, so that the paragraphs of long pages
+meet).  On every page a node has a presentation, the sequence of its block
+children's tags, and a content, the text of its whole branch.  Over the pages
+each has an entropy, to the base of how often it was seen: 0 where all pages show
+the same, 1 where all differ.  The mean of both is what the site says of a node
+(of one that never has block children, the content's alone).
+
+A branch's importance on a page is a weighed mean of three things: the importance
+of the branch that it is in (weight 1), what its tag, role, class or id say of it
+(``EVIDENCE``), and what the site says, whose weight is the logarithm of how often
+the node was seen, ``MOST_PAGES_WEIGHT`` at most, times the share of the host's pages
+that have it.  From the top down, branches below ``LEAST`` are removed.  So the
+site removes what it repeats, in an article too, and an article that is the same
+on a large site's pages; names that say noise outweigh any entropy, because adverts
+and comments can be as different from page to page as articles are.
+
+Of what is left, where a page has an ``article`` or ``main``, only such parts are its
+main text; else, where parts that just a class or id calls the content hold at
+least ``LIKELY_SHARE`` of the text, only these.  An element whose class or id also
+says something else ("layout has-sidebar") counts as neutral where it holds a main
+element, or an article on a page without another main part.  Inline elements of noise and
+what is never shown (scripts, styles, head and the like) have no text at all.
+
+Pages with equal html are counted once.  A node seen twice or less gives no
+evidence, as on a host with so few pages; there names and the branch above decide.
 
 Text is taken block by block (paragraph, heading, list item, cell, ...), with
 character references decoded and white space made one space; blocks are joined
 by a newline.
 
+A page is parsed once: its nodes and blocks are written to a table in the shared
+folder, from which the trees are counted and the texts are put together.
+
 Edge cases: null and empty html gives the empty text; broken markup is read as
 far as it can be (open elements end with the page, an unfinished tag or comment
 goes); a null or odd url belongs to the host ''; repeated rows are extracted
-each; an empty table gives an empty result; pages are read whole.
+each; an empty table gives an empty result; other columns are ignored, whatever
+their names; pages are read whole.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +54,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import arrow_map, materialise
+from cairn.llm._common import arrow_map, materialise, small_or_not
+from cairn.sources.scratch import scratch_path
 
 #: Parts that only their class or id calls the content count as such from this share of the page's text.
 LIKELY_SHARE = 0.3
-#: The share of what a branch holds in its importance, the rest being its own presentation.
-CONTENT_SHARE = 0.9
-LEAST = 0.3
+LEAST = 0.4
+MOST_PAGES_WEIGHT = 8.0
+#: Evidence of the site that weighs less than this is left out.
+LEAST_WEIGHT = 0.01
+OWN_PLACES = 3
 #: Rows of the site trees that are broadcast; larger trees are joined.
 BROADCAST_ROWS = 200_000
+#: Pages of a host that are joined with its tree in one task.
+PAGES_AT_ONCE = 5_000
 #: Nesting beyond this is flattened.
 MAX_DEPTH = 500
 
@@ -59,7 +77,8 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-NOISE_TAGS = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "button", "select", "textarea", "input", "label", "fieldset", "head", "title", "menu", "dialog", "audio", "video", "map"}
+NOISE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "input", "label", "fieldset", "menu", "dialog"}
+UNSEEN_TAGS = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "head", "title", "audio", "video", "map"}
 RAW_TAGS = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "status"}
 NOISE_WORDS = {
@@ -82,24 +101,33 @@ _SPACE = re.compile(r"\s+")
 
 # NAMED is noise by a class or id that says something else as well, such as "layout has-sidebar"
 NEUTRAL, NOISE, MAIN, LIKELY, NAMED = 0, 1, 2, 3, 4
+#: What roles say of an element's importance: a value, and how much it weighs.  The weight of noise exceeds all else: (1 + 8) / (1 + 16 + 8) < LEAST.
+EVIDENCE = {NEUTRAL: (0.0, 0.0), NOISE: (0.0, 16.0), NAMED: (0.0, 16.0), MAIN: (1.0, 4.0), LIKELY: (1.0, 1.0)}
 
 
 class Node:
-    __slots__ = ("tag", "path", "role", "children")
+    __slots__ = ("tag", "path", "role", "children", "kinds")
 
     def __init__(self, tag: str, path: int, role: int) -> None:
         self.tag, self.path, self.role = tag, path, role
         self.children: list[Node | str] = []
+        self.kinds: dict[str, int] = {}
+
+    def path_of(self, tag: str, names: str) -> int:
+        """The tree's node of a new child."""
+        kind = f"{tag}.{names}"
+        place = self.kinds[kind] = min(self.kinds.get(kind, -1) + 1, OWN_PLACES)
+        return _digest(f"{place}.{kind}", self.path)
 
 
-def _path(parent: int, tag: str, names: str) -> int:
-    return xxhash.xxh64_intdigest(f"{tag}.{names}".encode("utf-8", "surrogatepass"), parent) & 0x7FFFFFFFFFFFFFFF
+def _digest(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) & 0x7FFFFFFFFFFFFFFF
 
 
 def _role(tag: str, attributes: str, in_main: bool) -> tuple[int, str]:
     """What an element says it is, and its classes and ids."""
     names, role = "", NEUTRAL
-    if tag in NOISE_TAGS or (tag == "header" and not in_main):
+    if tag in NOISE_TAGS or tag in UNSEEN_TAGS or (tag == "header" and not in_main):
         role = NOISE
     elif tag in ("article", "main"):
         role = MAIN
@@ -198,7 +226,7 @@ def parse(page: str) -> Node:
         in_main = any(n.role in (MAIN, LIKELY) for n in stack)
         role, names = _role(tag, attributes, in_main)
         named |= role == NAMED
-        node = Node(tag, _path(stack[-1].path, tag, names), role)
+        node = Node(tag, stack[-1].path_of(tag, names), role)
         stack[-1].children.append(node)
         if tag in RAW_TAGS:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -215,27 +243,48 @@ def parse(page: str) -> Node:
     return root
 
 
-class Block:
-    """A run of text within one block element."""
-
-    __slots__ = ("node", "trail", "text")
+@dataclass
+class Page:
+    """What a page adds to its site's tree, and what its text is made from."""
 
-    def __init__(self, node: Node, trail: list[Node], text: str) -> None:
-        self.node, self.trail, self.text = node, trail, text
+    nodes: list[int]  # in page order, only those with text in their branch
+    up: list[int]  # the node that one is in; -1 for the first
+    roles: list[int]
+    shown: list[int]  # presentation; 0 without block children
+    said: list[int]  # content
+    at: list[int]  # the node of each block
+    texts: list[str]
 
 
-def blocks(root: Node) -> list[Block]:
-    """The texts outside noise, in page order, each with the block elements above it."""
-    out: list[Block] = []
+def read_page(page: str | None) -> Page:
+    """The page's blocks of text in page order, each with its node; noise among them."""
+    root = parse(page or "")
+    out = Page([], [], [], [], [], [], [])
+    digests: list[list[int]] = []
     held: list[str] = []
-    trail: list[Node] = [root]
+    trail: list[tuple[Node, int]] = []  # block elements around, and their numbers, -1 while they have no text
 
     def flush() -> None:
-        if held:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(held))).strip()
-            held.clear()
-            if text:
-                out.append(Block(trail[-1], list(trail), text))
+        if not held:
+            return
+        text = _SPACE.sub(" ", html_lib.unescape("".join(held))).strip()
+        held.clear()
+        if not text:
+            return
+        digest = _digest(text)
+        for i, (node, number) in enumerate(trail):
+            if number < 0:
+                number = len(out.nodes)
+                trail[i] = node, number
+                out.nodes.append(node.path)
+                out.up.append(trail[i - 1][1] if i else -1)
+                out.roles.append(node.role)
+                inner = [c.tag for c in node.children if isinstance(c, Node) and c.tag in BLOCK]
+                out.shown.append(_digest(" ".join(inner)) if inner else 0)
+                digests.append([])
+            digests[number].append(digest)
+        out.at.append(trail[-1][1])
+        out.texts.append(text)
 
     todo: list[tuple[int, Node | str]] = [(0, root)]
     while todo:
@@ -245,138 +294,118 @@ def blocks(root: Node) -> list[Block]:
             trail.pop()
         elif isinstance(node, str):
             held.append(node)
-        elif node.role in (NOISE, NAMED):
+        elif node.tag in UNSEEN_TAGS or (node.role in (NOISE, NAMED) and node.tag not in BLOCK):
             if node.tag in BLOCK:
                 flush()
         elif node.tag == "br":
             held.append(" ")
         else:
-            if node.tag in BLOCK:
+            if node.tag in BLOCK or node is root:
                 flush()
-                trail.append(node)
+                trail.append((node, -1))
                 todo.append((1, node))
             todo.extend((0, c) for c in reversed(node.children))
-    flush()
+    out.said = [xxhash.xxh64_intdigest(np.array(d, np.int64).tobytes()) & 0x7FFFFFFFFFFFFFFF for d in digests]
     return out
 
 
-def _feature(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF
-
-
-def features(page: str | None) -> list[tuple[int, bool, int]]:
-    """(node, is it content, presentation or text) of a page's merged nodes."""
-    got = set()
-    for block in blocks(parse(page or "")):
-        got.add((block.node.path, True, _feature(block.text)))
-        for node in block.trail:
-            got.add((node.path, False, _feature(" ".join(c.tag for c in node.children if isinstance(c, Node)))))
-    return sorted(got)
-
-
-def main_text(page: str | None, content: dict[tuple[int, int], float], presentation: dict[int, float]) -> str:
-    """The page's main text under its site's importances: of (node, text), and of nodes; 1 where there is none."""
-    found = blocks(parse(page or ""))
-    inside = [b for b in found if any(n.role == MAIN for n in b.trail)]
-    if inside:
-        return "\n".join(b.text for b in inside)
-    likely = [b for b in found if any(n.role == LIKELY for n in b.trail)]
-    if sum(len(b.text) for b in likely) >= LIKELY_SHARE * sum(len(b.text) for b in found):
-        found = likely
-    # importance of every branch, from the blocks in it
-    weight: dict[int, float] = {}
-    held: dict[int, float] = {}
-    for b in found:
-        own = content.get((b.node.path, _feature(b.text)), 1.0)
-        for n in b.trail:
-            weight[id(n)] = weight.get(id(n), 0.0) + len(b.text)
-            held[id(n)] = held.get(id(n), 0.0) + own * len(b.text)
-    value = lambda n: (1 - CONTENT_SHARE) * presentation.get(n.path, 1.0) + CONTENT_SHARE * held[id(n)] / weight[id(n)]
-    kept = [b for b in found if all(value(n) >= LEAST for n in b.trail[1:] or b.trail)]
-    return "\n".join(b.text for b in kept)
+def importances(page: Page, site: dict[int, tuple[float, float]]) -> list[float]:
+    """The importance of each of the page's branches; 0 below a removed one.  ``site``: (value, weight) of nodes."""
+    out: list[float] = []
+    for node, up, role in zip(page.nodes, page.up, page.roles, strict=True):
+        above = out[up] if up >= 0 else 1.0
+        named, by_name = EVIDENCE[role]
+        seen, by_site = site.get(node, (0.0, 0.0))
+        value = (above + named * by_name + seen * by_site) / (1.0 + by_name + by_site)
+        out.append(value if above >= LEAST else 0.0)
+    return out
+
+
+def main_text(page: Page, site: dict[int, tuple[float, float]]) -> str:
+    """The page's main text under what its site's tree says of its nodes."""
+    value = importances(page, site)
+    inside: list[int] = []  # the best kind of part that a node is in: 2 main, 1 likely, 0 neither
+    for up, role, v in zip(page.up, page.roles, value, strict=True):
+        own = 0 if v < LEAST else 2 if role == MAIN else 1 if role == LIKELY else 0
+        inside.append(max(own, inside[up] if up >= 0 else 0))
+    kept = [(inside[a], t) for a, t in zip(page.at, page.texts, strict=True) if value[a] >= LEAST]
+    least = 2 if any(i == 2 for i, _ in kept) else 1 if sum(len(t) for i, t in kept if i) >= LIKELY_SHARE * sum(len(t) for _, t in kept) else 0
+    return "\n".join(t for i, t in kept if i >= least)
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+_LISTS = {"nodes": pa.int64(), "up": pa.int32(), "roles": pa.int8(), "shown": pa.int64(), "said": pa.int64(), "at": pa.int32(), "texts": pa.string()}
+_PARSED = "nodes array<bigint>, up array<int>, roles array<tinyint>, shown array<bigint>, said array<bigint>, at array<int>, texts array<string>"
 
 
-def site_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The merged trees: (host, node, content, feature, importance); of texts only those that more pages than one have."""
+def parsed(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+    """Every page, parsed: (key, url, host, digest, the lists of :class:`Page`)."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), HOST, 1), F.lit("")))
-    source = pages.select(host.alias("host"), F.xxhash64(html).alias("digest"), F.col(html).alias("html"))
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        made = [features(p) for p in batch.column(2).to_pylist()]
-        take = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
-        flat = [f for m in made for f in m]
-        if not flat:
-            return None
-        node, content, feature = zip(*flat, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(node, pa.int64()), pa.array(content, pa.bool_()), pa.array(feature, pa.int64())], ["host", "digest", "node", "content", "feature"])
-
-    met = arrow_map(source, rows, "host string, digest long, node long, content boolean, feature long").distinct()
+    source = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.xxhash64(html).alias("digest"), F.col(html).alias("html"))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [read_page(p) for p in batch.column(4).to_pylist()]
+        lists = []
+        for name, kind in _LISTS.items():
+            parts = [getattr(m, name) for m in made]
+            ends = pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32())
+            lists.append(pa.ListArray.from_arrays(ends, pa.array([v for x in parts for v in x], kind)))
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["key", "url", "host", "digest", *_LISTS])
+
+    kinds = {c: pages.schema[n].dataType.simpleString() for c, n in (("key", key), ("url", url))}
+    return arrow_map(source, rows, f"key {kinds['key']}, url {kinds['url']}, host string, digest long, {_PARSED}")
+
+
+def site_tree(pages: DataFrame) -> DataFrame:
+    """The trees of :func:`parsed` pages: (host, node, value, weight, pages), what the site says of a node, what that weighs and the host's pages.
+
+    Only counts are shuffled, after each task has added up its own, so a host with very many pages costs no more than others.
+    """
+    each = pages.select("host", "digest", F.explode(F.arrays_zip("nodes", "shown", "said")).alias("n"))
+    both = F.explode(F.array(F.struct(F.lit(False).alias("content"), F.col("n.shown").alias("feature")), F.struct(F.lit(True).alias("content"), F.col("n.said").alias("feature"))))
+    met = each.select("host", "digest", F.col("n.nodes").alias("node"), both.alias("f")).select("host", "digest", "node", "f.content", "f.feature").distinct()
     counts = met.groupBy("host", "node", "content", "feature").agg(F.count("*").alias("k"))
-    counts = materialise(counts)
-    seen = counts.groupBy("host", "node", "content").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
-    # every page gives a node one presentation, but maybe several texts
-    shown = seen.where("not content").select("host", "node", F.col("m").alias("pages"), F.when(F.col("m") > 2, (F.log("m") - F.col("klogk") / F.col("m")) / F.log("m")).otherwise(1.0).alias("importance"))
-    texts = counts.where("content and k > 1").join(shown.select("host", "node", "pages"), ["host", "node"])
-    content = texts.select("host", "node", F.lit(True).alias("content"), "feature", F.when(F.col("pages") > 2, F.greatest(F.lit(0.0), 1 - F.log("k") / F.log("pages"))).otherwise(1.0).alias("importance"))
-    return content.unionByName(shown.select("host", "node", F.lit(False).alias("content"), F.lit(0).cast("long").alias("feature"), "importance")).where("importance < 1")
-
-
-def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """One row per page: the key, the url, ``text`` and ``n_chars``."""
-    tree = materialise(site_tree(pages, html, url))
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(url), HOST, 1), F.lit("")))
-    source = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    kind = pages.schema[key].dataType.simpleString()
+    own = counts.groupBy("host", "node", "content").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("klogk"), F.max("feature").alias("top"))
+    entropy = F.when(F.col("m") > 2, (F.log("m") - F.col("klogk") / F.col("m")) / F.log("m"))
+    of = lambda content, c: F.max(F.when(F.col("content") == content, c))
+    nodes = own.groupBy("host", "node").agg(of(True, entropy).alias("said"), of(False, entropy).alias("shown"), of(True, F.col("m")).alias("m"), of(False, F.col("top")).alias("top"))
+    hosts = pages.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    value = F.when(F.col("top") == 0, F.col("said")).otherwise((F.col("said") + F.coalesce("shown", F.lit(0.0))) / 2)
+    weight = F.least(F.lit(MOST_PAGES_WEIGHT), F.log2("m")) * F.least(F.lit(1.0), F.col("m") / F.col("pages"))
+    return nodes.where("m > 2").join(hosts, "host").select("host", "node", value.alias("value"), weight.alias("weight"), "pages").where(F.col("weight") >= LEAST_WEIGHT)
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", use_site: bool = True) -> DataFrame:
+    """One row per page: the key, the url, ``text`` and ``n_chars``.  Without ``use_site`` names alone decide, for comparison."""
+    spark = pages.sparkSession
+    path = scratch_path(spark, "pages")
+    parsed(pages, html, url, key).write.parquet(path)
+    made = spark.read.parquet(path)
+    tree = materialise(site_tree(made) if use_site else site_tree(made).limit(0))
     out = ["key", "url", "text", "n_chars"]
+    columns = ["key", "url", "host", *_LISTS]
 
-    def finished(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    def finished(batch: pa.RecordBatch, sites) -> pa.RecordBatch:
+        lists = zip(*(batch.column(i).to_pylist() for i in range(3, 3 + len(_LISTS))), strict=True)
+        texts = [main_text(Page(*x), site) for x, site in zip(lists, sites, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], out)
 
+    schema = f"key {made.schema['key'].dataType.simpleString()}, url {made.schema['url'].dataType.simpleString()}, text string, n_chars long"
     if tree.count() <= BROADCAST_ROWS:
-        by_host: dict[str, tuple[dict, dict]] = {}
+        by_host: dict[str, dict[int, tuple[float, float]]] = {}
         for r in tree.toLocalIterator():
-            content, presentation = by_host.setdefault(r["host"], ({}, {}))
-            if r["content"]:
-                content[r["node"], r["feature"]] = r["importance"]
-            else:
-                presentation[r["node"]] = r["importance"]
-        shared = pages.sparkSession.sparkContext.broadcast(by_host)
-
-        def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-            known = shared.value
-            return finished(batch, [main_text(p, *known.get(h, ({}, {}))) for p, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
-
-        done = arrow_map(source, rows, f"key {kind}, url string, text string, n_chars long")
+            by_host.setdefault(r["host"], {})[r["node"]] = r["value"], r["weight"]
+        shared = spark.sparkContext.broadcast(by_host)
+        done = arrow_map(made.select(*columns), lambda batch: finished(batch, [shared.value.get(h, {}) for h in batch.column(2).to_pylist()]), schema)
     else:
-        done = _joined(source, tree, kind, finished)
+        # a tree of any size: one row a host, as often as the host's pages fill tasks; a node that counts is on a fair share of the pages, so rows are short
+        parts = F.ceil(F.col("pages") / PAGES_AT_ONCE).cast("int")
+        rows = tree.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(F.struct("node", "value", "weight")).alias("tree"))
+        rows = materialise(rows.select("host", "tree", parts.alias("parts")))
+        split = made.join(small_or_not(materialise(rows.where("parts > 1").select("host", "parts"))), "host", "left")
+        split = split.withColumn("part", F.pmod(F.xxhash64("key", "digest"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        trees = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        joined = split.join(trees.select("host", "part", "tree"), ["host", "part"], "left").select(*columns, "tree")
+        site = lambda entries: {e["node"]: (e["value"], e["weight"]) for e in entries or ()}
+        done = arrow_map(joined, lambda batch: finished(batch, [site(t) for t in batch.column(3 + len(_LISTS)).to_pylist()]), schema)
     return done.withColumnsRenamed({"key": key, "url": url})
-
-
-def _joined(source: DataFrame, tree: DataFrame, kind: str, finished) -> DataFrame:
-    """The same for trees of any size: every page gets the importances of its own nodes and texts by a join."""
-    marked = source.withColumn("mark", F.xxhash64("host", "html"))
-
-    def own(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        made = [features(p) for p in batch.column(2).to_pylist()]
-        take = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
-        flat = [(n, c, f if c else 0) for m in made for n, c, f in m]
-        if not flat:
-            return None
-        node, content, feature = zip(*flat, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(node, pa.int64()), pa.array(content, pa.bool_()), pa.array(feature, pa.int64())], ["host", "mark", "node", "content", "feature"])
-
-    nodes = arrow_map(marked.select("host", "mark", "html"), own, "host string, mark long, node long, content boolean, feature long").distinct()
-    known = nodes.join(tree, ["host", "node", "content", "feature"]).groupBy("mark").agg(F.collect_list(F.struct("node", "content", "feature", "importance")).alias("known"))
-    with_known = marked.join(known, "mark", "left").select("key", "url", "html", "known")
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for page, entries in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            content = {(e["node"], e["feature"]): e["importance"] for e in entries or () if e["content"]}
-            texts.append(main_text(page, content, {e["node"]: e["importance"] for e in entries or () if not e["content"]}))
-        return finished(batch, texts)
-
-    return arrow_map(with_known, rows, f"key {kind}, url string, text string, n_chars long")
