@@ -361,15 +361,17 @@ def site_tree(pages: DataFrame) -> DataFrame:
 
     Only counts are shuffled, after each task has added up its own, so a host with very many pages costs no more than others.
     """
-    each = pages.select("host", "digest", F.explode(F.arrays_zip("nodes", "shown", "said")).alias("n"))
-    both = F.explode(F.array(F.struct(F.lit(False).alias("content"), F.col("n.shown").alias("feature")), F.struct(F.lit(True).alias("content"), F.col("n.said").alias("feature"))))
-    met = each.select("host", "digest", F.col("n.nodes").alias("node"), both.alias("f")).select("host", "digest", "node", "f.content", "f.feature").distinct()
-    counts = met.groupBy("host", "node", "content", "feature").agg(F.count("*").alias("k"))
+    # of pages with equal html each counts for its share, so that nothing but counts is shuffled
+    equal = materialise(pages.groupBy("host", "digest").agg(F.count("*").alias("copies")).where("copies > 1"))
+    weighed = pages.select("host", "digest", "nodes", "shown", "said").join(small_or_not(equal), ["host", "digest"], "left")
+    met = F.expr("array_distinct(flatten(transform(arrays_zip(nodes, shown, said), n -> array(struct(n.nodes AS node, false AS content, n.shown AS feature), struct(n.nodes AS node, true AS content, n.said AS feature)))))")
+    each = weighed.select("host", (1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(met).alias("f"))
+    counts = each.groupBy("host", "f.node", "f.content", "f.feature").agg(F.round(F.sum("share")).cast("long").alias("k"))
     own = counts.groupBy("host", "node", "content").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("klogk"), F.max("feature").alias("top"))
     entropy = F.when(F.col("m") > 2, (F.log("m") - F.col("klogk") / F.col("m")) / F.log("m"))
     of = lambda content, c: F.max(F.when(F.col("content") == content, c))
     nodes = own.groupBy("host", "node").agg(of(True, entropy).alias("said"), of(False, entropy).alias("shown"), of(True, F.col("m")).alias("m"), of(False, F.col("top")).alias("top"))
-    hosts = pages.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = pages.groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
     value = F.when(F.col("top") == 0, F.col("said")).otherwise((F.col("said") + F.coalesce("shown", F.lit(0.0))) / 2)
     weight = F.least(F.lit(MOST_PAGES_WEIGHT), F.log2("m")) * F.least(F.lit(1.0), F.col("m") / F.col("pages"))
     return nodes.where("m > 2").join(hosts, "host").select("host", "node", value.alias("value"), weight.alias("weight"), "pages").where(F.col("weight") >= LEAST_WEIGHT)
@@ -379,7 +381,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
     """One row per page: the key, the url, ``text`` and ``n_chars``.  Without ``use_site`` names alone decide, for comparison."""
     spark = pages.sparkSession
     path = scratch_path(spark, "pages")
-    parsed(pages, html, url, key).write.parquet(path)
+    parsed(pages, html, url, key).write.option("compression", "zstd").parquet(path)
     made = spark.read.parquet(path)
     tree = materialise(site_tree(made) if use_site else site_tree(made).limit(0))
     out = ["key", "url", "text", "n_chars"]
