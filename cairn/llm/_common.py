@@ -5,8 +5,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.shipping import ship
@@ -27,17 +28,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows in an Arrow batch where the session has Spark's own default, which is meant for short rows.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    ship(spark)
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, BATCH_ROWS)
-
-
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` over slices of at most ``ROWS_AT_ONCE`` rows."""
 
@@ -48,7 +38,7 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None and out.num_rows:
                     yield out
 
-    small_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -67,3 +57,42 @@ def unit_hash(*cols, seed: int = 0) -> F.Column:
 def small_or_not(df: DataFrame, most: int = 200_000) -> DataFrame:
     """A materialised frame with a broadcast hint where it has at most ``most`` rows; as it is, for a shuffled join, beyond."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of a row as one struct, by their places, so that no name of the input can clash with one of an operator."""
+    return F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def unpacked(row: str, columns: list[str], **instead: Column) -> list[Column]:
+    """The columns of a :func:`packed` row, some replaced."""
+    return [(instead[c] if c in instead else F.col(f"{row}.c{i}")).alias(c) for i, c in enumerate(columns)]
+
+
+#: Places of a filter at most: 8 MB of bits.
+MOST_PLACES = 1 << 26
+
+
+def place_filter(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """(words, places): a filter of one column of BIGINT hashes, 64-bit words (word, bits) of places ``hash mod places``.
+
+    It has eight places a hash, up to ``MOST_PLACES``, so at most a million rows; beyond that it lets more through, and what it let through is to be checked exactly.
+    """
+    hashes = hashes.toDF("hash")
+    places = min(MOST_PLACES, 1 << max(10, int(8 * hashes.count() - 1).bit_length()))
+    at = hashes.select(F.pmod("hash", F.lit(places)).alias("place"))
+    bits = at.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    return bits.groupBy("word").agg(F.bit_or("bit").alias("bits")), places
+
+
+def filter_array(words: DataFrame, places: int) -> np.ndarray:
+    """The words of a :func:`place_filter` as one array for Python workers."""
+    out = np.zeros(places // 64, np.uint64)
+    table = words.toArrow()
+    out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return out

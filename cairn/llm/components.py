@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import materialise, small_batches
+from cairn.llm._common import materialise
+from cairn.shipping import ship
 
 #: Edges that one task contracts; bounds its memory.
 EDGES_AT_ONCE = 200_000
@@ -45,8 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that is the result; else the large-star and small-star steps alternate until no edge changes.  Each step is a
     partial aggregation and a join, so an id with very many links is split like any skewed key.  No edges give no rows.
     """
-    spark = edges.sparkSession
-    small_batches(spark)
+    ship(edges.sparkSession)
     now = materialise(edges.select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")).where("u <> v").distinct())
     tasks = max(1, math.ceil(now.count() / EDGES_AT_ONCE))
     now = materialise(now.coalesce(tasks).mapInArrow(_contracted, "u long, v long"))

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._common import ROWS_AT_ONCE, arrow_map, materialise, small_batches
+from cairn.llm._common import ROWS_AT_ONCE, arrow_map, materialise
+from cairn.shipping import ship
 
 WINDOW = 7
 SMALLEST_BLOCK = 3
@@ -291,7 +292,7 @@ def compare_with_edit_and_next(df: DataFrame, text: str = "text", key: str = "do
         if held is not None:
             yield edge_row("last", held[0], held[1], held[2])
 
-    small_batches(df.sparkSession)
+    ship(df.sparkSession)
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
     parts = materialise(source.mapInArrow(run, f"part int, edge string, key {kind}, {_DONE}, text string"))
 

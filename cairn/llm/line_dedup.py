@@ -1,31 +1,39 @@
 """Removes recurring lines by a log-template tree.
 
 A line's place in the tree is fixed by its number of tokens and its first
-``DEPTH`` tokens; runs of digits count as one 0.  In each leaf lines become
-templates: a line joins the first template that agrees with it in a share of
-``SIMILARITY`` of the tokens at least, and where they differ the template has a
-variable field.  A template that occurs in ``MIN_DOCS`` documents or more is
+``DEPTH`` tokens; runs of digits count as one 0.  In each leaf, a token that as many
+documents have at its position as make a line recurring is constant there.  A line's
+template is its tokens with every other one generalised: to what most often (in so
+many documents at least) follows the template's token before it, if anything does,
+else to a variable field; after a variable field, to the token that is most frequent at that
+position.  A line that agrees with this in less than a share of ``SIMILARITY`` of
+its tokens is a template of its own.
+
+A template that occurs in ``MIN_DOCS`` documents or more is
 recurring, and one of ``PASSAGE`` tokens or more, which chance does not repeat, in
 ``PASSAGE_DOCS`` already: its lines are dropped everywhere but at its first occurrence (the
 smallest key, then the smallest line number), so that of a passage or of a
 group of copies one remains.
 
-Leaves that hold too few lines for any recurring template are left out before
-a line's text moves.  Equal lines are counted before templates are sought, and
-a leaf with very many different lines is parsed in parts whose templates are
-then merged.
+The tree is counted, not grown line by line: templates depend on the counts of a leaf only,
+never on an order, on parts or on the input's size.  Equal lines are counted before
+fields are, counts are added up before they move, and the lines of a large leaf
+are dealt to many tasks, each with the leaf's table of fields.  Leaves that hold too few lines
+for any recurring template are left out before a line's text moves.
 
 Edge cases: lines of fewer than ``min_tokens`` tokens always stay, which is
 ``MIN_TOKENS`` where a caller says nothing and 1 in the queries, so that only blank
-lines are exempt there; in lines of one and two tokens all tokens must agree; null texts
+lines are exempt there; in lines of one to three tokens all tokens must agree; null texts
 stay null and empty ones empty; a document whose lines all go gets the empty
 text; rows that repeat a key and a text are one document; a null key counts as a
 document of its own, after all others; an empty table gives an empty result.
-Other columns pass through unchanged.
+Other columns pass through unchanged, whatever their names; a column ``lines_dropped``
+of the input is replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,7 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import arrow_map, materialise, small_or_not
+from cairn.llm._common import arrow_map, filter_array, materialise, named, packed, place_filter, small_or_not, unpacked
+from cairn.shipping import ship
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -44,63 +53,49 @@ MIN_DOCS = 5
 PASSAGE = 20
 PASSAGE_DOCS = 3
 MIN_TOKENS = 3
-#: Different lines of a leaf that are parsed together.
-PART = 20_000
-#: The filter of leaves has so many places, whatever the data's size.
-PLACES = 1 << 20
-VARIABLE = "\x00"
+#: Different lines of a leaf that one task parses at once, or as many as the leaf's table has fields; changes no result.
+LINES_AT_ONCE = 128
+#: Stands for a variable field; no token is empty.
+VARIABLE = ""
 
 _DIGITS = re.compile("[0-9]+")
 
 
-class Leaf:
-    """The templates of one leaf.  All lines have the same number of tokens."""
-
-    def __init__(self, size: int) -> None:
-        self.need = max(1, int(np.ceil(SIMILARITY * size)))
-        # two lines that agree in `need` places agree in one of these
-        self.probes = size - self.need + 1
-        self.templates: list[list[str]] = []
-        self.where: dict[tuple[int, str], list[int]] = {}
-
-    def add(self, tokens: list[str]) -> int:
-        seen: set[int] = set()
-        for i in range(self.probes):
-            for t in self.where.get((i, tokens[i]), ()):
-                if t in seen:
-                    continue
-                seen.add(t)
-                known = self.templates[t]
-                same = sum(a == b for a, b in zip(known, tokens, strict=True))
-                if same >= self.need:
-                    if same < len(tokens):
-                        self.templates[t] = [a if a == b else VARIABLE for a, b in zip(known, tokens, strict=True)]
-                    return t
-        self.templates.append(list(tokens))
-        for i in range(self.probes):
-            self.where.setdefault((i, tokens[i]), []).append(len(self.templates) - 1)
-        return len(self.templates) - 1
+def template(tokens: list[str], constant: set[tuple[int, str]], follows: dict[tuple[int, str], str]) -> list[str]:
+    """The template of a line: ``constant`` has (position, token), ``follows`` the most frequent token at (position, token before)."""
+    out = tokens[:DEPTH]
+    same = len(out)
+    for i in range(DEPTH, len(tokens)):
+        if (i, tokens[i]) in constant:
+            out.append(tokens[i])
+            same += 1
+        else:
+            out.append(follows.get((i, out[-1]), VARIABLE))
+    return out if same >= math.ceil(SIMILARITY * len(tokens)) else tokens
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, part, line), ordered by these -> (leaf, line, template) with the template's final text."""
-    now, leaf, lines, at = None, None, [], []
+def _template_id(leaf: int, tokens: list[str]) -> int:
+    """A hash with the leaf's last bit."""
+    return _signed(xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"), leaf & 0xFFFFFFFFFFFFFFFF) & ~1 | (leaf & 1))
 
-    def done() -> pa.RecordBatch:
-        final = [" ".join(t) for t in leaf.templates]
-        return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(lines), pa.int64()), pa.array(lines, pa.string()), pa.array([final[i] for i in at], pa.string())], ["leaf", "line", "template"])
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, part, line_id, line, times, fields), a part's table of fields before its lines -> (line_id, template, times)."""
+    now, constant, follows = None, set(), {}
     for batch in batches:
-        for key, part, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            tokens = line.split(" ")
-            if (key, part, len(tokens)) != now:
-                if lines:
-                    yield done()
-                now, leaf, lines, at = (key, part, len(tokens)), Leaf(len(tokens)), [], []
-            lines.append(line)
-            at.append(leaf.add(tokens))
-    if lines:
-        yield done()
+        lines, found = [], []
+        leaves, parts, texts, tables = (batch.column(i).to_pylist() for i in (0, 1, 3, 5))
+        for i, (leaf, part, line, fields) in enumerate(zip(leaves, parts, texts, tables, strict=True)):
+            if (leaf, part) != now:
+                now, constant, follows = (leaf, part), set(), {}
+            if line is None:
+                constant = {(f["pos"], f["token"]) for f in fields if f["before"] is None}
+                follows = {(f["pos"], VARIABLE if f["before"] is None else f["before"]): f["token"] for f in fields if f["best"]}
+            else:
+                lines.append(i)
+                found.append(_template_id(leaf, template(line.split(" "), constant, follows)))
+        picked = pa.array(lines, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(2).take(picked), pa.array(found, pa.int64()), batch.column(4).take(picked)], ["line_id", "template", "times"])
 
 
 def _normal(line: str) -> list[str]:
@@ -128,10 +123,6 @@ def _line_id(tokens: list[str]) -> int:
     return _signed(xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass")))
 
 
-def _place(leaf: int) -> int:
-    return leaf % PLACES
-
-
 def _places_of(batch: pa.RecordBatch, min_tokens: int) -> pa.RecordBatch:
     """(key, digest, text) -> (key, digest, pos, leaf, line_id) of every line that counts."""
     take, pos, leaf, line = [], [], [], []
@@ -148,55 +139,70 @@ def _places_of(batch: pa.RecordBatch, min_tokens: int) -> pa.RecordBatch:
 
 
 def _lines_in(texts: list[str], wanted: np.ndarray, min_tokens: int) -> pa.RecordBatch:
-    """The lines of leaves whose places are ``wanted``: (leaf, line_id, line, times)."""
+    """The lines of leaves whose places are ``wanted``: (leaf, line_id, line, times: how many of the texts have it)."""
     times: dict[str, int] = {}
     leaves: dict[str, int] = {}
+    places = len(wanted) * 64
+    bits = wanted.tolist() if len(wanted) < 1 << 16 else wanted  # a list is read faster
     for text in texts:
+        own = set()
         for raw in text.split("\n"):
             tokens = _normal(raw)
             if len(tokens) >= min_tokens:
                 leaf = _leaf(tokens)
-                place = _place(leaf)
-                if wanted[place >> 3] >> (place & 7) & 1:
-                    line = " ".join(tokens)
-                    times[line] = times.get(line, 0) + 1
+                place = leaf % places
+                if int(bits[place >> 6]) >> (place & 63) & 1:
+                    own.add(line := " ".join(tokens))
                     leaves[line] = leaf
+        for line in own:
+            times[line] = times.get(line, 0) + 1
     lines = list(times)
     return pa.RecordBatch.from_arrays([pa.array([leaves[x] for x in lines], pa.int64()), pa.array([_line_id(x.split(" ")) for x in lines], pa.int64()), pa.array(lines, pa.string()), pa.array([times[x] for x in lines], pa.int64())], ["leaf", "line_id", "line", "times"])
 
 
-def _parse(lines: DataFrame) -> DataFrame:
-    """Templates of (leaf, part, line)."""
-    return lines.select("leaf", "part", "line").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line").mapInArrow(_parsed, "leaf long, line string, template string")
+def _templates(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(line_id, template, times) of different lines (leaf, line_id, line, times)."""
+    tokens = lines.select("leaf", "times", F.split("line", " ").alias("t")).where(F.size("t") > DEPTH)
+    at = F.expr(f"transform(sequence({DEPTH}, size(t) - 1), i -> struct(i AS pos, t[i - 1] AS before, t[i] AS token))")
+    fields = tokens.select("leaf", "times", F.explode(at).alias("f")).groupBy("leaf", "f.pos", "f.before", "f.token").agg(F.sum("times").alias("times"))
+    needed = F.col("times") >= _needed("leaf", min_docs)
+    common = fields.groupBy("leaf", "pos", F.lit(None).cast("string").alias("before"), "token").agg(F.sum("times").alias("times")).where(needed)
+    often = common.unionByName(fields.where(needed))
+    # of the tokens at one place the most frequent, then the smallest
+    best = often.groupBy("leaf", "pos", "before").agg(F.min(F.struct((-F.col("times")).alias("minus"), "token")).getField("token").alias("first"))
+    best = best.select(F.col("leaf").alias("b_leaf"), F.col("pos").alias("b_pos"), F.col("before").alias("b_before"), "first")
+    marked = often.join(best, (F.col("leaf") == F.col("b_leaf")) & (F.col("pos") == F.col("b_pos")) & F.col("before").eqNullSafe(F.col("b_before")))
+    marked = marked.select("leaf", F.struct("pos", "before", "token", (F.col("token") == F.col("first")).alias("best")).alias("f")).where("f.best or f.before is null")
+    tables = marked.groupBy("leaf").agg(F.collect_list("f").alias("fields"))
+    # leaves of one line have nothing to generalise
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
+    tables = materialise(tables.join(sizes, "leaf").withColumn("parts", F.ceil(F.col("lines") / F.greatest(F.lit(LINES_AT_ONCE), F.size("fields"))).cast("int")))
+    dealt = lines.join(small_or_not(tables.select("leaf", "parts")), "leaf", "left")
+    dealt = dealt.select("leaf", F.pmod("line_id", F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "line_id", "line", "times", F.lit(None).cast(tables.schema["fields"].dataType).alias("fields"))
+    given = tables.select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("line_id"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("bigint").alias("times"), "fields")
+    ordered = dealt.unionByName(given).repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.col("line_id").asc_nulls_first())
+    ship(lines.sparkSession)
+    return ordered.mapInArrow(_parsed, "line_id long, template long, times long")
 
 
 def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Documents with lines to drop: (key, digest of the text, gone: line numbers from 0)."""
     min_tokens = max(1, min_tokens)  # a blank line is no line
-    docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
-    kind = df.schema[key].dataType.simpleString()
+    docs = df.select(named(key).alias("key"), F.xxhash64(named(text)).alias("digest"), named(text).alias("text")).where("text is not null")
+    kind = docs.schema["key"].dataType.simpleString()
     places = materialise(arrow_map(docs, lambda batch: _places_of(batch, min_tokens), f"key {kind}, digest long, pos int, leaf long, line_id long"))
     leaves = places.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= _needed("leaf", min_docs))
-    # at most PLACES integers, whatever the data's size
-    wanted = np.zeros(PLACES // 8, np.uint8)
-    for r in leaves.select(F.pmod("leaf", F.lit(PLACES)).alias("place")).distinct().toLocalIterator():
-        wanted[r["place"] >> 3] |= 1 << (r["place"] & 7)
-    shared = df.sparkSession.sparkContext.broadcast(wanted)
+    leaves = materialise(leaves.select("leaf"))
+    shared = df.sparkSession.sparkContext.broadcast(filter_array(*place_filter(leaves)))
     likely = arrow_map(docs.select("text"), lambda batch: _lines_in(batch.column(0).to_pylist(), shared.value, min_tokens), "leaf long, line_id long, line string, times long")
-    different = likely.groupBy("leaf", "line_id", "line").agg(F.sum("times").alias("times")).join(leaves, "leaf")
-    different = materialise(different.withColumn("part", F.pmod("line_id", F.ceil(F.col("n") / PART)).cast("int")))
-
-    first = _parse(different)
-    large = different.where(F.col("n") > PART).select("leaf").distinct()
-    merged = _parse(first.join(large, "leaf", "left_semi").select("leaf", F.lit(0).alias("part"), F.col("template").alias("line")).distinct())
-    merged = merged.select("leaf", F.col("line").alias("template"), F.col("template").alias("final"))
-    template = F.xxhash64("leaf", F.coalesce("final", "template")).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("leaf").bitwiseAND(F.lit(1)))
-    found = first.join(merged, ["leaf", "template"], "left").select("leaf", "line", template.alias("template"))
-    counted = found.join(different.select("leaf", "line", "line_id", "times"), ["leaf", "line"])
-    often = counted.groupBy("template").agg(F.sum("times").alias("times")).where(F.col("times") >= _needed("template", min_docs))
-    named = materialise(counted.join(often, "template", "left_semi").select("line_id", "template"))
-
-    met = places.join(small_or_not(named), "line_id").select("key", "digest", "pos", "template")
+    different = likely.groupBy("leaf", "line_id", "line").agg(F.sum("times").alias("times"))
+    different = materialise(different.join(small_or_not(leaves), "leaf", "left_semi"))
+
+    found = materialise(_templates(different, min_docs))
+    often = found.groupBy("template").agg(F.sum("times").alias("times")).where(F.col("times") >= _needed("template", min_docs)).select("template")
+    named_lines = materialise(found.join(small_or_not(materialise(often)), "template", "left_semi").select("line_id", "template"))
+
+    met = places.join(small_or_not(named_lines), "line_id").select("key", "digest", "pos", "template")
     each = met.groupBy("template", "key", "digest").agg(F.min("pos").alias("pos"))
     order = F.struct(F.col("key").isNull().alias("none"), "key", "digest", "pos")
     many = each.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= _needed("template", min_docs))
@@ -207,8 +213,11 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
 
 def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``df`` with the recurring lines gone from ``text``, and ``lines_dropped``, how many of the row's went."""
-    gone = recurring_lines(df, text, key, min_docs, min_tokens).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
-    joined = df.join(gone, F.col("__key").eqNullSafe(F.col(key)) & (F.col("__digest") == F.xxhash64(text)), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    dropped = F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_dropped")
-    return joined.select(*[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in df.columns], dropped)
+    gone = recurring_lines(df, text, key, min_docs, min_tokens).toDF("of", "of_digest", "gone")
+    rows = df.select(named(key).alias("key"), F.xxhash64(named(text)).alias("digest"), packed(df).alias("row"))
+    joined = rows.join(gone, F.col("of").eqNullSafe(F.col("key")) & (F.col("of_digest") == F.col("digest")), "left")
+    whole = F.col(f"row.c{df.columns.index(text)}")
+    kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    dropped = F.coalesce(F.size("gone"), F.lit(0)).alias("lines_dropped")
+    columns = unpacked("row", df.columns, **{text: F.when(F.col("gone").isNull(), whole).otherwise(kept)})
+    return joined.select(*[c for c, name in zip(columns, df.columns, strict=True) if name != "lines_dropped"], dropped)

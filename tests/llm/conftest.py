@@ -1,4 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
+
+#: Names that operators use themselves.
+CLASHING = ["gone", "p_top", "expected_grade", "lines_dropped", "copy", "at", "__gone", "id", "class", "row", "mark", "tokens", "of", "block", "whole", "left", "digest", "pos", "cluster", "shard", "bin_id", "kept", "component_id", "n_tokens", "a.b", "c0"]
 
 
 @pytest.fixture
@@ -30,4 +34,5 @@ def odd_docs(spark):
         (None, None, None, None, None, None, None),
         (7, "🙂 é\x00 ß", "xx", "", 7, "", 0),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n long")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n long")
+    return frame.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
