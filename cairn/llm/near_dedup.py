@@ -10,7 +10,8 @@ exact.  A pair at the threshold of 0.75 fails to share a band with a probability
 of 5e-6, and to pass the estimate (0.2 below the threshold, five standard
 deviations) with 3e-7.
 
-Documents with equal sets form a class that is handled as one.  In a band's
+Documents with equal sets form a class that is handled as one; the classes are one
+table, from which buckets, signatures and sizes are read.  In a band's
 bucket not all pairs are made: all members are compared with one pivot, links
 join components, and only buckets that still hold several components get further
 pivots: all members outside the largest component where these are few, else some
@@ -19,13 +20,15 @@ Before that, bounds on what can be in common leave out what can't be a link:
 shingles that no other undecided document has, and those of a bucket's most
 central member that one of two others lacks.
 Work in a large bucket of mutual copies so is in proportion to its size, and no
-link between different components is left out.
+link between different components is left out.  What is known of a bucket is one row,
+joined as a table of its own, so a bucket's members can lie in any number of tasks.
 
 Edge cases: a text that is null, empty or without words has the empty set and is
 linked with nothing; fewer than five words are one shingle, the whole sequence;
-rows that repeat an id belong to the class of their text each, but where an id has
-several texts, links of that id are confirmed on one of them; a null id takes no
-part and has null results; an empty table gives an empty result.  Texts are
+rows that repeat an id belong to the class of their text each, so that an id with
+several texts has all their links; keys may have any type that has an order; a null id takes no
+part and has null results; an empty table gives an empty result; other columns are ignored by
+:func:`near_duplicates` and pass through :func:`deduplicated`, whatever their names.  Texts are
 read whole.
 """
 
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import arrow_map, materialise, small_or_not
+from cairn.llm._common import arrow_map, materialise, named, packed, place_filter, small_or_not, unpacked
 from cairn.llm.components import connected_components
 
 WORDS = 5
@@ -46,8 +49,6 @@ ROWS = 4
 BITS = 4
 THRESHOLD = 75  # per cent
 MARGIN = 0.2
-#: The filter of documents that take part in candidates has so many places, whatever the data's size.
-PLACES = 1 << 20
 #: Pivots of an undecided bucket, how their number grows from round to round, and those of the first of these rounds.
 PIVOTS = 16
 GROWTH = 4
@@ -98,26 +99,30 @@ def minima(sets: np.ndarray) -> np.ndarray:
     return low
 
 
+def _class(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
     sizes, classes, lows = [], [], []
-    for text in batch.column(1).to_pylist():
+    for text in batch.column(2).to_pylist():
         s = shingles(text)
         sizes.append(len(s))
-        classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+        classes.append(_class(s))
         lows.append(minima(s))
     low = np.stack(lows)
     bands = _mixed((low.reshape(len(lows), -1, ROWS).astype(np.uint64) * _BAND).sum(axis=2, dtype=np.uint64)).view(np.int64)
     slices = [np.packbits((low >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=1).view(">i8").astype(np.int64) for b in range(BITS)]
-    packed = np.concatenate(slices, axis=1)
+    sig = np.concatenate(slices, axis=1)
     offsets = lambda m: pa.array(np.arange(len(lows) + 1, dtype=np.int32) * m.shape[1])
-    lists = [pa.ListArray.from_arrays(offsets(m), pa.array(m.ravel())) for m in (bands, packed)]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), *lists], ["key", "n", "class", "bands", "sig"])
+    lists = [pa.ListArray.from_arrays(offsets(m), pa.array(m.ravel())) for m in (bands, sig)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), *lists], ["key", "mark", "n", "class", "bands", "sig"])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+    sets = [shingles(t) for t in batch.column(0).to_pylist()]
     ends = pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32())
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["id", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.array(map(_class, sets), pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["class", "shingles"])
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -155,27 +160,32 @@ def _few_parts(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return out.coalesce(max(8, out.count() // rows))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: the key, ``n_shingles``, ``component_id`` (smallest key reachable over links) and ``kept`` (the key is the component)."""
-    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = df.schema[key].dataType.simpleString()
-    sketches = materialise(arrow_map(source, _sketches, f"key {kind}, n long, class binary, bands array<bigint>, sig array<bigint>"))
+def _members(df: DataFrame, text: str, key: str) -> DataFrame:
+    """One row per input row: key, mark (a hash of the text), n (size of its set), label (a number of its component, null without words), component (smallest key reachable)."""
+    source = df.select(named(key).alias("key"), F.xxhash64(named(text)).alias("mark"), named(text).alias("text"))
+    kind = source.schema["key"].dataType.simpleString()
+    sketches = materialise(arrow_map(source, _sketches, f"key {kind}, mark long, n long, class binary, bands array<bigint>, sig array<bigint>"))
     usable = sketches.where("n > 0 and key is not null")
-    classes = usable.groupBy("class").agg(F.min("key").alias("id"))
-    known = usable.groupBy("class").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")).drop("class")
+    classes = usable.groupBy("class").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "sig", "bands")])
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
+    known = classes.select("id", "n", "sig", F.col("n").alias("common"))
 
-    rows = usable.groupBy("class").agg(F.min("key").alias("id"), F.first("bands").alias("bands")).select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    open_rows = _few_parts(rows.join(shared, "bucket").select("bucket", "id", "pivot"), 200_000)
+    rows = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = materialise(rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("bucket", "pivot"))
+    words, places = place_filter(shared.select("bucket"))
+    likely_shared = rows.join(F.broadcast(words), F.shiftright(F.pmod("bucket", F.lit(places)), 6) == F.col("word")).where(F.expr(f"shiftright(bits, cast(pmod(bucket, {places}) & 63 as int)) & 1 = 1"))  # a million words at most
+    open_rows = _few_parts(likely_shared.select("bucket", "id").join(shared, "bucket").where("id <> pivot"), 200_000)
 
-    repeated = sketches.groupBy("key").count().where("count > 1").limit(1).count() > 0
+    repeated = not sketches.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """The full sets of some ids."""
-        place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)).alias("place")
-        # at most PLACES integers, whatever the data's size
-        some = source.join(F.broadcast(ids.select(place("id")).distinct()), place("key") == F.col("place"), "left_semi")
-        full = arrow_map(some.where(F.col("key").isNotNull()), _sets, f"id {kind}, shingles array<bigint>").join(ids, "id", "left_semi")
+        """(id, shingles): the full sets of some classes, each from one of its texts."""
+        wanted = materialise(ids.join(classes.select("id", "class", "key"), "id"))
+        words, places = place_filter(wanted.select(F.xxhash64("key")))
+        place = F.pmod(F.xxhash64("key"), F.lit(places))
+        some = source.where("key is not null").select("text", place.alias("place")).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"))  # a million words at most
+        made = arrow_map(some.where(F.expr("shiftright(bits, cast(place & 63 as int)) & 1 = 1")).select("text"), _sets, "class binary, shingles array<bigint>")
+        full = made.join(small_or_not(wanted.select("id", "class")), "class").select("id", "shingles")
         return _few_parts(full.dropDuplicates(["id"]) if repeated else full)
 
     def likely_of(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -191,33 +201,33 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
         return both.where(100 * F.col("common") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
     # every bucket's members with its smallest id
-    likely = _few_parts(likely_of(open_rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known.withColumn("common", F.col("n"))))
-    labels = connected_components(confirmed(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
-    left = open_rows.where("id <> pivot").select("bucket", "id")
+    likely = _few_parts(likely_of(open_rows.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known))
+    labels = materialise(connected_components(confirmed(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))))
+    left = open_rows.select("bucket", "id")
     full = facts = None
     for turn in range(1 << 30):
         few = PIVOTS * GROWTH**turn
         # a bucket is decided once all its members are in one component
-        now = left.join(labels, "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component"))
+        now = materialise(left.join(small_or_not(labels), "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component")))
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("of_it")).groupBy("bucket")
         sizes = sizes.agg(F.sum("of_it").alias("members"), F.max(F.struct("of_it", "component")).alias("most"), F.count("*").alias("components"))
         undecided = sizes.where("components > 1").select("bucket", "members", F.col("most.component").alias("main"), (F.col("members") - F.col("most.of_it")).alias("outside"))
-        now = _few_parts(now.join(undecided, "bucket"), 200_000)
+        now = _few_parts(now.join(small_or_not(materialise(undecided)), "bucket"), 200_000)
         if now.isEmpty():
             break
         if full is None:
             # shingles of one document only can't be in common: many texts so can link with none of their buckets
             full = sets_of(now.select("id").distinct())
             alone = full.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-            facts = known.join(full.select("id"), "id").join(alone, "id", "left").select("id", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+            facts = known.drop("common").join(full.select("id"), "id").join(alone, "id", "left").select("id", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
             facts = _few_parts(facts)
-            now = _few_parts(now.join(facts.select("id", "n", "common"), "id"), 200_000)
+            now = _few_parts(now.join(small_or_not(facts.select("id", "n", "common")), "id"), 200_000)
         own = F.col("n") - F.col("common")
         # those with the fewest shingles of their own are nearest to what the others were made from
         central = [F.min(F.struct(own.alias("own"), F.xxhash64("id", F.lit(i)), "id")).getField("id") for i in range(CENTRAL)]
         per = now.groupBy("bucket").agg(F.min("n").alias("smallest"), F.min(F.struct(own.alias("own"), "id")).getField("id").alias("ref"), *([F.array(*central).alias("central")] if turn == 0 else []))
         able = 100 * F.col("common") >= THRESHOLD * (F.col("n") + F.greatest("smallest", "common") - F.col("common"))
-        now = _few_parts(now.join(per, "bucket").where(able), 200_000)
+        now = _few_parts(now.join(small_or_not(materialise(per)), "bucket").where(able), 200_000)
         # few outside the main component: with all of them as pivots nothing is left to compare; else the same ids in all buckets
         chosen, extra = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11) * F.lit(2.0**-53) < few / F.col("members"), []
         if turn == 0:
@@ -226,26 +236,47 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
             now = now.join(_against(now.select("id", "ref").distinct(), full), ["id", "ref"]).withColumn("beside", F.greatest(F.lit(0), F.col("beside") - own))
             extra = ["beside", *_LACKS]
         now = _few_parts(now.withColumn("is_pivot", F.when(F.col("outside") <= few, F.col("component") != F.col("main")).otherwise(chosen)), 200_000)
-        pivots = now.where("is_pivot").select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("id", "component", "n", "common", *extra)])
+        pivots = materialise(now.where("is_pivot").select(F.col("bucket").alias("p_bucket"), *[F.col(c).alias(f"p_{c}") for c in ("id", "component", "n", "common", *extra)]))
         most = F.least("common", "p_common")
         if extra:
             most = F.least(most, F.col("ref_n") - sum((F.bit_count(F.col(c).bitwiseOR(F.col(f"p_{c}"))) for c in _LACKS), F.lit(0)) + F.least("beside", "p_beside"))
         enough = 100 * most >= THRESHOLD * (F.col("n") + F.col("p_n") - most)
-        pairs = now.join(pivots, (now["bucket"] == pivots["bucket"]) & (F.col("component") != F.col("p_component")) & enough)
+        pairs = now.join(small_or_not(pivots), (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("p_component")) & enough)
         pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         links = confirmed(_few_parts(likely_of(pairs, facts)), full)
-        labels = connected_components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+        labels = materialise(connected_components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
         left = now.where((F.col("outside") > few) & ~F.col("is_pivot")).select("bucket", "id", "n", "common")
 
-    members = sketches.select("key", "n", "class").join(classes, "class", "left").join(labels, "id", "left")
-    found = members.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id", "key").alias("component_id"))
-    return found.withColumn("kept", F.col(key) == F.col("component_id"))
+    # a component's key is the smallest of its classes'
+    keyed = materialise(labels.join(classes.select("id", "key"), "id"))
+    least = materialise(keyed.groupBy("component").agg(F.min("key").alias("least")))
+    named_ids = materialise(keyed.join(small_or_not(least), "component").select("id", F.col("component").alias("label"), "least"))
+    final = classes.select("id", "class", "key").join(small_or_not(named_ids), "id", "left").select("class", F.coalesce("label", "id").alias("label"), F.coalesce("least", "key").alias("least"))
+    members = sketches.select("key", "mark", "n", F.when(F.col("key").isNotNull(), F.col("class")).alias("class")).join(final, "class", "left")
+    return members.select("key", "mark", "n", "label", F.coalesce("least", "key").alias("component"))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per input row: the key, ``n_shingles``, ``component_id`` (smallest key reachable over links) and ``kept`` (the key is the component)."""
+    return _members(df, text, key).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
 
 
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that :func:`near_duplicates` keeps; of rows that repeat an id, one; rows without an id stay."""
-    gone = materialise(near_duplicates(df, text, key).where("not kept").select(F.col(key).alias("gone")).distinct())
-    out = df.join(small_or_not(gone), F.col(key) == F.col("gone"), "left_anti")
-    if df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        return out
-    return out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
+    """The rows of ``df`` that :func:`near_duplicates` keeps, one of each component.
+
+    Of rows that repeat an id, one stays for each component that keeps it, and one for each text without words; rows without an id stay.
+    """
+    members = materialise(_members(df, text, key).where("key is not null"))
+    gone = members.where("key <> component").select("key", "mark")
+    repeated = not members.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+    if repeated:
+        kept = members.where("key = component").withColumn("alone", F.when(F.col("label").isNull(), F.col("mark")))
+        least = kept.groupBy("key", "label", "alone").agg(F.min("mark").alias("stays")).toDF("l_key", "l_label", "l_alone", "stays")
+        same = kept.join(least, (F.col("key") == F.col("l_key")) & F.col("label").eqNullSafe(F.col("l_label")) & F.col("alone").eqNullSafe(F.col("l_alone")))
+        gone = gone.unionByName(same.where("mark <> stays").select("key", "mark"))
+    gone = materialise(gone.distinct())
+    rows = df.select(named(key).alias("key"), F.xxhash64(named(text)).alias("mark"), packed(df).alias("row"))
+    out = rows.join(small_or_not(gone.toDF("g_key", "g_mark")), (F.col("key") == F.col("g_key")) & (F.col("mark") == F.col("g_mark")), "left_anti")
+    if repeated:
+        out = out.where("key is not null").dropDuplicates(["key", "mark"]).unionByName(out.where("key is null"))
+    return out.select(*unpacked("row", df.columns))

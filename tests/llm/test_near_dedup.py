@@ -100,5 +100,20 @@ def test_odd_tables(odd_docs, docs):
     assert by[0] == {(2, 0, True)} and by[5] == {(2, 0, False)} and by[1] == {(0, 1, True)} and by[2] == {(0, 2, True)}
     assert by[None] == {(2, None, None), (0, None, None)} and by[4] == {(1, 4, True)}
     kept = nd.deduplicated(odd_docs)
-    assert kept.columns == odd_docs.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 4), (False, 7), (True, 0), (True, 0)]
+    assert kept.columns == odd_docs.columns and kept.where("doc_id = 4").first()["a.b"] == odd_docs.first()["a.b"] and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 4), (False, 7), (True, 0), (True, 0)]
     assert nd.near_duplicates(docs("x").where("false")).isEmpty()
+
+
+def test_ids_with_several_texts_and_text_keys(spark):
+    r = random.Random(4)
+    base = [[f"w{g}{r.randint(0, 400)}" for _ in range(80)] for g in range(4)]
+    near = lambda g: edits(r, base[g], 1)
+    rows = [(5, near(0)), (7, near(0)), (5, near(1)), (9, near(1)), (5, near(0)), (6, near(2)), (6, near(2)), (3, near(3)), (8, near(3)), (8, "alone and short"), (2, ""), (2, None), (2, "")]
+    for cast in ("long", "string"):
+        df = spark.createDataFrame(rows, "k long, t string").selectExpr(f"cast(k AS {cast}) AS k", "t", "1 AS id", "2 AS class")
+        of = lambda k: k if cast == "long" else str(k)
+        got = sorted((x["k"], x["n_shingles"] > 1, x["component_id"], x["kept"]) for x in nd.near_duplicates(df, "t", "k").collect())
+        assert got == sorted((of(k), n, of(c), k == c) for k, n, c in [(5, 1, 5), (7, 1, 5), (5, 1, 5), (9, 1, 5), (5, 1, 5), (6, 1, 6), (6, 1, 6), (3, 1, 3), (8, 1, 3), (8, 0, 8), (2, 0, 2), (2, 0, 2), (2, 0, 2)])
+        kept = [x["k"] for x in nd.deduplicated(df, "t", "k").collect()]
+        # two components keep 5, one keeps 6; an empty and a null text stay once each
+        assert sorted(kept) == sorted(of(k) for k in (5, 5, 6, 3, 8, 2, 2))
