@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions import hashing
+from cairn.shipping import ship_active
 
 DEFAULT_RATE = 0.01
 MIN_BITS = 64
@@ -56,9 +57,25 @@ def positions(key: Column, m: int, k: int) -> Column:
         ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * k)
         return pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int64).ravel()), mask=keys.is_null())
 
+    ship_active()
     return run(key)
 
 
+def positions_of(keys: list[bytes], m: int, k: int) -> np.ndarray:
+    """The bit positions of keys at hand, a row of k for each."""
+    h1, h2 = hashing.hashes_of(keys)
+    h2 = np.where(h2 == 0, np.uint64(1), h2)
+    return (h1[:, None] + np.arange(k, dtype=np.uint64)[None, :] * h2[:, None]) % np.uint64(m)
+
+
+def words_of(keys: list[bytes], m: int, k: int) -> dict[int, int]:
+    """The filter of keys at hand: its 64-bit words that are not zero."""
+    bits = np.unique(positions_of(keys, m, k))
+    word, start = np.unique(bits >> np.uint64(6), return_index=True)
+    values = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), start) if len(bits) else []
+    return dict(zip(word.tolist(), [int(v) for v in values], strict=True))
+
+
 def build_words(keys: DataFrame, key: str, m: int, k: int) -> DataFrame:
     """The filter over all keys: (word, bits), the 64-bit words that are not zero.  Words are OR-ed before they are shuffled."""
     bits = keys.select(F.explode(positions(F.col(key), m, k)).alias("bit"))

@@ -19,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.shipping import ship_active
+
 # Parameters of the two hashes.
 FNV_OFFSET = 14695981039346656037
 FNV_PRIME = 1099511628211
@@ -55,17 +57,34 @@ def _djb_step(h: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @F.arrow_udf(T.LongType())
-def fnv1a(keys: pa.Array) -> pa.Array:
-    """FNV-1a of the UTF-8 bytes, as ``h - 2**63``; null for null."""
+def _fnv1a(keys: pa.Array) -> pa.Array:
     return _by_position(keys, FNV_OFFSET, _fnv_step)
 
 
 @F.arrow_udf(T.LongType())
-def djb2x(keys: pa.Array) -> pa.Array:
-    """h = 33 h + byte, then h ^= h >> 32, from 5381; as ``h - 2**63``; null for null."""
+def _djb2x(keys: pa.Array) -> pa.Array:
     return _by_position(keys, DJB_START, _djb_step)
 
 
+def fnv1a(key: Column | str) -> Column:
+    """FNV-1a of the UTF-8 bytes, as ``h - 2**63``; null for null."""
+    ship_active()
+    return _fnv1a(key)
+
+
+def djb2x(key: Column | str) -> Column:
+    """h = 33 h + byte, then h ^= h >> 32, from 5381; as ``h - 2**63``; null for null."""
+    ship_active()
+    return _djb2x(key)
+
+
+def hashes_of(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both unsigned hashes of keys at hand."""
+    data = pa.array(keys, pa.binary())
+    both = (_by_position(data, FNV_OFFSET, _fnv_step), _by_position(data, DJB_START, _djb_step))
+    return tuple(h.to_numpy().view(np.uint64) ^ np.uint64(HALF) for h in both)
+
+
 def fnv1a_expr(key: Column) -> Column:
     """:func:`fnv1a` in built-in functions: the state is two 32-bit halves, the prime is 2**40 + 435."""
     mask = F.lit(0xFFFFFFFF)

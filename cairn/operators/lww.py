@@ -35,6 +35,17 @@ def live(changes: DataFrame) -> DataFrame:
     return latest(changes).where(~F.col("deleted")).drop("deleted")
 
 
+def newest_marks(changes: DataFrame) -> DataFrame:
+    """(key, mark): ``2 * seq + deleted`` of the newest change of every key, for what needs no value: one BIGINT is
+    aggregated by hash, and values are neither read nor moved.  ``seq`` must be within 62 bits."""
+    return changes.groupBy("key").agg(F.max(F.col("seq") * 2 + F.col("deleted").cast("bigint")).alias("mark"))
+
+
+def live_keys(changes: DataFrame) -> DataFrame:
+    """(key, seq) of the keys that exist, without their values."""
+    return newest_marks(changes).where(F.col("mark").bitwiseAND(F.lit(1)) == 0).select("key", F.shiftright("mark", 1).alias("seq"))
+
+
 def merge_runs(*runs: DataFrame) -> DataFrame:
     """All runs as one log; :func:`latest` of it is their merge."""
     return reduce(DataFrame.unionByName, runs)
@@ -68,7 +79,7 @@ def first_key(changes: DataFrame) -> DataFrame:
 
 
 def key_count(changes: DataFrame) -> DataFrame:
-    return live(changes).agg(F.count("*").alias("key_count"))
+    return live_keys(changes).agg(F.count("*").alias("key_count"))
 
 
 def memtable_size(changes: DataFrame) -> DataFrame:
@@ -79,4 +90,4 @@ def memtable_size(changes: DataFrame) -> DataFrame:
 
 def delete_where(changes: DataFrame, predicate: Column, seq: Column) -> DataFrame:
     """Tombstones for the live keys that satisfy a predicate on ``key``."""
-    return live(changes).where(predicate).select("key", seq.cast("bigint").alias("seq"), F.lit(None).cast("binary").alias("value"), F.lit(True).alias("deleted"))
+    return live_keys(changes).where(predicate).select("key", seq.cast("bigint").alias("seq"), F.lit(None).cast("binary").alias("value"), F.lit(True).alias("deleted"))

@@ -9,12 +9,17 @@ SAMPLE = "2 seconds"
 KEPT_SAMPLES = 30
 
 
-def uptime(started: Column) -> Column:
-    """Time since ``started`` (seconds since the epoch) as text, such as '2h3m4s'."""
-    total = F.floor(F.unix_micros(F.current_timestamp()) / 1000000 - started).cast("bigint")
+def duration(seconds: Column) -> Column:
+    """Whole seconds as text, such as '2h3m4s'."""
+    total = seconds.cast("bigint")
     return F.format_string("%dh%dm%ds", F.floor(total / 3600).cast("bigint"), F.floor(total % 3600 / 60).cast("bigint"), total % 60)
 
 
+def uptime(started: Column) -> Column:
+    """Time since ``started`` (seconds since the epoch) as text."""
+    return duration(F.floor(F.unix_micros(F.current_timestamp()) / 1000000 - started))
+
+
 def counters(requests: DataFrame) -> DataFrame:
     """Reads, writes and errors.  Attempts count, failed ones too; a missing key is no error."""
     return requests.agg(F.count_if(F.col("op") == "get").alias("reads"), F.count_if(F.col("op") == "set").alias("writes"), F.count_if("failed").alias("errors"))
@@ -34,10 +39,13 @@ def snapshot_json(snap: DataFrame) -> DataFrame:
 def samples(requests: DataFrame, every: str = SAMPLE, kept: int = KEPT_SAMPLES) -> DataFrame:
     """The last samples: (sample, reads, writes), cumulative at the end of each interval that has requests.
 
-    Requests are counted per interval first; the running sums are over intervals, of which a day has 43,200.
+    Requests are counted per interval first.  Only the last intervals are ordered; what came before them is one sum, so no
+    task sees all intervals.
     """
     per = requests.groupBy(F.window("ts", every).getField("end").alias("end")).agg(F.count_if(F.col("op") == "get").alias("r"), F.count_if(F.col("op") == "set").alias("w"))
-    running = Window.orderBy("end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = per.select("end", F.sum("r").over(running).alias("reads"), F.sum("w").over(running).alias("writes"))
-    last = summed.orderBy(F.col("end").desc()).limit(kept)
-    return last.select(F.row_number().over(Window.orderBy("end")).alias("sample"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("sample_end"), "reads", "writes")
+    last = per.orderBy(F.col("end").desc()).limit(kept)
+    total = per.agg(F.sum("r").alias("all_r"), F.sum("w").alias("all_w"))  # one row
+    later = Window.orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over ``kept`` rows
+    shown = last.withColumns({"later_r": F.coalesce(F.sum("r").over(later), F.lit(0)), "later_w": F.coalesce(F.sum("w").over(later), F.lit(0)), "sample": F.row_number().over(Window.orderBy("end"))})
+    summed = shown.crossJoin(F.broadcast(total))  # one row
+    return summed.select("sample", F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("sample_end"), (F.col("all_r") - F.col("later_r")).alias("reads"), (F.col("all_w") - F.col("later_w")).alias("writes"))

@@ -51,21 +51,17 @@ def parse_config(text: str) -> list[Shard]:
 
 
 def parse_shards(shards: list[Shard], current: str) -> Shards:
-    """Checks that indexes are exactly 0..N-1 and that the current shard is one of them."""
-    addresses: dict[int, str] = {}
-    at = -1
-    for s in shards:
-        if s.idx in addresses:
-            raise ShardConfigError(f"duplicate shard index: {s.idx}")
-        addresses[s.idx] = s.address
-        if s.name == current:
-            at = s.idx
-    for i in range(len(addresses)):
-        if i not in addresses:
-            raise ShardConfigError(f"shard {i} is not found")
-    if at < 0:
-        raise ShardConfigError(f"shard {current!r} is not found")
-    return Shards(len(addresses), at, addresses)
+    """The shards by number.  Their numbers must be 0..N-1, each once, and ``current`` a name among them; an error tells all that is wrong."""
+    numbers = sorted(s.idx for s in shards)
+    own = [s.idx for s in shards if s.name == current]
+    faults = []
+    if numbers != list(range(len(shards))):
+        faults.append(f"numbers must be 0 to {len(shards) - 1}, each once, but are {numbers}")
+    if not own:
+        faults.append(f"no shard has the name {current!r}")
+    if faults:
+        raise ShardConfigError("; ".join(faults))
+    return Shards(len(shards), own[-1], {s.idx: s.address for s in shards})
 
 
 def ring_points(n_shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -116,6 +112,15 @@ def with_owner(df: DataFrame, n_shards: int, key: str = "key", vnodes: int = VNO
     return hashed.join(F.broadcast(arcs), (F.col("__at") == F.col("__prefix")) & F.col("__hash").between(F.col("__low"), F.col("__high")), "left").drop("__hash", "__at", "__low", "__high", "__prefix")
 
 
+def to_owners(df: DataFrame, n_shards: int, key: str = "key", vnodes: int = VNODES) -> DataFrame:
+    """``df`` with ``shard``, its rows moved so that every shard's lie together, in partitions of their own.
+
+    A partition holds a part of one shard's range of hashes, so a shard with most of the keys is spread over as many as it needs.
+    """
+    owned = with_owner(df.withColumn("__place", fnv1a(F.col(key))), n_shards, key, vnodes, hash_col="__place")
+    return owned.repartitionByRange("shard", "__place").drop("__place")
+
+
 def modulo_owner(key: Column, n_shards: int) -> Column:
     """The owner without a ring: unsigned hash modulo the number of shards."""
     return (unsigned(fnv1a(key)) % F.lit(n_shards).cast("decimal(20,0)")).cast("int")
@@ -135,7 +140,7 @@ def movement(keys: DataFrame, before: int, after: int, key: str = "key") -> Data
 
 
 def foreign_keys(live: DataFrame, n_shards: int, current: int) -> DataFrame:
-    """The live rows that belong to another shard, with their owner."""
+    """The live rows (or keys) that belong to another shard, with their owner."""
     return with_owner(live, n_shards).where(F.col("shard") != current)
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators import lww
+from cairn.sources.scratch import materialise
 
 FLUSH_BYTES = 4 << 20
 MERGE_AT = 4
+ZONES_AT_ONCE = 10_000
 
 
 def cut_runs(changes: DataFrame, run: Column) -> DataFrame:
@@ -25,8 +29,19 @@ def zone_map(runs: DataFrame) -> DataFrame:
 
 
 def candidate_runs(zones: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, run): the runs whose key range holds an asked key.  There are few runs (merged at four), so zones are small."""
-    return keys.select("key").distinct().join(F.broadcast(zones.select("run", "min_key", "max_key")), F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", "run")
+    """(key, run): the runs whose key range holds an asked key.
+
+    There are few runs as a rule (merged at four); of any number, at most ``ZONES_AT_ONCE`` are broadcast at a time, and
+    the asked keys meet them in as many blocks as that takes.
+    """
+    zones = zones.select("run", "min_key", "max_key")
+    asked = keys.select("key").distinct()
+    blocks = max(1, math.ceil(zones.count() / ZONES_AT_ONCE))
+    if blocks > 1:
+        zones = zones.withColumn("block", F.ntile(blocks).over(Window.orderBy("run")))  # one short row a run
+        zones = materialise(zones)
+    parts = [zones if blocks == 1 else zones.where(F.col("block") == i + 1).drop("block") for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [asked.join(F.broadcast(z), F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", "run") for z in parts])
 
 
 def compact(runs: DataFrame) -> DataFrame:

@@ -44,6 +44,20 @@ def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("key"))
 
 
+def event_store(spark: SparkSession, sf_dir: str, flushed: bool = False, **options) -> store.KeyValueStore:
+    """A new store that holds the event log."""
+    kv = store.KeyValueStore(spark, scratch.scratch_path(spark, "store"), **options)
+    kv.apply(event_changes(spark, sf_dir))
+    if flushed:
+        kv.flush()
+    return kv
+
+
+def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of users, some of which have no events."""
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("key"))
+
+
 def as_text(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.decode("value", "UTF-8"))
 
@@ -91,9 +105,10 @@ def latest_with_tombstones(spark, sf_dir):
     return as_text(lww.latest(event_changes(spark, sf_dir)))
 
 
-@query(f"WITH {C} SELECT * FROM live WHERE key = 'user-7'")
+@query(f"WITH {C} SELECT key, value FROM live WHERE key = 'user-7'")
 def point_get(spark, sf_dir):
-    return as_text(lww.point_get(event_changes(spark, sf_dir), "user-7"))
+    """From a store's sorted runs: the key reaches the scan, which skips by statistics and Bloom filters."""
+    return as_text(lww.point_get(event_store(spark, sf_dir, flushed=True).changes(), "user-7")).select("key", "value")
 
 
 @query(f"WITH {C}, asked AS (SELECT DISTINCT 'user-' || c_custkey AS key FROM customer) SELECT key, value FROM asked LEFT JOIN live USING (key)")
@@ -170,11 +185,32 @@ def compact_runs(spark, sf_dir):
     return as_text(runs.compact(event_runs(spark, sf_dir)))
 
 
-@query("SELECT 'x' AS key, 0::BIGINT AS seq, '' AS value WHERE false")
+@query(f"WITH {C} SELECT step, CASE step WHEN 'flushed' THEN (SELECT count(*) FROM newest) WHEN 'deleted' THEN (SELECT count(*) FROM newest) + (SELECT count(*) FROM live) ELSE 0 END AS entries, CASE step WHEN 'flushed' THEN (SELECT count(*) FROM newest WHERE deleted) WHEN 'deleted' THEN (SELECT count(*) FROM newest) ELSE 0 END AS tombstones, CASE step WHEN 'flushed' THEN 1 WHEN 'deleted' THEN 2 ELSE 0 END::BIGINT AS runs FROM (VALUES ('flushed'), ('deleted'), ('merged')) v(step)")
 def compact_all_tombstones(spark, sf_dir):
-    changes = event_changes(spark, sf_dir)
-    gone = changes.select("key", (F.col("seq") + 1000000000).alias("seq"), F.lit(None).cast("binary").alias("value"), F.lit(True).alias("deleted"))
-    return as_text(runs.compact(lww.merge_runs(changes, gone)))
+    """What a store's runs hold after a flush, after every key was deleted, and after a merge, which leaves no run."""
+    kv = event_store(spark, sf_dir, flushed=True)
+
+    def held(step: str) -> DataFrame:
+        return kv.changes().agg(F.lit(step).alias("step"), F.count("*").alias("entries"), F.count_if("deleted").alias("tombstones"), F.lit(len(kv.manifest.runs)).cast("bigint").alias("runs"))
+
+    parts = [scratch.materialise(held("flushed"))]
+    kv.delete_where(F.lit(True))
+    kv.flush()
+    parts.append(scratch.materialise(held("deleted")))
+    kv.compact()
+    return lww.merge_runs(*parts, held("merged"))
+
+
+@query(f"""WITH b AS (SELECT 'orders:' || o_orderkey AS key, o_orderkey % 5 AS batch FROM orders)
+SELECT (CASE WHEN batch < 4 THEN 0 ELSE 1 END)::INTEGER AS run, min(key) AS min_key, max(key) AS max_key, count(*) AS entries, 0::BIGINT AS log_segments FROM b GROUP BY 1""")
+def store_auto_flush(spark, sf_dir):
+    """Five batches of orders, each above the flush threshold: every one becomes a run by itself, and the fourth brings a merge."""
+    kv = store.KeyValueStore(spark, scratch.scratch_path(spark, "store"), flush_bytes=4096)
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("key"), F.encode("o_orderpriority", "UTF-8").alias("value"), (F.col("o_orderkey") % 5).alias("batch"))
+    for i in range(5):
+        kv.put(rows.where(F.col("batch") == i).select("key", "value"))
+    each = [kv._frame([part]).withColumn("run", F.lit(n)) for n, part in enumerate(reversed(kv.manifest.runs))]
+    return runs.zone_map(lww.merge_runs(*each)).select("run", "min_key", "max_key", "entries", F.lit(len(kv.manifest.log)).cast("bigint").alias("log_segments"))
 
 
 # hashes and the ring
@@ -229,7 +265,26 @@ def modulo_fallback(spark, sf_dir):
 @query(f"""WITH {C}, {ring_sql(3)}, k AS (SELECT *, {fnv('key')} AS h FROM live)
 SELECT key, shard::INTEGER AS shard FROM ({owner_sql('k', 'ring')}) WHERE shard <> 0""")
 def purge_foreign(spark, sf_dir):
-    return ring.foreign_keys(lww.live(event_changes(spark, sf_dir)), 3, 0).select("key", "shard")
+    return ring.foreign_keys(lww.live_keys(event_changes(spark, sf_dir)), 3, 0).select("key", "shard")
+
+
+@query(f"""WITH {C}, {ring_sql(3)}, k AS (SELECT *, {fnv('key')} AS h FROM live)
+SELECT shard::INTEGER AS store, key, value FROM ({owner_sql('k', 'ring')})""")
+def rows_to_owners(spark, sf_dir):
+    """Shard 0's store had every key; each row after it was handed over, with the store that has it."""
+    stores = {n: store.KeyValueStore(spark, scratch.scratch_path(spark, "store"), shards=SHARDS, current=n) for n in range(3)}
+    stores[0].apply(event_changes(spark, sf_dir))
+    stores[0].hand_over(stores)
+    return as_text(lww.merge_runs(*[kv.scan().select(F.lit(n).alias("store"), "key", "value") for n, kv in stores.items()]))
+
+
+@query("SELECT * FROM (VALUES (0, 'alpha', 'localhost:8080', false), (1, 'beta', 'localhost:8081', true), (2, 'gamma', 'localhost:8082', false)) v(idx, name, address, is_current)")
+def shard_config(spark, sf_dir):
+    """A TOML configuration, checked."""
+    text = "".join(f'[[shards]]\nname = "{s.name}"\nidx = {s.idx}\naddress = "{s.address}"\n' for s in reversed(SHARDS))
+    listed = ring.parse_config(text)
+    shards = ring.parse_shards(listed, "beta")
+    return spark.createDataFrame([(s.idx, s.name, shards.addresses[s.idx], s.idx == shards.current) for s in listed], "idx int, name string, address string, is_current boolean")
 
 
 @query(f"""WITH r AS (SELECT 'user-' || user_id AS key, count(*) AS n FROM events GROUP BY user_id), k AS (SELECT *, {fnv('key')} AS h FROM r), {ring_sql(3)},
@@ -275,7 +330,17 @@ def bloom_positions(spark, sf_dir):
 
 @query(f"WITH {P} SELECT (bit // 64)::INTEGER AS word, lpad(to_hex(bit_or(1::UBIGINT << (bit % 64)::INTEGER)), 16, '0') AS bits FROM set_bits GROUP BY 1")
 def bloom_build_words(spark, sf_dir):
-    return bloom.build_words(part_keys(spark, sf_dir)[0], "key", *part_keys(spark, sf_dir)[1:]).withColumn("bits", F.lpad(F.hex("bits"), 16, "0"))
+    keys, m, k = part_keys(spark, sf_dir)
+    return bloom.build_words(keys, "key", m, k).withColumn("bits", F.lpad(F.hex("bits"), 16, "0"))
+
+
+@query(f"WITH {P} SELECT m::VARCHAR AS m, k::INTEGER AS k, (bit // 64)::INTEGER AS word, lpad(to_hex(bit_or(1::UBIGINT << (bit % 64)::INTEGER)), 16, '0') AS bits FROM set_bits, params GROUP BY ALL")
+def bloom_codec(spark, sf_dir):
+    """The filter in its binary form and back."""
+    keys, m, k = part_keys(spark, sf_dir)
+    words = {r["word"]: r["bits"] for r in bloom.build_words(keys, "key", m, k).collect()}  # one filter, which its size bounds
+    m, k, words = bloom.decode_filter(bloom.encode_filter(m, k, words))
+    return spark.createDataFrame([(str(m), k, w, f"{b:016X}") for w, b in words.items()], "m string, k int, word int, bits string")
 
 
 PROBE = f"{P}, asked AS (SELECT key, true AS member FROM members UNION ALL SELECT 'absent-' || p_partkey, false FROM part), ab AS (SELECT key, member, unnest({BITS}) AS bit FROM (SELECT key, member, {HASHES}, m, k FROM asked, params)), hit AS (SELECT key, member, bool_and(s.bit IS NOT NULL) AS may_contain FROM ab LEFT JOIN set_bits s ON ab.bit = s.bit GROUP BY ALL)"
@@ -365,6 +430,14 @@ def sstable_roundtrip(spark, sf_dir):
     return files.read_sstables(spark, path).select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), "deleted")
 
 
+@query(f"WITH {C}, asked AS (SELECT DISTINCT 'user-' || c_custkey AS key FROM customer) SELECT key, value, deleted FROM asked JOIN newest USING (key)")
+def sstable_get(spark, sf_dir):
+    """Asked keys through the table files' ranges, filters and blocks."""
+    path = scratch.scratch_path(spark, "sst")
+    files.write_sstables(lww.latest(event_changes(spark, sf_dir)), path)
+    return as_text(files.get_from_sstables(spark, path, customer_keys(spark, sf_dir))).drop("path")
+
+
 @query("""WITH RECURSIVE e AS (SELECT c_custkey // 500 AS run, 'customer:' || c_custkey AS key, (13 + octet_length(encode('customer:' || c_custkey)) + octet_length(encode(c_name)))::BIGINT AS size FROM customer),
 n AS (SELECT run, key, row_number() OVER w AS i, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS total, count(*) OVER (PARTITION BY run) AS last FROM e WINDOW w AS (PARTITION BY run ORDER BY key)),
 cut AS (SELECT run, 1::BIGINT AS i, 0::HUGEINT AS before, 0 AS block, 0::HUGEINT AS offset_ FROM n GROUP BY run
@@ -391,6 +464,56 @@ def store_scan(spark, sf_dir):
     return as_text(kv.scan()).select("key", "value")
 
 
+@query(f"WITH {C}, asked AS (SELECT DISTINCT 'user-' || c_custkey AS key FROM customer) SELECT key, value FROM asked LEFT JOIN live USING (key)")
+def store_get(spark, sf_dir):
+    return as_text(event_store(spark, sf_dir, flushed=True).get(customer_keys(spark, sf_dir)))
+
+
+@query(f"WITH {Q} SELECT key, value FROM pending")
+def store_put_on_replica(spark, sf_dir):
+    """A store opened for reading takes replicated puts, into its data only."""
+    kv = store.KeyValueStore(spark, scratch.scratch_path(spark, "store"), read_only=True)
+    kv.put_on_replica(event_changes(spark, sf_dir).where(~F.col("deleted")).select("key", "value", "seq"))
+    assert kv.next_pending().isEmpty()
+    return as_text(kv.scan()).select("key", "value")
+
+
+@query(f"WITH {C} SELECT row_number() OVER (ORDER BY key) AS nth, key, value FROM live ORDER BY key LIMIT 10")
+def store_visit(spark, sf_dir):
+    """A visitor that ends after ten keys."""
+    seen: list[tuple] = []
+
+    def visit(key: str, value: bytes) -> bool:
+        seen.append((len(seen) + 1, key, value.decode()))
+        return len(seen) < 10
+
+    event_store(spark, sf_dir, flushed=True).foreach(visit)
+    return spark.createDataFrame(seen, "nth bigint, key string, value string")
+
+
+@query(f"WITH {C} SELECT key, value, log_segments, runs FROM live, (VALUES (1::BIGINT, 0::BIGINT), (0, 1)) v(log_segments, runs)")
+def store_reopen(spark, sf_dir):
+    """The store closed without a flush and opened again, its log read back; and the same after a flush emptied the log."""
+    kv = event_store(spark, sf_dir)
+    kv.close()
+    again = store.KeyValueStore(spark, kv.root)
+
+    def rows() -> DataFrame:
+        return as_text(again.scan()).select("key", "value", F.lit(len(again.manifest.log)).cast("bigint").alias("log_segments"), F.lit(len(again.manifest.runs)).cast("bigint").alias("runs"))
+
+    before = scratch.materialise(rows())
+    again.flush()
+    return lww.merge_runs(before, rows())
+
+
+@query(f"WITH {Q}, a AS (SELECT a.key, CASE WHEN p.key IS NULL THEN 'missing' WHEN p.value = a.value THEN 'ok' ELSE 'mismatch' END AS status FROM acks a LEFT JOIN pending p ON a.key = p.key) SELECT status, count(*) AS keys FROM a GROUP BY status UNION ALL SELECT 'pending', count(*) FROM pending p WHERE NOT EXISTS (FROM acks a WHERE a.key = p.key AND a.value = p.value)")
+def store_ack(spark, sf_dir):
+    """Acknowledgements taken by a store: how many of each status, and how many keys wait afterwards."""
+    kv = event_store(spark, sf_dir)
+    status = kv.ack(event_queue(spark, sf_dir)[1]).groupBy("status").agg(F.count("*").alias("keys"))
+    return status.unionByName(kv.pending().agg(F.lit("pending").alias("status"), F.count("*").alias("keys")))
+
+
 @query(f"WITH {Q} SELECT key, value FROM pending")
 def store_pending(spark, sf_dir):
     kv = store.KeyValueStore(spark, scratch.scratch_path(spark, "store"))
@@ -421,6 +544,14 @@ def metrics_last30(spark, sf_dir):
     return metrics.samples(requests(spark, sf_dir))
 
 
+@query("WITH s AS (SELECT event_id, floor(epoch(ts))::BIGINT - (SELECT min(floor(epoch(ts)))::BIGINT FROM events) AS n FROM events) SELECT event_id, (n // 3600) || 'h' || (n % 3600 // 60) || 'm' || (n % 60) || 's' AS since_start FROM s")
+def uptime_text(spark, sf_dir):
+    """Every event's time since the first, as the text that uptimes have."""
+    e = table(spark, sf_dir, "events").select("event_id", F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1000000).alias("at"))
+    first = e.agg(F.min("at")).first()[0] or 0
+    return e.select("event_id", metrics.duration(F.col("at") - first).alias("since_start"))
+
+
 # streams
 
 
@@ -434,6 +565,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lww_stream(spark, sf_dir):
     path = scratch.scratch_path(spark, "stream")
     streams.write_latest(_event_stream(spark, sf_dir), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    streams.merge_batches(spark, f"{path}/out")
     return as_text(streams.read_latest(spark, f"{path}/out"))
 
 

@@ -26,3 +26,9 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(path)
+
+
+def ship_active() -> None:
+    """:func:`ship` for the session in use, where a column is made that starts Python and no frame is at hand."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)

@@ -1,12 +1,14 @@
 """Byte-exact log and table files: reading with Spark's own file access, writing through a Python data source.
 
 ``read_wal`` and ``read_sstables`` go through ``binaryFile``, so they read from
-any store Spark can; a file is one task's work, and files are bounded (a log by
-the flush threshold, a table by the run it holds).
+any store Spark can; a file is one task's work.  The writers begin a new file
+once one holds ``FLUSH_BYTES``, so theirs are short; files of 2 GB and more, from elsewhere, can't be
+read, as their records have no marks to split at.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -18,12 +20,12 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from cairn.functions import bloom
 from cairn.functions.codec import OVERHEAD, Record, decode_records, encode_record
-from cairn.functions.hashing import DJB_FACTOR, DJB_START, FNV_OFFSET, FNV_PRIME
+from cairn.operators.runs import FLUSH_BYTES, candidate_runs
+from cairn.shipping import ship
 
 BLOCK_BYTES = 4096
 FOOTER = struct.Struct(">5Q")
 RATE = 0.01
-MASK = (1 << 64) - 1
 
 
 class CorruptTable(ValueError):
@@ -66,19 +68,9 @@ def _text(data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + data
 
 
-def _bits(key: bytes, m: int, k: int) -> set[int]:
-    h1, h2 = FNV_OFFSET, DJB_START
-    for b in key:
-        h1 = (h1 ^ b) * FNV_PRIME & MASK
-        h2 = h2 * DJB_FACTOR + b & MASK
-        h2 ^= h2 >> 32
-    h2 = h2 or 1
-    return {(h1 + i * h2 & MASK) % m for i in range(k)}
-
-
 def may_contain(filter_: tuple[int, int, dict[int, int]], key: bytes) -> bool:
     m, k, words = filter_
-    return all(words.get(b // 64, 0) >> b % 64 & 1 for b in _bits(key, m, k))
+    return all(words.get(b // 64, 0) >> b % 64 & 1 for b in bloom.positions_of([key], m, k)[0].tolist())
 
 
 def cut_blocks(sizes: Iterable[int], target: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
@@ -108,11 +100,7 @@ def encode_table(entries: list[Record]) -> bytes:
     index_at, index_len = len(out), 8 + len(body)
     out += struct.pack(">Q", len(body)) + body
     m, k = bloom.bloom_params(len(entries), RATE)
-    words: dict[int, int] = {}
-    for e in entries:
-        for b in _bits(e.key, m, k):
-            words[b // 64] = words.get(b // 64, 0) | 1 << b % 64
-    packed = bloom.encode_filter(m, k, words)
+    packed = bloom.encode_filter(m, k, bloom.words_of([e.key for e in entries], m, k))
     bloom_at, bloom_len = len(out), 8 + len(packed)
     out += struct.pack(">Q", len(packed)) + packed
     out += FOOTER.pack(index_at, index_len, bloom_at, bloom_len, len(index))
@@ -166,26 +154,30 @@ _ROWS = "path string, pos long, key binary, value binary, deleted boolean"
 
 def _decoded(batches: Iterator[pa.RecordBatch], rows) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = rows(content)
-            for start in range(0, len(got), 10_000):
-                part = got[start : start + 10_000]
+        for i in range(batch.num_rows):  # one file at a time
+            path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            for part in itertools.batched(rows(content), 10_000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(part)), pa.array([p for p, _ in part], pa.int64()), pa.array([r.key for _, r in part], pa.binary()), pa.array([r.value for _, r in part], pa.binary()), pa.array([r.deleted for _, r in part])],
                     ["path", "pos", "key", "value", "deleted"],
                 )
 
 
+def _files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    ship(spark)
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path).select("path", "content")
+
+
 def read_wal(spark: SparkSession, path: str) -> DataFrame:
     """The complete records of every log file (suffix .log): path, pos (byte offset), key, value, deleted.  A torn tail is left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path).select("path", "content")
-    return files.mapInArrow(lambda batches: _decoded(batches, lambda c: list(decode_records(c))), _ROWS)
+    files = _files(spark, path, "log")
+    return files.mapInArrow(lambda batches: _decoded(batches, decode_records), _ROWS)
 
 
 def read_sstables(spark: SparkSession, path: str) -> DataFrame:
     """The entries of every table file (suffix .sst), tombstones too: path, pos (number in the file), key, value, deleted."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("path", "content")
-    return files.mapInArrow(lambda batches: _decoded(batches, lambda c: list(enumerate(decode_table(c).rows()))), _ROWS)
+    files = _files(spark, path, "sst")
+    return files.mapInArrow(lambda batches: _decoded(batches, lambda c: enumerate(decode_table(c).rows())), _ROWS)
 
 
 def sstable_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -197,17 +189,39 @@ def sstable_blocks(spark: SparkSession, path: str) -> DataFrame:
                 b = decode_table(content).blocks
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(b)), pa.array(range(len(b)), pa.int32()), pa.array([x.first_key for x in b], pa.binary()), pa.array([x.offset for x in b], pa.int64()), pa.array([x.length for x in b], pa.int64())], ["path", "block", "first_key", "offset", "length"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("path", "content")
+    files = _files(spark, path, "sst")
     return files.mapInArrow(run, "path string, block int, first_key binary, offset long, length long")
 
 
+def get_from_sstables(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(key, path, value, deleted) of the asked keys that table files hold: a file is read for the keys of its range only, its filter is asked, then one block."""
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t = decode_table(batch.column(1)[i].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([t.min_key.decode()]), pa.array([t.max_key.decode()])], ["run", "min_key", "max_key"])
+
+    def find(asked: pa.Table, file: pa.Table) -> pa.Table:
+        found: list[tuple[str, Record]] = []
+        if asked.num_rows and file.num_rows:
+            table = decode_table(file["content"][0].as_py())
+            found = [(k, r) for k in asked["key"].to_pylist() if (r := table.get(k.encode())) is not None]
+        name = file["path"][0].as_py() if file.num_rows else None
+        return pa.table({"key": pa.array([k for k, _ in found], pa.string()), "path": pa.array([name] * len(found), pa.string()), "value": pa.array([r.value for _, r in found], pa.binary()), "deleted": pa.array([r.deleted for _, r in found], pa.bool_())})
+
+    zones = _files(spark, path, "sst").mapInArrow(ranges, "run string, min_key string, max_key string")
+    asked = candidate_runs(zones, keys)
+    return asked.groupBy("run").cogroup(_files(spark, path, "sst").groupBy("path")).applyInArrow(find, "key string, path string, value binary, deleted boolean")
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list[str]
 
 
 class _LogWriter(DataSourceWriter):
-    """One log (or table) file a task, named by the task; files appear whole and only the committed ones stay."""
+    """Log (or table) files named by the task, a new one after ``FLUSH_BYTES``; files appear whole and only the committed ones stay."""
 
     def __init__(self, path: str, kind: str) -> None:
         self.path, self.kind = path, kind
@@ -217,16 +231,28 @@ class _LogWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        records = [Record(bytes(r.key) if not isinstance(r.key, str) else r.key.encode(), None if r.value is None else bytes(r.value), bool(r.deleted)) for r in rows]
-        if not records:
-            return _Written([])
-        data = encode_table(records) if self.kind == "sst" else b"".join(map(encode_record, records))
         fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
-        fs.create_dir(root, recursive=True)
-        name = f"{root}/{context.partitionId():06d}-{context.taskAttemptId()}.{self.kind}"
-        with fs.open_output_stream(name + ".tmp") as f:
-            f.write(data)
-        return _Written([name])
+        names: list[str] = []
+
+        def save(records: list[Record]) -> None:
+            data = encode_table(records) if self.kind == "sst" else b"".join(map(encode_record, records))
+            fs.create_dir(root, recursive=True)
+            names.append(f"{root}/{context.partitionId():06d}-{len(names):06d}-{context.taskAttemptId()}.{self.kind}")
+            with fs.open_output_stream(names[-1] + ".tmp") as f:
+                f.write(data)
+
+        held: list[Record] = []
+        size = 0
+        for r in rows:
+            record = Record(bytes(r.key) if not isinstance(r.key, str) else r.key.encode(), None if r.value is None else bytes(r.value), bool(r.deleted))
+            held.append(record)
+            size += OVERHEAD + len(record.key) + len(record.value or b"")
+            if size >= FLUSH_BYTES:
+                save(held)
+                held, size = [], 0
+        if held:
+            save(held)
+        return _Written(names)
 
     def commit(self, messages) -> None:
         import pyarrow.fs
@@ -261,6 +287,7 @@ class ChangeFiles(DataSource):
 
 def write_wal(changes: DataFrame, uri: str) -> None:
     """Appends the changes, in order of ``seq`` within each task, to log files under a URI."""
+    ship(changes.sparkSession)
     changes.sparkSession.dataSource.register(ChangeFiles)
     ordered = changes.sortWithinPartitions("seq").select(F.encode("key", "UTF-8").alias("key"), "value", "deleted")
     ordered.write.format("changefiles").option("kind", "log").mode("append").save(uri)
@@ -268,6 +295,7 @@ def write_wal(changes: DataFrame, uri: str) -> None:
 
 def write_sstables(newest: DataFrame, uri: str) -> None:
     """Writes rows with one version a key as table files under a URI, a file for each task's range of keys."""
+    ship(newest.sparkSession)
     newest.sparkSession.dataSource.register(ChangeFiles)
     ordered = newest.repartitionByRange("key").sortWithinPartitions("key").select(F.encode("key", "UTF-8").alias("key"), "value", "deleted")
     ordered.write.format("changefiles").option("kind", "sst").mode("append").save(uri)
@@ -300,4 +328,5 @@ def block_index(entries: DataFrame, run: str = "run", target: int = BLOCK_BYTES)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, block, first, offset, 8 + payload, n), types, strict=True)], names)
 
+    ship(entries.sparkSession)
     return sized.repartition("run").sortWithinPartitions("run", "key").mapInArrow(fold, "run long, block int, first_key string, offset long, length long, entries int")

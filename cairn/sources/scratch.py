@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder (``spark.checkpoint.dir``).  Only where none is set (tests, one machine) it becomes a temporary one, which goes with the process."""
+    """The session's checkpoint folder (``spark.checkpoint.dir``).
+
+    Only where none is set on one machine (a ``local`` master, as in tests) it becomes a temporary one, which goes with the
+    process; on a cluster, whose executors would not see it, that is an error.
+    """
     context = spark.sparkContext
     root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cairn-checkpoints-")
         atexit.register(shutil.rmtree, folder, True)
         root = f"file://{folder}"
@@ -26,3 +33,9 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder, so that a lost executor costs only its own tasks and later steps don't compute the rows again."""
+    shared_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -2,12 +2,15 @@
 
 Layout under the root: ``log/`` (appended changes not yet in a run),
 ``runs/`` (sorted runs), ``queue/`` (puts and acknowledgements for
-replicas) and ``manifest-<version>.json``.  A change is visible once a manifest
+replicas), ``acks/`` (answers to acknowledgements) and ``manifest-<version>.json``.  A change is visible once a manifest
 names it.  A manifest is written under a temporary name and renamed, and the
 rename fails where the version exists, so commits are atomic and a second writer
 that was too late sees :class:`Conflict`.  Data files are never changed in place
 and go only after the manifest that drops them is in place.
 
+A write that brings the log's newest changes to ``flush_bytes`` flushes it to a
+run, and a flush that makes ``merge_at`` runs merges them.
+
 All data moves as DataFrames; the driver handles file names only.
 """
 
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import lww, metrics, replication, ring, runs
+from cairn.sources.scratch import materialise
 
 SCHEMA = lww.CHANGE
 
@@ -46,11 +50,12 @@ class Manifest:
     log: list[str] = field(default_factory=list)
     runs: list[str] = field(default_factory=list)  # newest first
     queue: list[str] = field(default_factory=list)
+    log_bytes: int = 0  # of keys and values in the log, superseded ones too
 
 
 class KeyValueStore:
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, merge_at: int = runs.MERGE_AT, shards: list[ring.Shard] | None = None, current: int = 0) -> None:
-        self.spark, self.root, self.read_only, self.merge_at = spark, root.rstrip("/"), read_only, merge_at
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, merge_at: int = runs.MERGE_AT, flush_bytes: int = runs.FLUSH_BYTES, shards: list[ring.Shard] | None = None, current: int = 0) -> None:
+        self.spark, self.root, self.read_only, self.merge_at, self.flush_bytes = spark, root.rstrip("/"), read_only, merge_at, flush_bytes
         self.shards, self.current = shards, current
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -114,7 +119,7 @@ class KeyValueStore:
         if self.read_only:
             self.writes += 1
             self.errors += 1
-            raise ReadOnly("read-only mode")
+            raise ReadOnly(f"{self.root} was opened for reading")
 
     def _write(self, changes: DataFrame, queued: bool) -> None:
         new = self._next()
@@ -125,7 +130,8 @@ class KeyValueStore:
         rows = base.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("bigint").alias("seq"), F.when(~F.col("deleted"), F.coalesce(F.col("value").cast("binary"), F.unhex(F.lit("")))).alias("value"), "deleted")
         rows.write.parquet(f"{self.root}/{part}")
         written = self._frame([part])
-        top = written.agg(F.max("seq")).first()[0]
+        top, size = written.agg(F.max("seq"), F.sum(F.octet_length(F.encode("key", "UTF-8")) + F.coalesce(F.octet_length("value"), F.lit(0)))).first()
+        new.log_bytes += size or 0
         new.next_file += 1
         new.next_seq = max(new.next_seq, (top if top is not None else new.next_seq - 1) + 1)
         new.log.append(part)
@@ -134,6 +140,14 @@ class KeyValueStore:
             written.where(~F.col("deleted")).write.parquet(f"{self.root}/{queue}")
             new.queue.append(queue)
         self._commit(new)
+        # what the log has in all bounds its newest changes from above, which are counted only beyond the threshold
+        if self.manifest.log_bytes >= self.flush_bytes and lww.memtable_size(self._frame(self.manifest.log)).first()["bytes"] >= self.flush_bytes:
+            self.flush()
+
+    def set_flush_threshold(self, flush_bytes: int) -> None:
+        """From the next write on, the log is flushed once its newest changes hold so many bytes; numbers below 1 change nothing."""
+        if flush_bytes > 0:
+            self.flush_bytes = flush_bytes
 
     def put(self, rows: DataFrame) -> None:
         """Writes (key, value[, seq]); data and queue are one commit."""
@@ -158,12 +172,20 @@ class KeyValueStore:
     def delete_where(self, predicate: Column) -> None:
         """Tombstones for the live keys that satisfy a predicate on ``key``."""
         self._refuse_read_only()
-        self.delete(lww.live(self.changes()).where(predicate).select("key"))
+        self.delete(lww.live_keys(self.changes()).where(predicate).select("key"))
 
     def purge(self) -> None:
         """Deletes the keys that belong to another shard."""
         self._refuse_read_only()
-        self.delete(ring.foreign_keys(lww.live(self.changes()), len(self.shards or []), self.current).select("key"))
+        self.delete(ring.foreign_keys(lww.live_keys(self.changes()), len(self.shards or []), self.current).select("key"))
+
+    def hand_over(self, others: dict[int, KeyValueStore]) -> None:
+        """Puts the rows of other shards into their stores, by shard number, and then deletes them here; rows of a shard that isn't given stay."""
+        self._refuse_read_only()
+        rows = materialise(ring.to_owners(lww.live(self.changes()), len(self.shards or [])).where(F.col("shard").isin([n for n in others if n != self.current])))
+        for number in sorted(n for n in others if n != self.current):
+            others[number].put(rows.where(F.col("shard") == number).select("key", "value"))
+        self.delete(rows.select("key"))
 
     # reads
 
@@ -204,7 +226,8 @@ class KeyValueStore:
     # maintenance
 
     def _write_run(self, rows: DataFrame, part: str) -> bool:
-        """Writes a run sorted by key with a Bloom filter on it; False (and nothing) if it is empty."""
+        """Writes a run sorted by key with a Bloom filter on it; False (and nothing) if it is empty.  The rows are computed once: ranges are sampled from what was stored."""
+        rows = materialise(rows)
         if rows.isEmpty():
             return False
         options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.fpp#key": "0.01"}
@@ -220,7 +243,7 @@ class KeyValueStore:
         if self._write_run(lww.latest(self._frame(new.log)), part):
             new.runs.insert(0, part)
             new.next_file += 1
-        old, new.log = new.log, []
+        old, new.log, new.log_bytes = new.log, [], 0
         self._commit(new, old)
         if len(self.manifest.runs) >= self.merge_at:
             self.compact()
@@ -251,16 +274,18 @@ class KeyValueStore:
         return replication.next_pending(self.pending())
 
     def ack(self, acks: DataFrame) -> DataFrame:
-        """Takes acknowledged (key, value) off the queue; gives (key, status)."""
-        status = self.spark.createDataFrame(replication.ack_status(self.pending(), acks).toArrow())
-        done = self.pending().join(acks.select("key", "value").distinct(), ["key", "value"], "left_semi").select("key", "seq", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("deleted"))
+        """Takes acknowledged (key, value) off the queue; gives (key, status), a table that stays in ``acks/``."""
         new = self._next()
         part = self._name("queue", new)
+        answers = f"{self.root}/{part.replace('queue/', 'acks/')}"
+        pending = self.pending()
+        replication.ack_status(pending, acks).write.parquet(answers)
+        done = pending.join(acks.select("key", "value").distinct(), ["key", "value"], "left_semi").select("key", "seq", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("deleted"))
         done.write.parquet(f"{self.root}/{part}")
         new.next_file += 1
         new.queue.append(part)
         self._commit(new)
-        return status
+        return self.spark.read.schema("key string, status string").parquet(answers)
 
     # observation
 
