@@ -53,6 +53,8 @@ MARGIN = 0.2
 PIVOTS = 16
 GROWTH = 4
 CENTRAL = 4
+#: Rows that are broadcast in the rounds over buckets, of which there can be many.
+FEW_ROWS = 20_000
 
 #: Fixed value: ASCII capitals become small letters.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -120,9 +122,10 @@ def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [shingles(t) for t in batch.column(0).to_pylist()]
+    sets = [shingles(t) for t in batch.column(1).to_pylist()]
     ends = pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(map(_class, sets), pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["class", "shingles"])
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_class, sets), pa.binary()), lists], ["key", "class", "shingles"])
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -160,6 +163,11 @@ def _few_parts(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return out.coalesce(max(8, out.count() // rows))
 
 
+def few_or_not(df: DataFrame) -> DataFrame:
+    """A materialised frame for a join: broadcast up to ``FEW_ROWS`` rows."""
+    return small_or_not(df, FEW_ROWS)
+
+
 def _members(df: DataFrame, text: str, key: str) -> DataFrame:
     """One row per input row: key, mark (a hash of the text), n (size of its set), label (a number of its component, null without words), component (smallest key reachable)."""
     source = df.select(named(key).alias("key"), F.xxhash64(named(text)).alias("mark"), named(text).alias("text"))
@@ -171,10 +179,14 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
     known = classes.select("id", "n", "sig", F.col("n").alias("common"))
 
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = materialise(rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("bucket", "pivot"))
+    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     words, places = place_filter(shared.select("bucket"))
-    likely_shared = rows.join(F.broadcast(words), F.shiftright(F.pmod("bucket", F.lit(places)), 6) == F.col("word")).where(F.expr(f"shiftright(bits, cast(pmod(bucket, {places}) & 63 as int)) & 1 = 1"))  # a million words at most
-    open_rows = _few_parts(likely_shared.select("bucket", "id").join(shared, "bucket").where("id <> pivot"), 200_000)
+    likely_shared = rows.join(F.broadcast(words), F.shiftright(F.pmod("bucket", F.lit(places)), 6) == F.col("word")).where(F.expr(f"shiftright(bits, cast(pmod(bucket, {places}) & 63 as int)) & 1 = 1"))  # two million words at most
+    met = materialise(likely_shared.select("bucket", "id").join(shared, "bucket"))
+    # the text that a group was made from is in most of the group's buckets, so the best pivot is who meets most others
+    meets = materialise(met.groupBy("id").agg(F.sum("members").alias("meets")))
+    pivots = met.join(few_or_not(meets), "id").groupBy("bucket").agg(F.max_by("id", "meets").alias("pivot"))
+    open_rows = _few_parts(met.select("bucket", "id").join(few_or_not(materialise(pivots)), "bucket").where("id <> pivot"), 200_000)
 
     repeated = not sketches.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
 
@@ -183,9 +195,9 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
         wanted = materialise(ids.join(classes.select("id", "class", "key"), "id"))
         words, places = place_filter(wanted.select(F.xxhash64("key")))
         place = F.pmod(F.xxhash64("key"), F.lit(places))
-        some = source.where("key is not null").select("text", place.alias("place")).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"))  # a million words at most
-        made = arrow_map(some.where(F.expr("shiftright(bits, cast(place & 63 as int)) & 1 = 1")).select("text"), _sets, "class binary, shingles array<bigint>")
-        full = made.join(small_or_not(wanted.select("id", "class")), "class").select("id", "shingles")
+        some = source.where("key is not null").select("key", "text", place.alias("place")).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"))  # two million words at most
+        made = arrow_map(some.where(F.expr("shiftright(bits, cast(place & 63 as int)) & 1 = 1")).select("key", "text"), _sets, f"key {kind}, class binary, shingles array<bigint>")
+        full = made.join(small_or_not(wanted), ["class", "key"]).select("id", "shingles")
         return _few_parts(full.dropDuplicates(["id"]) if repeated else full)
 
     def likely_of(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -200,7 +212,7 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
         both = likely.join(has("a"), "a").join(has("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
         return both.where(100 * F.col("common") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
-    # every bucket's members with its smallest id
+    # every bucket's members with its pivot
     likely = _few_parts(likely_of(open_rows.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known))
     labels = materialise(connected_components(confirmed(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))))
     left = open_rows.select("bucket", "id")
@@ -208,11 +220,11 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
     for turn in range(1 << 30):
         few = PIVOTS * GROWTH**turn
         # a bucket is decided once all its members are in one component
-        now = materialise(left.join(small_or_not(labels), "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component")))
+        now = materialise(left.join(few_or_not(labels), "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component")))
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("of_it")).groupBy("bucket")
         sizes = sizes.agg(F.sum("of_it").alias("members"), F.max(F.struct("of_it", "component")).alias("most"), F.count("*").alias("components"))
         undecided = sizes.where("components > 1").select("bucket", "members", F.col("most.component").alias("main"), (F.col("members") - F.col("most.of_it")).alias("outside"))
-        now = _few_parts(now.join(small_or_not(materialise(undecided)), "bucket"), 200_000)
+        now = _few_parts(now.join(few_or_not(materialise(undecided)), "bucket"), 200_000)
         if now.isEmpty():
             break
         if full is None:
@@ -221,13 +233,13 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
             alone = full.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
             facts = known.drop("common").join(full.select("id"), "id").join(alone, "id", "left").select("id", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
             facts = _few_parts(facts)
-            now = _few_parts(now.join(small_or_not(facts.select("id", "n", "common")), "id"), 200_000)
+            now = _few_parts(now.join(few_or_not(facts.select("id", "n", "common")), "id"), 200_000)
         own = F.col("n") - F.col("common")
         # those with the fewest shingles of their own are nearest to what the others were made from
         central = [F.min(F.struct(own.alias("own"), F.xxhash64("id", F.lit(i)), "id")).getField("id") for i in range(CENTRAL)]
         per = now.groupBy("bucket").agg(F.min("n").alias("smallest"), F.min(F.struct(own.alias("own"), "id")).getField("id").alias("ref"), *([F.array(*central).alias("central")] if turn == 0 else []))
         able = 100 * F.col("common") >= THRESHOLD * (F.col("n") + F.greatest("smallest", "common") - F.col("common"))
-        now = _few_parts(now.join(small_or_not(materialise(per)), "bucket").where(able), 200_000)
+        now = _few_parts(now.join(few_or_not(materialise(per)), "bucket").where(able), 200_000)
         # few outside the main component: with all of them as pivots nothing is left to compare; else the same ids in all buckets
         chosen, extra = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11) * F.lit(2.0**-53) < few / F.col("members"), []
         if turn == 0:
@@ -241,7 +253,7 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
         if extra:
             most = F.least(most, F.col("ref_n") - sum((F.bit_count(F.col(c).bitwiseOR(F.col(f"p_{c}"))) for c in _LACKS), F.lit(0)) + F.least("beside", "p_beside"))
         enough = 100 * most >= THRESHOLD * (F.col("n") + F.col("p_n") - most)
-        pairs = now.join(small_or_not(pivots), (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("p_component")) & enough)
+        pairs = now.join(few_or_not(pivots), (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("p_component")) & enough)
         pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         links = confirmed(_few_parts(likely_of(pairs, facts)), full)
         labels = materialise(connected_components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
