@@ -184,9 +184,9 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
     likely_shared = rows.join(F.broadcast(words), F.shiftright(F.pmod("bucket", F.lit(places)), 6) == F.col("word")).where(F.expr(f"shiftright(bits, cast(pmod(bucket, {places}) & 63 as int)) & 1 = 1"))  # two million words at most
     met = materialise(likely_shared.select("bucket", "id").join(shared, "bucket"))
     # the text that a group was made from is in most of the group's buckets, so the best pivot is who meets most others
-    meets = materialise(met.groupBy("id").agg(F.sum("members").alias("meets")))
-    pivots = met.join(few_or_not(meets), "id").groupBy("bucket").agg(F.max_by("id", "meets").alias("pivot"))
-    open_rows = _few_parts(met.select("bucket", "id").join(few_or_not(materialise(pivots)), "bucket").where("id <> pivot"), 200_000)
+    meets = met.groupBy("id").agg(F.sum("members").alias("meets"))
+    pivots = materialise(met.join(meets, "id").groupBy("bucket").agg(F.max_by("id", "meets").alias("pivot")))
+    open_rows = _few_parts(met.select("bucket", "id").join(pivots, "bucket").where("id <> pivot"), 200_000)
 
     repeated = not sketches.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
 
@@ -214,26 +214,27 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
 
     # every bucket's members with its pivot
     likely = _few_parts(likely_of(open_rows.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known))
-    labels = materialise(connected_components(confirmed(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))))
+    labels = connected_components(confirmed(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
     left = open_rows.select("bucket", "id")
     full = facts = None
     for turn in range(1 << 30):
         few = PIVOTS * GROWTH**turn
         # a bucket is decided once all its members are in one component
-        now = materialise(left.join(few_or_not(labels), "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component")))
+        now = materialise(left.join(labels, "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component")))
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("of_it")).groupBy("bucket")
         sizes = sizes.agg(F.sum("of_it").alias("members"), F.max(F.struct("of_it", "component")).alias("most"), F.count("*").alias("components"))
         undecided = sizes.where("components > 1").select("bucket", "members", F.col("most.component").alias("main"), (F.col("members") - F.col("most.of_it")).alias("outside"))
-        now = _few_parts(now.join(few_or_not(materialise(undecided)), "bucket"), 200_000)
-        if now.isEmpty():
+        undecided = materialise(undecided)
+        if undecided.isEmpty():
             break
+        now = _few_parts(now.join(few_or_not(undecided), "bucket"), 200_000)
         if full is None:
             # shingles of one document only can't be in common: many texts so can link with none of their buckets
             full = sets_of(now.select("id").distinct())
             alone = full.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
             facts = known.drop("common").join(full.select("id"), "id").join(alone, "id", "left").select("id", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
             facts = _few_parts(facts)
-            now = _few_parts(now.join(few_or_not(facts.select("id", "n", "common")), "id"), 200_000)
+            now = _few_parts(now.join(facts.select("id", "n", "common"), "id"), 200_000)
         own = F.col("n") - F.col("common")
         # those with the fewest shingles of their own are nearest to what the others were made from
         central = [F.min(F.struct(own.alias("own"), F.xxhash64("id", F.lit(i)), "id")).getField("id") for i in range(CENTRAL)]
@@ -256,13 +257,13 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
         pairs = now.join(few_or_not(pivots), (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("p_component")) & enough)
         pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         links = confirmed(_few_parts(likely_of(pairs, facts)), full)
-        labels = materialise(connected_components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
+        labels = connected_components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
         left = now.where((F.col("outside") > few) & ~F.col("is_pivot")).select("bucket", "id", "n", "common")
 
     # a component's key is the smallest of its classes'
-    keyed = materialise(labels.join(classes.select("id", "key"), "id"))
-    least = materialise(keyed.groupBy("component").agg(F.min("key").alias("least")))
-    named_ids = materialise(keyed.join(small_or_not(least), "component").select("id", F.col("component").alias("label"), "least"))
+    keyed = labels.join(classes.select("id", "key"), "id")
+    least = keyed.groupBy("component").agg(F.min("key").alias("least"))
+    named_ids = materialise(labels.join(least, "component").select("id", F.col("component").alias("label"), "least"))
     final = classes.select("id", "class", "key").join(small_or_not(named_ids), "id", "left").select("class", F.coalesce("label", "id").alias("label"), F.coalesce("least", "key").alias("least"))
     members = sketches.select("key", "mark", "n", F.when(F.col("key").isNotNull(), F.col("class")).alias("class")).join(final, "class", "left")
     return members.select("key", "mark", "n", "label", F.coalesce("least", "key").alias("component"))
