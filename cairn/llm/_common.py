@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.shipping import ship
-from cairn.sources.scratch import shared_root
+from cairn.sources.scratch import materialise
+
+__all__ = ["arrow_map", "filter_array", "materialise", "named", "packed", "place_filter", "read_table", "small_or_not", "unpacked"]
 
 #: Rows that a Python step handles at once; bounds its memory, not its input.
 ROWS_AT_ONCE = 512
@@ -22,13 +24,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder, so that a lost executor costs only its own tasks."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over slices of at most ``ROWS_AT_ONCE`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,18 +38,6 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def batched(items: list, n: int) -> Iterator[tuple]:
-    it = iter(items)
-    while chunk := tuple(itertools.islice(it, n)):
-        yield chunk
-
-
-def unit_hash(*cols, seed: int = 0) -> F.Column:
-    """A uniform double in [0, 1) that depends on the columns' values and the seed only."""
-    bits = F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11)
-    return bits.cast("double") * F.lit(2.0**-53)
-
-
 def small_or_not(df: DataFrame, most: int = 200_000) -> DataFrame:
     """A materialised frame with a broadcast hint where it has at most ``most`` rows; as it is, for a shuffled join, beyond."""
     return F.broadcast(df) if df.count() <= most else df
@@ -74,17 +58,17 @@ def unpacked(row: str, columns: list[str], **instead: Column) -> list[Column]:
     return [(instead[c] if c in instead else F.col(f"{row}.c{i}")).alias(c) for i, c in enumerate(columns)]
 
 
-#: Places of a filter at most: 8 MB of bits.
-MOST_PLACES = 1 << 26
+#: Places of a filter at most: 16 MB of bits.
+MOST_PLACES = 1 << 27
 
 
 def place_filter(hashes: DataFrame) -> tuple[DataFrame, int]:
     """(words, places): a filter of one column of BIGINT hashes, 64-bit words (word, bits) of places ``hash mod places``.
 
-    It has eight places a hash, up to ``MOST_PLACES``, so at most a million rows; beyond that it lets more through, and what it let through is to be checked exactly.
+    It has 32 places a hash or more, up to ``MOST_PLACES``, so at most two million rows; beyond that it lets more through, and what it let through is to be checked exactly.
     """
     hashes = hashes.toDF("hash")
-    places = min(MOST_PLACES, 1 << max(10, int(8 * hashes.count() - 1).bit_length()))
+    places = min(MOST_PLACES, 1 << max(10, int(32 * hashes.count() - 1).bit_length()))
     at = hashes.select(F.pmod("hash", F.lit(places)).alias("place"))
     bits = at.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
     return bits.groupBy("word").agg(F.bit_or("bit").alias("bits")), places

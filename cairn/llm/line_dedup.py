@@ -53,7 +53,7 @@ MIN_DOCS = 5
 PASSAGE = 20
 PASSAGE_DOCS = 3
 MIN_TOKENS = 3
-#: Different lines of a leaf that one task parses at once, or as many as the leaf's table has fields; changes no result.
+#: Different lines of a leaf that one task parses at once, or an eighth of the fields in the leaf's table; changes no result.
 LINES_AT_ONCE = 128
 #: Stands for a variable field; no token is empty.
 VARIABLE = ""
@@ -80,7 +80,10 @@ def _template_id(leaf: int, tokens: list[str]) -> int:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, part, line_id, line, times, fields), a part's table of fields before its lines -> (line_id, template, times)."""
+    """(leaf, part, line_id, line, times, fields), a part's table of fields before its lines -> (line_id, template, times).
+
+    A field with a null ``before`` is constant at its position, another one is the most frequent after ``before``.
+    """
     now, constant, follows = None, set(), {}
     for batch in batches:
         lines, found = [], []
@@ -90,7 +93,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, constant, follows = (leaf, part), set(), {}
             if line is None:
                 constant = {(f["pos"], f["token"]) for f in fields if f["before"] is None}
-                follows = {(f["pos"], VARIABLE if f["before"] is None else f["before"]): f["token"] for f in fields if f["best"]}
+                follows = {(f["pos"], f["before"]): f["token"] for f in fields if f["before"] is not None}
             else:
                 lines.append(i)
                 found.append(_template_id(leaf, template(line.split(" "), constant, follows)))
@@ -162,21 +165,20 @@ def _lines_in(texts: list[str], wanted: np.ndarray, min_tokens: int) -> pa.Recor
 
 def _templates(lines: DataFrame, min_docs: int) -> DataFrame:
     """(line_id, template, times) of different lines (leaf, line_id, line, times)."""
-    tokens = lines.select("leaf", "times", F.split("line", " ").alias("t")).where(F.size("t") > DEPTH)
-    at = F.expr(f"transform(sequence({DEPTH}, size(t) - 1), i -> struct(i AS pos, t[i - 1] AS before, t[i] AS token))")
-    fields = tokens.select("leaf", "times", F.explode(at).alias("f")).groupBy("leaf", "f.pos", "f.before", "f.token").agg(F.sum("times").alias("times"))
     needed = F.col("times") >= _needed("leaf", min_docs)
-    common = fields.groupBy("leaf", "pos", F.lit(None).cast("string").alias("before"), "token").agg(F.sum("times").alias("times")).where(needed)
-    often = common.unionByName(fields.where(needed))
+    # where a leaf has one line, or all too seldom, nothing is to be generalised
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("times").alias("times")).where((F.col("lines") > 1) & needed)
+    sizes = small_or_not(materialise(sizes.select("leaf", "lines")))
+    tokens = lines.join(sizes.select("leaf"), "leaf", "left_semi").select("leaf", "times", F.split("line", " ").alias("t")).where(F.size("t") > DEPTH)
+    at = F.expr(f"transform(sequence({DEPTH}, size(t) - 1), i -> struct(i AS pos, t[i - 1] AS before, t[i] AS token))")
+    fields = materialise(tokens.select("leaf", "times", F.explode(at).alias("f")).groupBy("leaf", "f.pos", "f.before", "f.token").agg(F.sum("times").alias("times")))
+    common = materialise(fields.groupBy("leaf", "pos", "token").agg(F.sum("times").alias("times")).where(needed))
     # of the tokens at one place the most frequent, then the smallest
-    best = often.groupBy("leaf", "pos", "before").agg(F.min(F.struct((-F.col("times")).alias("minus"), "token")).getField("token").alias("first"))
-    best = best.select(F.col("leaf").alias("b_leaf"), F.col("pos").alias("b_pos"), F.col("before").alias("b_before"), "first")
-    marked = often.join(best, (F.col("leaf") == F.col("b_leaf")) & (F.col("pos") == F.col("b_pos")) & F.col("before").eqNullSafe(F.col("b_before")))
-    marked = marked.select("leaf", F.struct("pos", "before", "token", (F.col("token") == F.col("first")).alias("best")).alias("f")).where("f.best or f.before is null")
-    tables = marked.groupBy("leaf").agg(F.collect_list("f").alias("fields"))
-    # leaves of one line have nothing to generalise
-    sizes = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
-    tables = materialise(tables.join(sizes, "leaf").withColumn("parts", F.ceil(F.col("lines") / F.greatest(F.lit(LINES_AT_ONCE), F.size("fields"))).cast("int")))
+    most = F.min(F.struct((-F.col("times")).alias("minus"), "token")).getField("token").alias("token")
+    best = fields.where(needed).groupBy("leaf", "pos", "before").agg(most).unionByName(common.groupBy("leaf", "pos").agg(most).withColumn("before", F.lit(VARIABLE)))
+    rows = common.select("leaf", F.struct("pos", F.lit(None).cast("string").alias("before"), "token").alias("f")).unionByName(best.select("leaf", F.struct("pos", "before", "token").alias("f")))
+    tables = rows.groupBy("leaf").agg(F.collect_list("f").alias("fields"))
+    tables = materialise(tables.join(sizes, "leaf").withColumn("parts", F.ceil(F.col("lines") / F.greatest(F.lit(LINES_AT_ONCE), F.size("fields") / 8)).cast("int")))
     dealt = lines.join(small_or_not(tables.select("leaf", "parts")), "leaf", "left")
     dealt = dealt.select("leaf", F.pmod("line_id", F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "line_id", "line", "times", F.lit(None).cast(tables.schema["fields"].dataType).alias("fields"))
     given = tables.select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("line_id"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("bigint").alias("times"), "fields")
@@ -211,13 +213,28 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     return out.groupBy("key", "digest").agg(F.collect_set("pos").alias("gone"))
 
 
-def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``df`` with the recurring lines gone from ``text``, and ``lines_dropped``, how many of the row's went."""
+def _joined(df: DataFrame, text: str, key: str, min_docs: int, min_tokens: int) -> tuple[DataFrame, F.Column, F.Column]:
+    """Rows (row, gone: the line numbers to drop or null), the whole text and what is left of it."""
     gone = recurring_lines(df, text, key, min_docs, min_tokens).toDF("of", "of_digest", "gone")
     rows = df.select(named(key).alias("key"), F.xxhash64(named(text)).alias("digest"), packed(df).alias("row"))
     joined = rows.join(gone, F.col("of").eqNullSafe(F.col("key")) & (F.col("of_digest") == F.col("digest")), "left")
     whole = F.col(f"row.c{df.columns.index(text)}")
     kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return joined, whole, F.when(F.col("gone").isNull(), whole).otherwise(kept)
+
+
+def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """``df`` with the recurring lines gone from ``text``, and ``lines_dropped``, how many of the row's went."""
+    joined, _, left = _joined(df, text, key, min_docs, min_tokens)
+    columns = unpacked("row", df.columns, **{text: left})
     dropped = F.coalesce(F.size("gone"), F.lit(0)).alias("lines_dropped")
-    columns = unpacked("row", df.columns, **{text: F.when(F.col("gone").isNull(), whole).otherwise(kept)})
     return joined.select(*[c for c, name in zip(columns, df.columns, strict=True) if name != "lines_dropped"], dropped)
+
+
+def without_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, length: str | None = None) -> DataFrame:
+    """The rows of ``df`` without the recurring lines, and without those rows of which only blank lines are left; ``length`` names the column of the text's length, if it has one."""
+    joined, _, left = _joined(df, text, key, min_docs, min_tokens)
+    rows = joined.select("row", "gone", left.alias("left"))
+    rows = rows.where(F.col("gone").isNull() | F.col("left").rlike(r"\S"))
+    instead = {text: F.col("left")} | ({length: F.length("left").cast("long")} if length in df.columns else {})
+    return rows.select(*unpacked("row", df.columns, **instead))
