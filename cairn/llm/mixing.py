@@ -19,13 +19,14 @@ With no budget given, it is the least that takes every source whole at least
 once: nothing is dropped, and small sources repeat.  Tokens are runs of
 characters other than white space.
 
-Only DataFrame functions are used; no step holds a source's documents in one
-task, and the driver sees a fixed number of figures.
+Only DataFrame functions are used; no step holds a source's documents, nor all its blocks, in one
+task (what is before a block is the sum of the groups of blocks before its own and of those in it), and the driver sees a fixed number of figures.
 
 Edge cases: a null source is a source; documents without tokens, null texts
 among them, are taken once, at place 0; rows that repeat key, source and text
 are chosen together; a single source has weight 1; an empty table gives an empty
-result.  Other columns pass through unchanged.
+result.  Other columns pass through unchanged, whatever their names; where ``copy`` and
+``at`` are asked for, columns of the input with these names give way.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._common import materialise, small_or_not
+from cairn.llm._common import materialise, named, packed, small_or_not, unpacked
 
 BLOCK_DOCS = 1000
+#: Leading bits of the hash that orders blocks: so many groups are summed before the blocks in them are.
+GROUP_BITS = 12
 #: The exponents tried at once, and how often the interval shrinks by as much.
 GRID = 15
 ROUNDS = 6
@@ -96,10 +99,10 @@ def plan_mixture(items: DataFrame, repetition: float = 2.0, entropy: float | Non
     return Mixture(exponent, materialise(plan.withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("long"))))
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", repetition: float = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 0, keep_columns: bool = False) -> DataFrame:
-    """The chosen copies: key, source, ``copy`` (pass, from 0), ``n_tokens``, ``at``; or, with ``keep_columns``, the rows of ``df`` with ``copy`` and ``at``."""
-    mark = F.xxhash64(F.col(key), F.col(text), F.lit(seed))
-    items = df.select(F.col(key).alias("key"), F.col(source).alias("source"), mark.alias("mark"), token_count(F.col(text)).alias("tokens"))
+def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", repetition: float = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 0, keep_columns: bool = False, places: bool = True) -> DataFrame:
+    """The chosen copies: key, source, ``copy`` (pass, from 0), ``n_tokens``, ``at``; or, with ``keep_columns``, the rows of ``df`` with ``copy`` and ``at``, or without these where ``places`` is false."""
+    mark = F.xxhash64(named(key), named(text), F.lit(seed))
+    items = df.select(named(key).alias("key"), named(source).alias("source"), mark.alias("mark"), token_count(named(text)).alias("tokens"))
     items = materialise(items)
     plan = small_or_not(plan_mixture(items, repetition, entropy, budget).plan.withColumnRenamed("source", "of").drop("docs", "weight").withColumnRenamed("tokens", "all"))
 
@@ -110,9 +113,15 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     with_blocks = placed(items)
     block = with_blocks.where("tokens > 0").groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), *[F.first(c).alias(c) for c in ("all", "target", "passes", "rest")])
     turns = block.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes"))))
-    order = F.xxhash64("source", "block", "copy", F.lit(seed))
-    before = F.sum("tokens").over(Window.partitionBy("source", "copy").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1))
-    turns = turns.withColumn("before", F.coalesce(before, F.lit(0)))
+    turns = turns.withColumn("order", F.xxhash64("source", "block", "copy", F.lit(seed)))
+    turns = materialise(turns.withColumn("group", F.shiftright("order", 64 - GROUP_BITS)))
+    # running sums in two steps: of the groups of a pass, then of the blocks of a group
+    groups = turns.groupBy("source", "copy", "group").agg(F.sum("tokens").alias("sum"))
+    earlier = F.sum("sum").over(Window.partitionBy("source", "copy").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.select(F.col("source").alias("g_source"), F.col("copy").alias("g_copy"), F.col("group").alias("g_group"), F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    turns = turns.join(small_or_not(materialise(groups)), F.col("source").eqNullSafe(F.col("g_source")) & (F.col("copy") == F.col("g_copy")) & (F.col("group") == F.col("g_group")))
+    within_group = F.sum("tokens").over(Window.partitionBy("source", "copy", "group").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1))
+    turns = turns.withColumn("before", F.col("earlier") + F.coalesce(within_group, F.lit(0)))
     left = F.when(F.col("copy") < F.col("passes"), F.col("tokens").cast("double")).otherwise(F.col("rest") - F.col("before"))
     # what a block gives to a pass: all its documents, or those that fit into `left`
     turns = materialise(turns.withColumn("left", left).where("left > 0").select(F.col("source").alias("of"), F.col("block").alias("of_block"), "copy", (F.col("left") >= F.col("tokens")).alias("whole"), "left", ((F.col("copy") * F.col("all") + F.col("before")) / F.col("target")).alias("begin"), (F.least("left", "tokens") / F.col("target")).alias("width")))
@@ -134,5 +143,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
 
     if not keep_columns:
         return chosen(items).select(F.col("key").alias(key), F.col("source").alias(source), "copy", F.col("tokens").alias("n_tokens"), "at")
-    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(source).alias("source"), mark.alias("mark"), token_count(F.col(text)).alias("tokens"))
-    return chosen(packed).select(*[F.col("row")[c].alias(c) for c in df.columns], "copy", "at")
+    rows = chosen(df.select(packed(df).alias("row"), named(source).alias("source"), mark.alias("mark"), token_count(named(text)).alias("tokens")))
+    if not places:
+        return rows.select(*unpacked("row", df.columns))
+    return rows.select(*[c for c, name in zip(unpacked("row", df.columns), df.columns, strict=True) if name not in ("copy", "at")], "copy", "at")

@@ -5,7 +5,7 @@ found by a successor search in the order of residual room.  Every bin carries
 bitmaps: one of the clusters of duplicates in it, and ``per_source`` layers of
 the sources in it (a source's nth document sets its bit in layer n).  A bin that
 holds the item's cluster, or whose last layer has the item's source, conflicts,
-and the search goes on to the next larger room until a compatible bin is found;
+and the search goes on to the next bin of that room, in the order of their numbers, then to the next larger room, until a compatible bin is found;
 without one a new bin opens.
 
 A document longer than a bin is cut: whole bins first, and its rest is an item.
@@ -16,11 +16,13 @@ is bounded and a large group of copies is spread over all shards.
 
 Edge cases: null and empty texts have length 0 and no bin (null); null sources
 count as one source; equal lengths go in the order of their keys; rows that
-repeat a key and a text are items each; an empty table gives an empty result.
+repeat a key and a text are items each; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -28,6 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm._common import named
+from cairn.shipping import ship
+
 CAPACITY = 16_384
 PER_SOURCE = 4
 SHARD = 4_096
@@ -58,8 +63,7 @@ class Packer:
             bins = self.with_room[room]
             for i, b in enumerate(bins):
                 if not self.clusters[b] & c and not self.sources[b][-1] & s:
-                    bins[i] = bins[-1]
-                    bins.pop()
+                    del bins[i]
                     if not bins:
                         self.rooms ^= 1 << room
                     self._add(b, room - length, c, s)
@@ -83,7 +87,7 @@ class Packer:
                 self.sources[b][i] |= s
                 break
         if room:
-            self.with_room.setdefault(room, []).append(b)
+            bisect.insort(self.with_room.setdefault(room, []), b)
             self.rooms |= 1 << room
 
 
@@ -92,8 +96,9 @@ def pack(df: DataFrame, text: str = "text", source: str = "source", key: str = "
 
     ``cluster`` names an item's group of duplicates; by default that of equal texts.
     """
-    group = F.xxhash64(F.col(text)) if cluster is None else cluster
-    items = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("length"), group.alias("cluster"))
+    ship(df.sparkSession)
+    group = F.xxhash64(named(text)) if cluster is None else cluster
+    items = df.select(named(key).alias("key"), named(source).alias("source"), F.coalesce(F.octet_length(named(text)), F.lit(0)).cast("long").alias("length"), group.alias("cluster"))
     shards = max(1, math.ceil(df.count() / shard))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("key", "cluster", F.lit(5)), F.lit(shards)).cast("int"))
     full = F.floor(F.col("length") / capacity).cast("long")

@@ -20,7 +20,9 @@ Edge cases: null and empty texts have the features of an empty text; labels
 without a document, with null or with repeated ids count once or not at all; a
 document without a key is scored as any other; without labels of two grades at
 least there is nothing to learn, and every document gets the highest grade; an
-empty table gives an empty result; texts are read whole.
+empty table gives an empty result; texts are read whole.  Other columns may have any
+names: :func:`selected` passes all through unchanged, and in :func:`score` with
+``keep_columns`` an input column ``expected_grade`` or ``p_top`` gives way to the new one.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.llm._common import arrow_map
+from cairn.llm._common import arrow_map, named, packed, unpacked
 
 GRADES = 3
 ROWS_PER_GRADE = 1500
@@ -121,6 +124,20 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
+def loss_and_gradient(score: np.ndarray, free: np.ndarray, grades: np.ndarray, each: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighed negative log likelihood, and its slopes by every score and by ``free`` (the first threshold, logs of the gaps)."""
+    n_grades = len(free) + 1
+    cut = free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))])
+    upper = np.concatenate([cut, [np.inf]])[grades]
+    lower = np.concatenate([[-np.inf], cut])[grades]
+    hi, lo = 1 / (1 + np.exp(np.clip(score - upper, -500, 500))), 1 / (1 + np.exp(np.clip(score - lower, -500, 500)))
+    dhi, dlo = hi * (1 - hi), lo * (1 - lo)
+    p = np.maximum(hi - lo, 1e-12)
+    by_cut = np.array([np.sum(each * (-dhi * (grades == k) + dlo * (grades == k + 1)) / p) for k in range(n_grades - 1)])
+    by_free = np.concatenate([[by_cut.sum()], np.exp(free[1:]) * by_cut[::-1].cumsum()[::-1][1:]])
+    return float(-np.sum(each * np.log(p))), each * (dhi - dlo) / p, by_free
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, share: np.ndarray | None = None, n_grades: int = GRADES) -> OrdinalModel:
     """Maximum likelihood with an absolute-value penalty, by Adam on whole passes with a proximal step; the thresholds are a first one and positive gaps.
 
@@ -144,16 +161,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, share: np
     moment = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(free), np.zeros_like(free)]
     for step in range(1, STEPS + 1):
         score = np.add.reduceat(weight[at] * x, starts)  # doubles, as the weights are
-        cut = free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))])
-        upper = np.concatenate([cut, [np.inf]])[grades]
-        lower = np.concatenate([[-np.inf], cut])[grades]
-        hi, lo = 1 / (1 + np.exp(np.clip(score - upper, -500, 500))), 1 / (1 + np.exp(np.clip(score - lower, -500, 500)))
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        p = np.maximum(hi - lo, 1e-12)
-        slope = each * (dhi - dlo) / p  # of the loss, by score
+        _, slope, g_free = loss_and_gradient(score, free, grades, each)
         g_weight = np.bincount(at, weights=slope[owner] * x, minlength=len(used))
-        g_cut = np.array([np.sum(each * (-dhi * (grades == k) + dlo * (grades == k + 1)) / p) for k in range(n_grades - 1)])
-        g_free = np.concatenate([[g_cut.sum()], np.exp(free[1:]) * g_cut[::-1].cumsum()[::-1][1:]])
         for value, grad, m, v in ((weight, g_weight, moment[0], moment[1]), (free, g_free, moment[2], moment[3])):
             m *= 0.9
             m += 0.1 * grad
@@ -191,7 +200,7 @@ def train(documents: DataFrame, grades: DataFrame, text: str = "text", key: str
 
     kind = documents.schema[key].dataType.simpleString()
     # at most GRADES * rows_per_grade rows
-    picked = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").select("key", "text", "grade")
+    picked = documents.select(named(key).alias("key"), named(text).alias("text")).join(F.broadcast(sample), "key").select("key", "text", "grade")
     table = arrow_map(picked, rows, f"key {kind}, grade int, at array<int>, x array<float>").orderBy("key").toArrow()
     if table.num_rows == 0:
         return OrdinalModel(np.zeros(SPACE), np.full(GRADES - 1, -20.0) + np.arange(GRADES - 1))
@@ -203,23 +212,25 @@ def train(documents: DataFrame, grades: DataFrame, text: str = "text", key: str
 def score(documents: DataFrame, model: OrdinalModel, text: str = "text", key: str = "doc_id", keep_columns: bool = False) -> DataFrame:
     """Every row with ``expected_grade`` and ``p_top`` (probability of the highest grade); only the key beside them unless ``keep_columns``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    names = ["key", "expected_grade", "p_top"]
+    new = ["expected_grade", "p_top"]
+    kept = [c for c in documents.columns if c not in new] if keep_columns else [key]
+    source = documents.select(named(text).alias("text"), F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tails = shared.value.tails(batch.column(1).to_pylist())
-        new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])]
-        if keep_columns:
-            return pa.RecordBatch.from_arrays([*batch.columns, *new], [*inner, *names[1:]])
-        return pa.RecordBatch.from_arrays([batch.column(0), *new], names)
+        tails = shared.value.tails(batch.column(0).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], ["row", *new])
 
-    kind = documents.schema[key].dataType.simpleString()
-    if not keep_columns:
-        return arrow_map(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), rows, f"key {kind}, expected_grade double, p_top double").withColumnRenamed("key", key)
-    # positions instead of names, as other columns may have any
-    rest = [c for c in documents.columns if c not in (key, text)]
-    order = [key, text, *rest]
-    inner = [f"c{i}" for i in range(len(order))]
-    schema = ", ".join(f"c{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(order))
-    out = arrow_map(documents.select(*[documents[c].alias(n) for c, n in zip(order, inner, strict=True)]), rows, f"{schema}, expected_grade double, p_top double")
-    place = {c: n for c, n in zip(order, inner, strict=True)}
-    return out.select(*[F.col(place[c]).alias(c) for c in documents.columns], "expected_grade", "p_top")
+    out = arrow_map(source, rows, T.StructType([source.schema["row"], *[T.StructField(c, T.DoubleType()) for c in new]]))
+    return out.select(*unpacked("row", kept), *new)
+
+
+def selected(documents: DataFrame, model: OrdinalModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows whose probability of the highest grade is ``least`` or more, as they are."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    source = documents.select(named(text).alias("text"), packed(documents).alias("row"))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = shared.value.tails(batch.column(0).to_pylist())[:, -1] >= least
+        return pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(good))], ["row"])
+
+    return arrow_map(source, rows, T.StructType([source.schema["row"]])).select(*unpacked("row", documents.columns))

@@ -148,17 +148,21 @@ class PrefixCounter:
         """Tokens of ``text[:i]`` for every i = 0..len(text), each as the library counts that prefix on its own.
 
         A cut changes how the pattern splits only near the cut: white space before the cut runs together, and
-        a contraction cut in its middle falls apart.  A special token cut in its middle is ordinary text.
+        a contraction cut in its middle falls apart.  A special token cut in its middle is ordinary text, that
+        of the segment before it, whose words are counted again for it; all before that stands.
         """
         out = np.zeros(len(text) + 1, dtype=np.int64)
         at = total = 0
+        begin = before = 0  # where the last ordinary segment began, and the count there
         for part in self.segments(text):
             if part in self.special:
                 for i in range(1, len(part)):
-                    out[at + i] = self.count(text[: at + i])
+                    out[at + i] = before + self.count(text[begin : at + i])
                 at, total = at + len(part), total + 1
+                begin, before = at, total
                 out[at] = total
                 continue
+            begin, before = at, total
             space_at = space_total = None  # where the white space before this word begins, and the count there
             for word in self.words.findall(part):
                 data = word.encode("utf-8", "surrogatepass")

@@ -2,40 +2,45 @@
 
 Vectors become integers, floor(scale * x), and every query is scored against
 every candidate by the inner product.  The scores are never gathered: each
-block of scores gives a histogram, the sums of the histograms tell in which bin
+task gives a histogram of its scores, the sums of the histograms tell in which bin
 a query's kth score lies, and the next pass divides that bin anew until it is
 one value wide.  A last pass keeps the scores above that value and, of those
 equal to it, the smallest ids.
 
-A block never reports more than its own k best bins or rows for a query: the
-kth best score of all candidates is never below the kth best of one block, so
+A task never reports more than its own k best scores or rows for a query: the
+kth best score of all candidates is never below the kth best of one task, so
 nothing that could matter is left out.
 
-Queries and candidates meet in cells of bounded size (``QUERIES_IN_CELL`` by
-``ROWS_IN_CELL``); every cell is one task's work, whatever the data's size.
+Queries meet candidates in blocks of at most about ``VALUES_AT_ONCE`` components, whatever the
+data's size: a block and what is known of it (two numbers a query) is broadcast, and
+the candidates stay where they are read.  Nothing but histograms and results is shuffled.
 
 Edge cases: rows whose id or vector is null, or whose vector is empty or holds
 null or non-finite components, take no part; vectors of different lengths are
 not compared; rows that repeat an id count once, with the smallest vector; a
 query never finds its own id; equal scores go to the smaller id; a query
-without candidates gives no row; empty tables give an empty result.  Scores
-must be within 2**61 on either side, and scaled components be 64-bit integers.
+without candidates gives no row; empty tables give an empty result; other columns are ignored,
+whatever their names.  Scores must be within 2**61 on either side, and scaled components be 64-bit integers.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import materialise
+from cairn.llm._common import materialise, named
+from cairn.shipping import ship
 
-QUERIES_IN_CELL = 2048
-ROWS_IN_CELL = 8192
+#: Components of the queries that are broadcast at once; bounds memory only.
+VALUES_AT_ONCE = 1 << 22
+#: Scores that are held at once, as queries by rows.
+QUERIES_IN_TILE, ROWS_IN_TILE = 256, 4096
 BINS = 4096
 _EXACT_DOUBLE = float(1 << 53)
 #: Scores are within this on either side.
@@ -50,8 +55,25 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0), np.int64)
+def _whole(values: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as integers; integers are scaled already."""
+    return values if values.dtype == np.int64 else np.floor(scale * values.astype(np.float64)).astype(np.int64)
+
+
+def _vectors(batch: pa.RecordBatch, dim: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of a batch's vectors of ``dim`` components that take part."""
+    column, ids = batch.column(1), batch.column(0)
+    rows = np.flatnonzero(column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
+    picked = column.take(pa.array(rows)).flatten()
+    good = ~ids.is_null().to_numpy(zero_copy_only=False)[rows]
+    if picked.null_count:
+        good &= ~picked.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
+        picked = picked.fill_null(0)
+    values = picked.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    if values.dtype != np.int64:
+        good &= np.isfinite(values).all(axis=1)
+        values = np.where(good[:, None], values, 0)
+    return ids.take(pa.array(rows[good])).to_numpy(), _whole(values[good], scale)
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -62,104 +84,121 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return queries @ rows.T
 
 
-def _blocks(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
-    """Scores of a cell for 64 queries at a time; a query's own id scores ``NONE``."""
-    for dim, queries in left.groupby(left["vector"].map(len), sort=False):
-        rows = right[right["other"].map(len) == dim]
-        if rows.empty:
-            continue
-        matrix, ids = _matrix(rows["other"]), rows["other_id"].to_numpy()
-        for start in range(0, len(queries), 64):
-            part = queries.iloc[start : start + 64]
-            scores = _scores(_matrix(part["vector"]), matrix)
-            scores[part["id"].to_numpy()[:, None] == ids[None, :]] = NONE
-            yield part, rows, scores
+def _tiles(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, scale: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(queries, other ids, scores) in tiles; a query's own id scores ``NONE``."""
+    for batch in batches:
+        other_ids, others = _vectors(batch, matrix.shape[1], scale)
+        for begin in range(0, len(other_ids), ROWS_IN_TILE):
+            part_ids, part = other_ids[begin : begin + ROWS_IN_TILE], others[begin : begin + ROWS_IN_TILE]
+            for first in range(0, len(ids), QUERIES_IN_TILE):
+                some = slice(first, min(first + QUERIES_IN_TILE, len(ids)))
+                scores = _scores(matrix[some], part)
+                scores[ids[some][:, None] == part_ids[None, :]] = NONE
+                yield some, part_ids, scores
+
+
+def _histogram(batches, block, k: int, scale: float, width: int, span: int) -> Iterator[pa.RecordBatch]:
+    """Of the scores in [low, low + span), each query's k best of this task, counted by bins: (id, bin, n)."""
+    ids, matrix, low, _ = block
+    best = np.full((len(ids), k), NONE)
+    for some, _, scores in _tiles(batches, ids, matrix, scale):
+        base = low[some][:, None]
+        scores[(scores < base) | (scores >= base + span)] = NONE
+        both = np.concatenate([best[some], scores], axis=1)
+        best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+    q, at = np.nonzero(best != NONE)
+    code, n = np.unique(q * BINS + (best[q, at] - low[q]) // width, return_counts=True)
+    if len(code):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[code // BINS]), pa.array(code % BINS), pa.array(n)], ["id", "bin", "n"])
+
+
+def _kept(batches, block, k: int, scale: float) -> Iterator[pa.RecordBatch]:
+    """The scores from the kth one on, of each query the k first of this task: (query_id, id, score)."""
+    ids, matrix, low, _ = block
+    held = np.zeros((3, 0), np.int64)  # query, other id, score
+
+    def first(rows: np.ndarray) -> np.ndarray:
+        rows = rows[:, np.lexsort((rows[1], -rows[2], rows[0]))]
+        return rows[:, np.arange(rows.shape[1]) - np.searchsorted(rows[0], rows[0]) < k]
+
+    for some, part_ids, scores in _tiles(batches, ids, matrix, scale):
+        q, at = np.nonzero((scores >= low[some][:, None]) & (scores != NONE))
+        held = np.concatenate([held, np.stack([q + some.start, part_ids[at], scores[q, at]])], axis=1)
+        if held.shape[1] > 4 * k * len(ids):
+            held = first(held)
+    held = first(held)
+    if held.shape[1]:
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "id", "score"])
+
+
+def _following(state: DataFrame, bins: DataFrame, k: int, bound: int, width: int) -> DataFrame:
+    """Where each query's kth score lies after a pass: (id, low, above), ``above`` being how many better ones lie beyond."""
+    # a query's bins from above, few as each task reports k scores at most; the first whose running sum reaches k
+    ranked = bins.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))
+    walked = state.join(ranked, "id", "left").select(
+        "id",
+        "low",
+        F.aggregate(
+            F.coalesce("bins", F.array().cast("array<struct<bin:bigint,n:bigint>>")),
+            F.struct(F.col("above").alias("above"), F.lit(None).cast("long").alias("bin")),
+            lambda acc, b: F.when(acc["bin"].isNotNull(), acc)
+            .when(acc["above"] + b["n"] >= k, F.struct(acc["above"].alias("above"), b["bin"].alias("bin")))
+            .otherwise(F.struct((acc["above"] + b["n"]).alias("above"), F.lit(None).cast("long").alias("bin"))),
+        ).alias("at"),
+    )
+    # fewer than k candidates: everything is kept
+    low = F.when(F.col("at.bin").isNull(), F.lit(-bound)).otherwise(F.col("low") + F.col("at.bin") * width)
+    return walked.select("id", low.cast("long").alias("low"), F.when(F.col("at.bin").isNull(), F.lit(0)).otherwise(F.col("at.above")).cast("long").alias("above"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """The ``k`` best other rows of every row that ``is_query`` (a condition on ``id``) selects: query_id, rank, the key, score."""
-    vec = F.col(vector)
-    ints = F.transform(F.col(vector), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    rows = vectors.where(F.col(key).isNotNull() & usable(vec)).select(F.col(key).cast("long").alias("id"), ints.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
-    rows = materialise(rows)
-    low, high, dim, n, n_queries = rows.agg(
-        F.min(F.array_min("vector")), F.max(F.array_max("vector")), F.max(F.size("vector")), F.count("*"), F.count(F.when(is_query, 1))
-    ).first()
-    if not n_queries:
-        return rows.sparkSession.createDataFrame([], f"query_id long, rank int, {key} long, score long")
-    bound = min(max(abs(low), abs(high)) ** 2 * dim, LARGEST)
-    across, along = math.ceil(n_queries / QUERIES_IN_CELL), math.ceil(n / ROWS_IN_CELL)
-    spread = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    to_all = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    candidates = rows.select(F.col("id").alias("other_id"), F.col("vector").alias("other"), spread(along, 1).alias("in_along"), to_all(across).alias("in_across"))
-    queries = rows.where(is_query).withColumn("across", spread(across, 2))
-
-    def cells(state: DataFrame, work, schema: str) -> DataFrame:
-        left = queries.join(state, "id").withColumn("along", to_all(along))
-        return left.groupBy("across", "along").cogroup(candidates.groupBy("in_across", "in_along")).applyInPandas(work, schema)
-
-    def histograms(width: int, span: int):
-        def histogram(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = [np.zeros((3, 0), np.int64)]
-            for part, _, scores in _blocks(left, right) if len(left) and len(right) else ():
-                base = part["low"].to_numpy()[:, None]
-                scores[(scores < base) | (scores >= base + span)] = NONE
-                if scores.shape[1] > k:  # bins below that of the block's own kth best can't matter
-                    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
-                    least = np.where(least == NONE, NONE + 1, base + (np.maximum(least, base) - base) // width * width)
-                else:
-                    least = NONE + 1
-                q, at = np.nonzero(scores >= least)
-                code, n = np.unique(q * BINS + (scores[q, at] - base[q, 0]) // width, return_counts=True)
-                out.append(np.stack([part["id"].to_numpy()[code // BINS], code % BINS, n]))
-            return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["id", "bin", "n"])
-
-        return histogram
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.select(named(key).cast("long").alias("id"), named(vector).alias("vector"))
+    good = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
+    if not good.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        ints = F.transform("vector", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+        rows = good = materialise(good.select("id", ints.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector")))
+    sizes = good.groupBy(F.size("vector").alias("dim")).agg(F.min(F.array_min("vector")).alias("low"), F.max(F.array_max("vector")).alias("high"), F.count(F.when(is_query, 1)).alias("queries"))
+    found = []
+    for r in sizes.where("queries > 0").orderBy("dim").collect():  # one row for each length of vectors
+        ends = _whole(np.array([r["low"], r["high"]]), float(scale)).tolist()
+        bound = min(max(abs(ends[0]), abs(ends[1])) ** 2 * r["dim"], LARGEST)
+        blocks = math.ceil(r["queries"] * r["dim"] / VALUES_AT_ONCE)
+        for number in range(blocks):
+            block = good.where(is_query & (F.size("vector") == r["dim"]) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == number))
+            if (one := _block(rows, block, r["dim"], bound, k, float(scale))) is not None:
+                found.append(one)
+    if not found:
+        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score long")
+    kept = reduce(DataFrame.unionByName, found)
+    best = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("all"))
+    return best.select("query_id", F.posexplode(F.slice("all", 1, k))).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias(key), (-F.col("col.minus")).alias("score"))
+
+
+def _block(rows: DataFrame, queries: DataFrame, dim: int, bound: int, k: int, scale: float) -> DataFrame | None:
+    """The rows from each kth score on for one block of queries, which is gathered: ``VALUES_AT_ONCE`` components or about as many."""
+    spark = rows.sparkSession
+    table = queries.select("id", "vector").orderBy("id").toArrow().combine_chunks()
+    if not table.num_rows:
+        return None
+    ids, matrix = _vectors(table.to_batches()[0], dim, scale)
+
+    def over(low: np.ndarray, above: np.ndarray, work: Callable, schema: str, **options) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, matrix, low, above))
+        return rows.mapInArrow(lambda batches: work(batches, shared.value, k, scale, **options), schema)
 
     # each query's kth score lies in [low, low + span); beyond are the `above` better ones
     span = 2 * bound + 1
     width = max(1, math.ceil(span / BINS))
-    state = rows.where(is_query).select("id", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(0).cast("long").alias("above"))
+    low, above = np.full(len(ids), -bound), np.zeros(len(ids), np.int64)
     while True:
-        bins = cells(state, histograms(width, span), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
-        # a query's bins from above, few as each cell reports k at most; the first whose running sum reaches k
-        ranked = bins.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))
-        walked = state.join(ranked, "id", "left").select(
-            "id",
-            "low",
-            F.aggregate(
-                F.coalesce("bins", F.array().cast("array<struct<bin:bigint,n:bigint>>")),
-                F.struct(F.col("above").alias("above"), F.lit(None).cast("long").alias("bin")),
-                lambda acc, b: F.when(acc["bin"].isNotNull(), acc)
-                .when(acc["above"] + b["n"] >= k, F.struct(acc["above"].alias("above"), b["bin"].alias("bin")))
-                .otherwise(F.struct((acc["above"] + b["n"]).alias("above"), F.lit(None).cast("long").alias("bin"))),
-            ).alias("at"),
-        )
-        following = max(1, math.ceil(width / BINS))
-        # fewer than k candidates: everything is kept
-        state = walked.select(
-            "id",
-            F.when(F.col("at.bin").isNull(), F.lit(-bound)).otherwise(F.col("low") + F.col("at.bin") * width).cast("long").alias("low"),
-            F.lit(following).cast("long").alias("width"),
-            F.when(F.col("at.bin").isNull(), F.lit(0)).otherwise(F.col("at.above")).cast("long").alias("above"),
-        )
-        state = materialise(state)
+        bins = over(low, above, _histogram, "id long, bin long, n long", width=width, span=span).groupBy("id", "bin").agg(F.sum("n").alias("n"))
+        state = spark.createDataFrame(pa.table({"id": ids, "low": low, "above": above}))
+        at = _following(state, bins, k, bound, width).orderBy("id").toArrow()
+        low, above = at["low"].to_numpy().copy(), at["above"].to_numpy().copy()
         if width == 1:
             break
-        span, width = width, following
-
-    def keep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((3, 0), np.int64)]
-        for part, rows, scores in _blocks(left, right) if len(left) and len(right) else ():
-            ids = rows["other_id"].to_numpy()
-            q, at = np.nonzero((scores >= part["low"].to_numpy()[:, None]) & (scores != NONE))
-            order = np.lexsort((ids[at], -scores[q, at], q))
-            q, at = q[order], at[order]
-            nth = np.arange(len(q)) - np.searchsorted(q, q)
-            q, at = q[nth < k], at[nth < k]
-            out.append(np.stack([part["id"].to_numpy()[q], ids[at], scores[q, at]]))
-        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["query_id", "id", "score"])
-
-    kept = cells(state, keep, "query_id long, id long, score long")
-    best = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("all"))
-    return best.select("query_id", F.posexplode(F.slice("all", 1, k))).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias(key), (-F.col("col.minus")).alias("score"))
+        span, width = width, max(1, math.ceil(width / BINS))
+    return over(low, above, _kept, "query_id long, id long, score long")

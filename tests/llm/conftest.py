@@ -1,9 +1,12 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-#: Names that operators use themselves.
-CLASHING = ["gone", "p_top", "expected_grade", "lines_dropped", "copy", "at", "__gone", "id", "class", "row", "mark", "tokens", "of", "block", "whole", "left", "digest", "pos", "cluster", "shard", "bin_id", "kept", "component_id", "n_tokens", "a.b", "c0"]
+sys.path.insert(0, str(Path(__file__).parent))
 
+from conftest_names import CLASHING  # noqa: E402
 
 @pytest.fixture
 def docs(spark):

@@ -9,6 +9,48 @@ def words(n, seed):
     return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def sequential(text):
+    """A fingerprint byte by byte, from the definition."""
+    data = text.encode()
+    window = [0] * 7
+    hits = []
+    for b in data:
+        window = [*window[1:], b]
+        h = sum((x + 1) * pow(0x9E3779B1, 6 - i, 2**32) for i, x in enumerate(window)) % 2**32
+        h ^= h >> 15
+        h = h * 0x85EBCA6B % 2**32
+        h ^= h >> 13
+        hits.append(h)
+
+    def signature(block):
+        chunks, now = [], []
+        for i, b in enumerate(data):
+            now.append(b)
+            if hits[i] % block == 0 and i < len(data) - 1:
+                chunks.append(now)
+                now = []
+        chunks += [now] if now else []
+        out = ""
+        for c in chunks:
+            h = (sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, b in enumerate(c)) + len(c)) % 2**64
+            h ^= h >> 31
+            out += LETTERS[h * 0x94D049BB133111EB % 2**64 >> 58]
+        return out
+
+    block = 3
+    while len(signature(block)) > 64:
+        block *= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def test_fingerprints_equal_a_sequential_version():
+    texts = ["", "a", "abc", "x" * 500, "é🙂 ß" * 40, *(words(n, n) for n in (1, 3, 10, 60, 200, 500))]
+    assert fp.fingerprints(texts) == [sequential(t) for t in texts]
+
+
 def test_edit_distance_equals_the_table():
     def slow(a, b):
         row = list(range(len(b) + 1))

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -42,6 +43,61 @@ def test_probabilities_sum_to_one_in_every_context():
     assert np.allclose(np.exp2(-cost.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
 
 
+def escape_probability(counts, alphabet, context, symbol):
+    """P(symbol after context) by the plain recursion: a seen symbol n / (total + distinct); else escape to the shorter context without the symbols seen here."""
+
+    def of(context, excluded):
+        if context is None:
+            return {s: 1.0 / len(alphabet) for s in alphabet}
+        shorter = of(context[1:] if context else None, None)
+        seen = counts.get(context)
+        if not seen:
+            return shorter
+        total, distinct = sum(seen.values()), len(seen)
+        unseen = [s for s in alphabet if s not in seen]
+        room = sum(shorter[s] for s in unseen)
+        if not room:
+            return {s: n / total for s, n in seen.items()}
+        return {s: seen[s] / (total + distinct) if s in seen else distinct / (total + distinct) * shorter[s] / room for s in alphabet}
+
+    return of(context, None)[symbol]
+
+
+def test_code_lengths_equal_a_plain_recursion():
+    rows = texts(40)
+    m = model(rows)
+    fold = lambda t: [b - 65 + 1 if 65 <= b <= 90 else b - 97 + 1 if 97 <= b <= 122 else b - 101 if b >= 128 else 0 for b in t.encode()]
+    used = {0} | {s for t, _, _ in rows for s in fold(t)}
+    known = lambda t: [s if s in used else 0 for s in fold(t)]
+    everywhere = Counter()
+    per = {}
+    for lang in m.languages:
+        counts = defaultdict(Counter)
+        for t, k, _ in rows:
+            if k == lang:
+                s = [0, 0, 0, *fold(t)]
+                for i in range(3, len(s)):
+                    for order in range(4):
+                        counts[tuple(s[i - order : i])][s[i]] += 1
+        per[lang] = counts
+        for context, seen in counts.items():
+            everywhere[context] += sum(seen.values())
+    # contexts that were met once, in all languages together, are not kept
+    per = {k: {c: dict(n) for c, n in counts.items() if not c or everywhere[c] > 1} for k, counts in per.items()}
+    some = ["the ship über", "les être", "q", "nicht THE voilà", rows[3][0]]
+    bits, _ = m.code_lengths(some)
+    for t, got in zip(some, bits):
+        s = [0, 0, 0, *known(t)]
+        for lang, g in zip(m.languages, got):
+            want = 0.0
+            for i in range(3, len(s)):
+                context = tuple(s[i - 3 : i])
+                while context and context not in per[lang]:
+                    context = context[1:]
+                want -= math.log2(escape_probability(per[lang], sorted(used), context, s[i]))
+            assert math.isclose(g, want, rel_tol=1e-4, abs_tol=1e-3)
+
+
 def test_code_length_is_the_sum_over_symbols_and_pieces_change_nothing(monkeypatch):
     m = model(texts(60))
     some = ["the ship über", "", "q", "les être " * 50]

@@ -1,11 +1,90 @@
 import math
-from collections import defaultdict
+import random
+import struct
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from cairn.llm import mixing
 
 
+def spark_hash(*values):
+    """What Spark's xxhash64 gives: each value's bytes hashed with the hash so far; a null changes nothing."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            data = v.encode() if kind == "s" else struct.pack("<i" if kind == "i" else "<q", v)
+            h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def unit(h):
+    return ((h % (1 << 64)) >> 11) * 2.0**-53
+
+
+def plain(rows, exponent, budget, block_docs, seed=0):
+    """The mixture of rows (key, text, source) under an exponent, source by source, pass by pass, block by block."""
+    of = defaultdict(list)
+    out = Counter()
+    for key, text, source in rows:
+        n = len((text or "").split())
+        if n:
+            of[source].append((spark_hash(("q", key), ("s", text), ("i", seed)), n, key))
+        else:
+            out[key, source, 0, 0, 0.0] += 1
+    total = {s: sum(n for _, n, _ in docs) for s, docs in of.items()}
+    docs_in = Counter(r[2] for r in rows)
+    z = sum(t**exponent for t in total.values())
+    whole = max(t / t**exponent for t in total.values())
+    for source, docs in of.items():
+        target = total[source] ** exponent / z * (budget if budget is not None else whole * z)
+        blocks = math.ceil(docs_in[source] / block_docs)
+        inside = defaultdict(list)
+        for mark, n, key in docs:
+            inside[mark % blocks].append((mark, n, key))
+        passes = math.floor(target / total[source] + 1e-9)
+        for copy in range(passes + 1):
+            room = total[source] if copy < passes else max(0.0, target - passes * total[source])
+            used = 0
+            for block in sorted(inside, key=lambda b: spark_hash(("s", source), ("q", b), ("i", copy), ("i", seed))):
+                size = sum(n for _, n, _ in inside[block])
+                left = size if copy < passes else room - used
+                if left <= 0:
+                    break
+                width, begin = min(left, size) / target, (copy * total[source] + used) / target
+                place = lambda mark: spark_hash(("q", mark), ("i", copy), ("i", seed + 1))
+                taken = 0
+                for mark in sorted({m for m, _, _ in inside[block]}, key=lambda m: (place(m), m)):
+                    same = [(n, key) for m, n, key in inside[block] if m == mark]
+                    taken += sum(n for n, _ in same)
+                    if left < size and taken > left:
+                        break
+                    for n, key in same:
+                        out[key, source, copy, n, round(begin + width * unit(place(mark)), 9)] += 1
+                used += size
+    return out
+
+
+@pytest.mark.parametrize("block,budget,repetition", [(1000, None, 2.0), (9, None, 3.0), (9, 900, 2.0), (4, 77, 1.0)])
+def test_equals_brute_force(docs, spark, monkeypatch, block, budget, repetition):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", block)
+    r = random.Random(5)
+    rows = [(i, " ".join("w" * r.randint(1, 4) for _ in range(r.choice([0, 1, 3, 9, 30]))), r.choice(["a", "a", "a", "b", "b", None, "c"]) if i > 20 else "d") for i in range(150)]
+    rows += [rows[30], rows[30], (999, None, "a"), (1000, "alone here", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total = Counter()
+    for _, t, s in rows:
+        total[s] += len((t or "").split())
+    shares = sorted(t / sum(total.values()) for t in total.values())
+    want = max(0.0, 1 + math.log(repetition) / math.log(shares[0] / shares[-1]))
+    items = df.select("source", mixing.token_count(df.text).alias("tokens"))
+    exponent = mixing.plan_mixture(items, repetition, None, budget).exponent
+    assert abs(exponent - want) < 1e-6
+    got = Counter((x["doc_id"], x["source"], x["copy"], x["n_tokens"], round(x["at"], 9)) for x in mixing.mix(df, repetition=repetition, budget=budget).collect())
+    assert got == plain(rows, exponent, budget, block)
+
+
 def table(docs, sizes, words=10):
     return docs(*[(" ".join(["w"] * words), "en", s) for s, n in sizes.items() for _ in range(n)])
 
@@ -63,6 +142,8 @@ def test_odd_tables(odd_docs, docs):
     got = mixing.mix(odd_docs, repetition=1.0).collect()
     assert sorted(r["n_tokens"] for r in got if r["copy"] == 0) == sorted(len((r["text"] or "").split()) if r["doc_id"] != 7 else 3 for r in odd_docs.collect())
     kept = mixing.mix(odd_docs, repetition=1.0, keep_columns=True)
-    assert kept.columns == [*odd_docs.columns, "copy", "at"] and kept.where("copy = 0").count() == odd_docs.count()
+    assert kept.columns == [*(c for c in odd_docs.columns if c not in ("copy", "at")), "copy", "at"] and kept.where("copy = 0").count() == odd_docs.count()
+    whole = mixing.mix(odd_docs, repetition=1.0, keep_columns=True, places=False)
+    assert whole.columns == odd_docs.columns and Counter(map(repr, whole.collect())) == Counter(map(repr, odd_docs.collect()))
     assert mixing.mix(docs("x").where("false")).count() == 0
     assert [r["copy"] for r in mixing.mix(docs(None, "")).collect()] == [0, 0]

@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -31,7 +33,55 @@ def test_held_out_accuracy(docs, spark):
     assert all(0 <= r["expected_grade"] <= 2 for r in got.values())
 
 
-def test_thresholds_are_ordered_and_the_gradient_is_right():
+def test_the_gradient_equals_differences():
+    rng = np.random.default_rng(6)
+    grades = rng.integers(0, 4, 40)
+    each = rng.random(40)
+    score, free = rng.normal(size=40), np.array([-0.7, 0.1, -0.4])
+    _, by_score, by_free = quality.loss_and_gradient(score, free, grades, each)
+    step = 1e-6
+
+    def slope(at_score, at_free):
+        up, down = (quality.loss_and_gradient(score + k * at_score, free + k * at_free, grades, each)[0] for k in (step, -step))
+        return (up - down) / (2 * step)
+
+    assert np.allclose(by_score, [slope(np.eye(40)[i], np.zeros(3)) for i in range(40)], atol=1e-6)
+    assert np.allclose(by_free, [slope(np.zeros(40), np.eye(3)[i]) for i in range(3)], atol=1e-6)
+    # the loss itself, grade by grade
+    cut = np.cumsum([free[0], *np.exp(free[1:])])
+    tail = lambda s, g: 1.0 if g < 0 else 0.0 if g > 2 else 1 / (1 + np.exp(cut[g] - s))
+    assert np.isclose(quality.loss_and_gradient(score, free, grades, each)[0], -sum(w * np.log(tail(s, g - 1) - tail(s, g)) for s, g, w in zip(score, grades, each)))
+
+
+def plain_features(text):
+    """The features of a text by their definition, as {name: value}."""
+    words = (text or "").split()
+    out, n = {}, max(len(words), 1)
+    for w in words:
+        core = "".join(c for c in w if c.isalpha()).lower()
+        if core:
+            out["word", core] = 1.0
+    shape = lambda w: re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", w))[:12]
+    for w in words:
+        out["shape", shape(w)] = out.get(("shape", shape(w)), 0) + 6.0 / n
+    most = max((words.count(w) for w in words), default=0)
+    return out | {("variety", str(16 * len(set(words)) // n)): 1.0, ("top", str(16 * most // n)): 1.0, ("length", str(len(words).bit_length())): 1.0}
+
+
+def test_scores_equal_brute_force(docs):
+    texts = ["one two two, three! 44 x-y", "", None, "a b c " * 50, "É ß 12ab34 --- $$$ x%%%", "word\n\tword"]
+    rng = np.random.default_rng(3)
+    model = quality.OrdinalModel(rng.normal(size=quality.SPACE + 1), np.array([-0.5, 0.8]))
+    got = {r["doc_id"]: r for r in quality.score(docs(*texts), model).collect()}
+    for i, t in enumerate(texts):
+        value = sum(model.weights[zlib.crc32(f"{kind}:{name}".encode()) % quality.SPACE] * x for (kind, name), x in plain_features(t).items())
+        tails = [1 / (1 + np.exp(c - value)) for c in model.thresholds]
+        assert np.isclose(got[i]["expected_grade"], sum(tails), atol=1e-5) and np.isclose(got[i]["p_top"], tails[-1], atol=1e-5)
+    kept = {r["doc_id"] for r in quality.selected(docs(*texts), model, 0.5).collect()}
+    assert kept == {i for i in got if got[i]["p_top"] >= 0.5}
+
+
+def test_thresholds_are_ordered():
     rows = [(np.array([1, 2 + i % 3], np.int32), np.array([1.0, 1.0], np.float32)) for i in range(90)]
     model = quality.fit(rows, np.array([i % 3 for i in range(90)]))
     assert model.thresholds[0] < model.thresholds[1]
@@ -51,7 +101,8 @@ def test_odd_tables(odd_docs, docs, spark, keep):
         out = quality.score(odd_docs, model, keep_columns=keep)
         assert out.count() == odd_docs.count() and out.where("p_top is null or expected_grade is null").isEmpty()
         if keep:
-            assert out.columns == [*odd_docs.columns, "expected_grade", "p_top"]
+            assert out.columns == [*(c for c in odd_docs.columns if c not in ("expected_grade", "p_top")), "expected_grade", "p_top"]
+            assert quality.selected(odd_docs, model, 0.0).columns == odd_docs.columns and quality.selected(odd_docs, model, 0.0).count() == odd_docs.count()
     assert quality.score(odd_docs, quality.train(odd_docs, quality.graded(none))).where("p_top < 0.5").isEmpty()
     empty = docs("x").where("false")
     assert quality.score(empty, quality.train(empty, quality.graded(labels)), keep_columns=keep).isEmpty()

@@ -34,6 +34,18 @@ def test_long_words(both):
         assert counter.count(text) == library(lib, text)
 
 
+def test_many_special_strings_cost_time_in_proportion(both):
+    import time
+
+    counter, lib = both
+    text = "some words here <|endoftext|>" * 800
+    begin = time.perf_counter()
+    table = counter.prefix_counts(text)
+    assert time.perf_counter() - begin < 10
+    for n in (0, 17, 29, 35, 10_000, len(text) - 3, len(text)):
+        assert table[n] == library(lib, text[:n])
+
+
 def test_budget(both, docs):
     counter, lib = both
     texts = ["one two three four five", "a" * 50, "", None, "short"]

@@ -24,15 +24,36 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string, along int").select("*", F.lit(1).alias("low"))
 
 
-@pytest.mark.parametrize("cell", [(2048, 8192), (3, 7)])
-def test_equals_brute_force(spark, monkeypatch, cell):
-    monkeypatch.setattr(topk, "QUERIES_IN_CELL", cell[0])
-    monkeypatch.setattr(topk, "ROWS_IN_CELL", cell[1])
+@pytest.mark.parametrize("values", [1 << 22, 20])
+def test_equals_brute_force(spark, monkeypatch, values):
+    monkeypatch.setattr(topk, "VALUES_AT_ONCE", values)  # in this process; tiles are cut in workers
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4).astype(np.float32)], "c", 0) for i in range(60)]
     rows += [(100 + i, [0.5, 0.5, 0.5, 0.5], "c", 0) for i in range(12)]  # ties
     rows += [(200, None, "c", 0), (201, [1.0, None, 1.0, 1.0], "c", 0), (202, [float("nan")] * 4, "c", 0), (203, [float("inf"), 0.0, 0.0, 0.0], "c", 0), (None, [1.0] * 4, "c", 0), (204, [], "c", 0), (205, [1.0, 2.0], "c", 0), (5, [9.0] * 4, "c", 0), (0, [0.0] * 4, None, None)]
-    got = topk.top_k(frame(spark, rows), F.col("id") % 5 == 0, k=5)
+    got = topk.top_k(frame(spark, rows).repartition(3), F.col("id") % 5 == 0, k=5)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute([(r[0], r[1]) for r in rows], 5, lambda i: i % 5 == 0)
+
+
+def test_tiles_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    ids, matrix = np.arange(0, 40, 4), rng.integers(-9, 9, (40, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(40)), pa.array(matrix.tolist(), pa.list_(pa.int64()))], ["id", "vector"])
+    block = ids, matrix[ids], np.full(len(ids), -5), np.zeros(len(ids), np.int64)
+    run = lambda: [[c.to_pylist() for c in b.columns] for work in (topk._kept, lambda *a: topk._histogram(*a, width=2, span=60)) for b in work([batch, batch.slice(0, 0)], block, 3, 1.0)]
+    want = run()
+    monkeypatch.setattr(topk, "QUERIES_IN_TILE", 3)
+    monkeypatch.setattr(topk, "ROWS_IN_TILE", 7)
+    assert run() == want
+
+
+def test_unique_ids_with_odd_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4).astype(np.float32)], "c", 0) for i in range(60)]
+    rows += [(200, None, "c", 0), (205, [1.0, None, 1.0, 1.0], "c", 0), (210, [float("nan")] * 4, "c", 0), (None, [1.0] * 4, "c", 0), (215, [], "c", 0), (220, [1.0, 2.0], "c", 0), (221, [3.0, 2.0], "c", 0)]
+    got = topk.top_k(frame(spark, rows).repartition(3), F.col("id") % 5 == 0, k=5)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute([(r[0], r[1]) for r in rows], 5, lambda i: i % 5 == 0)
 
 
