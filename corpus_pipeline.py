@@ -12,7 +12,13 @@ before kept, and its decisions take effect:
 5. packing: the documents' pieces in bins.
 
 Stages 1, 2, 3 and 5 learn, parse, link or search; SQL can't express them, so
-``ORACLE_SQL`` is None, and tests compare each stage with a brute-force version.
+``ORACLE_SQL`` is None, and ``tests/llm/test_pipeline.py`` compares each stage with a brute-force version.
+
+Edge cases: rows with nulls in any column, empty texts and repeated rows go through as each
+operator's module states; without labels of two grades nothing is rejected; a document
+whose lines all recur elsewhere goes, one that was blank before stays; a row without an id stays; an empty
+table gives empty stages; further columns of ``documents``, whatever their names, pass through
+all stages but the last unchanged.
 """
 
 from __future__ import annotations
@@ -20,14 +26,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm._common import materialise, read_table
-from cairn.llm.line_dedup import drop_recurring_lines
+from cairn.llm.line_dedup import without_recurring_lines
 from cairn.llm.mixing import mix
 from cairn.llm.near_dedup import deduplicated
 from cairn.llm.packing import pack
-from cairn.llm.quality import graded, score, train
+from cairn.llm.quality import graded, selected, train
 
 KEEP_FROM = 0.5
 REPETITION = 2.0
@@ -35,13 +40,11 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train(docs, graded(read_table(spark, sf_dir, "labels")))
-    return score(docs, model, keep_columns=True).where(F.col("p_top") >= KEEP_FROM).select(*docs.columns)
+    return selected(docs, train(docs, graded(read_table(spark, sf_dir, "labels"))), KEEP_FROM)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = drop_recurring_lines(docs, min_tokens=1).where((F.col("lines_dropped") == 0) | (F.trim(F.translate("text", "\t\r\n", "   ")) != ""))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return without_recurring_lines(docs, min_tokens=1, length="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, repetition=REPETITION, keep_columns=True).select(*docs.columns)
+    return mix(docs, repetition=REPETITION, keep_columns=True, places=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
