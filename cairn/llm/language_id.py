@@ -15,14 +15,16 @@ Symbols are the bytes of the UTF-8 text with A-Z folded to a-z, every byte from
 0x80 up as itself, and one symbol for all other bytes.
 
 Bounds: a language's tree learns from at most ``DOCS_PER_LANGUAGE`` labelled
-documents (those with the smallest hashes of their ids), and the
-``MAX_CONTEXTS`` most frequent contexts are kept.  These are parameters; the
-broadcast table has at most MAX_CONTEXTS x 155 x languages entries.
+documents (those with the smallest hashes of their ids).  Of contexts ``MAX_CONTEXTS`` are
+kept, or as many as a table of ``MAX_TABLE_BYTES`` holds; every language has an equal share of
+them, and of that each order up to a fair part, so that neither many languages nor low orders
+crowd out the rest.  Within its share a language's most frequent contexts are kept.  These are parameters; the
+broadcast table is never larger.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with
 nothing to learn from every text is ``und``; ties go to the language first in
 alphabetical order; repeated rows are predicted each; an empty table gives an
-empty result; texts are read whole.
+empty result; other columns are ignored, whatever their names; texts are read whole.
 """
 
 from __future__ import annotations
@@ -35,11 +37,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._common import arrow_map
+from cairn.llm._common import arrow_map, named
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 1000
 MAX_CONTEXTS = 16_000
+MAX_TABLE_BYTES = 256 << 20
 #: Bytes scored at once; bounds memory only.
 PIECE = 1 << 20
 #: Evidence counts as that of at most so many bytes when it becomes a score.
@@ -79,6 +82,16 @@ def _grams(symbols: np.ndarray, alphabet: int) -> np.ndarray:
     return code
 
 
+def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, how often) of the texts' own symbols in their contexts; what runs from one text into the next does not count."""
+    symbols, starts = _symbols(texts)
+    code = _grams(symbols.astype(np.int64), SYMBOLS)
+    own = np.ones(len(code), bool)
+    for s in starts[1:-1]:
+        own[s - ORDER : s] = False
+    return np.unique(code[own], return_counts=True)
+
+
 @dataclass
 class PpmModel:
     languages: list[str]
@@ -150,6 +163,28 @@ class PpmModel:
         return names, np.where(some, score, 0.0).tolist()
 
 
+def _contexts(grams: list[tuple[np.ndarray, np.ndarray]], a: int, most: int) -> list[np.ndarray]:
+    """The contexts that are kept, by order: those met twice at least, the most frequent of each language within its share, each with all its shorter ones."""
+    levels = [np.zeros(1, np.int64)]
+    share = [max(0, most - 1) // max(1, len(grams))] * len(grams)
+    met: dict[int, np.ndarray] = {}
+    for order in range(1, ORDER + 1):
+        uniq, at = np.unique(np.concatenate([g // a % a**order for g, _ in grams]), return_inverse=True)
+        often = uniq[np.bincount(at, weights=np.concatenate([n for _, n in grams])) >= 2]
+        kept = []
+        for k, (g, n) in enumerate(grams):
+            own, at = np.unique(g // a % a**order, return_inverse=True)
+            times = np.bincount(at, weights=n)
+            good = np.isin(own, often) & np.isin(own % a ** (order - 1), met.get(k, levels[0]))
+            own, times = own[good], times[good]
+            first = own[np.argsort(-times, kind="stable")[: share[k] // (ORDER - order + 1)]]
+            share[k] -= len(first)
+            met[k] = first
+            kept.append(first)
+        levels.append(np.unique(np.concatenate(kept)))
+    return levels
+
+
 def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: int = MAX_CONTEXTS) -> PpmModel:
     """The frozen model from each language's counts of (context, symbol) codes over all ``SYMBOLS``."""
     languages = sorted(counts)
@@ -174,18 +209,7 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts:
             code = code * a + row
         uniq, at = np.unique(code, return_inverse=True)
         grams[lang] = uniq, np.bincount(at, weights=n)
-    # contexts of each order, the frequent ones first; order 0 always
-    levels: list[np.ndarray] = []
-    left = max_contexts
-    for order in range(ORDER + 1):
-        total: dict[str, np.ndarray] = {}
-        codes = np.concatenate([g // a % a**order for g, _ in grams.values()] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([n for _, n in grams.values()] or [np.zeros(0)])
-        uniq, at = np.unique(codes, return_inverse=True)
-        total = np.bincount(at, weights=weight, minlength=len(uniq))
-        keep = np.argsort(-total, kind="stable")[: max(left, 1)]
-        levels.append(np.sort(uniq[keep[total[keep] >= 2]]) if order else np.zeros(1, np.int64))
-        left = max(0, left - len(levels[-1]))
+    levels = _contexts(list(grams.values()), a, min(max_contexts, MAX_TABLE_BYTES // (4 * a * len(languages))))
     offset = np.cumsum([0] + [len(x) for x in levels])
     cost = np.zeros((int(offset[-1]), a, len(languages)), np.float32)
     for k, lang in enumerate(languages):
@@ -228,7 +252,7 @@ def held_out(key: Column | str, folds: int = 5) -> Column:
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> PpmModel:
     """Learns the trees from the labelled rows that are not :func:`held_out`."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("key"))
+    rows = df.select(named(key).alias("key"), named(text).alias("text"), named(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("key"))
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     order = F.shiftrightunsigned(F.xxhash64("key", F.lit(7)), 11) * F.lit(2.0**-53)
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * docs_per_language / n + 50 / n))) for k, n in sorted(found.items())]) if found else F.lit(0.0)
@@ -242,7 +266,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by.setdefault(k, []).append(t.encode("utf-8", "surrogatepass"))
         for k, texts in by.items():
-            uniq, n = np.unique(_grams(_symbols(texts)[0].astype(np.int64), SYMBOLS), return_counts=True)
+            uniq, n = gram_counts(texts)
             langs += [k] * len(uniq)
             codes.append(uniq)
             counts.append(n)
@@ -263,4 +287,4 @@ def identify(df: DataFrame, model: PpmModel, text: str = "text", key: str = "doc
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
     kind = df.schema[key].dataType.simpleString()
-    return arrow_map(df.select(F.col(key).alias("key"), F.col(text).alias("text")), rows, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return arrow_map(df.select(named(key).alias("key"), named(text).alias("text")), rows, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)

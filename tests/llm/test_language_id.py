@@ -32,8 +32,7 @@ def test_held_out_accuracy(docs):
 def model(rows):
     counts = {}
     for lang in sorted({x[1] for x in rows}):
-        code, n = np.unique(li._grams(li._symbols([x[0].encode() for x in rows if x[1] == lang])[0].astype(np.int64), li.SYMBOLS), return_counts=True)
-        counts[lang] = code, n
+        counts[lang] = li.gram_counts([x[0].encode() for x in rows if x[1] == lang])
     return li.build_model(counts)
 
 
@@ -98,6 +97,16 @@ def test_code_lengths_equal_a_plain_recursion():
             assert math.isclose(g, want, rel_tol=1e-4, abs_tol=1e-3)
 
 
+def test_languages_share_the_contexts(monkeypatch):
+    rows = texts(60) + [("щедрик щедрик щедрівочка " * 3, "uk", "s")]
+    counts = {lang: li.gram_counts([x[0].encode() for x in rows if x[1] == lang]) for lang in {x[1] for x in rows}}
+    small = li.build_model(counts, max_contexts=200)
+    assert small.cost.shape[0] <= 200 * small.alphabet
+    assert small.predict(["щедрик", "the thing where", "nicht über"])[0] == ["uk", "en", "de"]
+    monkeypatch.setattr(li, "MAX_TABLE_BYTES", 100_000)
+    assert li.build_model(counts).cost.nbytes <= 100_000
+
+
 def test_code_length_is_the_sum_over_symbols_and_pieces_change_nothing(monkeypatch):
     m = model(texts(60))
     some = ["the ship über", "", "q", "les être " * 50]
