@@ -179,20 +179,20 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
     known = classes.select("id", "n", "sig", F.col("n").alias("common"))
 
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    shared = _few_parts(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), 200_000)
     words, places = place_filter(shared.select("bucket"))
     likely_shared = rows.join(F.broadcast(words), F.shiftright(F.pmod("bucket", F.lit(places)), 6) == F.col("word")).where(F.expr(f"shiftright(bits, cast(pmod(bucket, {places}) & 63 as int)) & 1 = 1"))  # two million words at most
-    met = materialise(likely_shared.select("bucket", "id").join(shared, "bucket"))
+    met = _few_parts(likely_shared.select("bucket", "id").join(shared, "bucket"), 200_000)
     # the text that a group was made from is in most of the group's buckets, so the best pivot is who meets most others
     meets = met.groupBy("id").agg(F.sum("members").alias("meets"))
-    pivots = materialise(met.join(meets, "id").groupBy("bucket").agg(F.max_by("id", "meets").alias("pivot")))
+    pivots = _few_parts(met.join(meets, "id").groupBy("bucket").agg(F.max_by("id", "meets").alias("pivot")), 200_000)
     open_rows = _few_parts(met.select("bucket", "id").join(pivots, "bucket").where("id <> pivot"), 200_000)
 
     repeated = not sketches.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(id, shingles): the full sets of some classes, each from one of its texts."""
-        wanted = materialise(ids.join(classes.select("id", "class", "key"), "id"))
+        wanted = _few_parts(ids.join(classes.select("id", "class", "key"), "id"))
         words, places = place_filter(wanted.select(F.xxhash64("key")))
         place = F.pmod(F.xxhash64("key"), F.lit(places))
         some = source.where("key is not null").select("key", "text", place.alias("place")).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"))  # two million words at most
@@ -220,11 +220,11 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
     for turn in range(1 << 30):
         few = PIVOTS * GROWTH**turn
         # a bucket is decided once all its members are in one component
-        now = materialise(left.join(labels, "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component")))
+        now = _few_parts(left.join(labels, "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component")), 200_000)
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("of_it")).groupBy("bucket")
         sizes = sizes.agg(F.sum("of_it").alias("members"), F.max(F.struct("of_it", "component")).alias("most"), F.count("*").alias("components"))
         undecided = sizes.where("components > 1").select("bucket", "members", F.col("most.component").alias("main"), (F.col("members") - F.col("most.of_it")).alias("outside"))
-        undecided = materialise(undecided)
+        undecided = _few_parts(undecided)
         if undecided.isEmpty():
             break
         now = _few_parts(now.join(few_or_not(undecided), "bucket"), 200_000)
@@ -240,7 +240,7 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
         central = [F.min(F.struct(own.alias("own"), F.xxhash64("id", F.lit(i)), "id")).getField("id") for i in range(CENTRAL)]
         per = now.groupBy("bucket").agg(F.min("n").alias("smallest"), F.min(F.struct(own.alias("own"), "id")).getField("id").alias("ref"), *([F.array(*central).alias("central")] if turn == 0 else []))
         able = 100 * F.col("common") >= THRESHOLD * (F.col("n") + F.greatest("smallest", "common") - F.col("common"))
-        now = _few_parts(now.join(few_or_not(materialise(per)), "bucket").where(able), 200_000)
+        now = _few_parts(now.join(few_or_not(_few_parts(per)), "bucket").where(able), 200_000)
         # few outside the main component: with all of them as pivots nothing is left to compare; else the same ids in all buckets
         chosen, extra = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11) * F.lit(2.0**-53) < few / F.col("members"), []
         if turn == 0:
@@ -249,7 +249,7 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
             now = now.join(_against(now.select("id", "ref").distinct(), full), ["id", "ref"]).withColumn("beside", F.greatest(F.lit(0), F.col("beside") - own))
             extra = ["beside", *_LACKS]
         now = _few_parts(now.withColumn("is_pivot", F.when(F.col("outside") <= few, F.col("component") != F.col("main")).otherwise(chosen)), 200_000)
-        pivots = materialise(now.where("is_pivot").select(F.col("bucket").alias("p_bucket"), *[F.col(c).alias(f"p_{c}") for c in ("id", "component", "n", "common", *extra)]))
+        pivots = _few_parts(now.where("is_pivot").select(F.col("bucket").alias("p_bucket"), *[F.col(c).alias(f"p_{c}") for c in ("id", "component", "n", "common", *extra)]))
         most = F.least("common", "p_common")
         if extra:
             most = F.least(most, F.col("ref_n") - sum((F.bit_count(F.col(c).bitwiseOR(F.col(f"p_{c}"))) for c in _LACKS), F.lit(0)) + F.least("beside", "p_beside"))
@@ -262,8 +262,8 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
 
     # a component's key is the smallest of its classes'
     keyed = labels.join(classes.select("id", "key"), "id")
-    least = keyed.groupBy("component").agg(F.min("key").alias("least"))
-    named_ids = materialise(labels.join(least, "component").select("id", F.col("component").alias("label"), "least"))
+    least = _few_parts(keyed.groupBy("component").agg(F.min("key").alias("least")))
+    named_ids = _few_parts(labels.join(small_or_not(least), "component").select("id", F.col("component").alias("label"), "least"))
     final = classes.select("id", "class", "key").join(small_or_not(named_ids), "id", "left").select("class", F.coalesce("label", "id").alias("label"), F.coalesce("least", "key").alias("least"))
     members = sketches.select("key", "mark", "n", F.when(F.col("key").isNotNull(), F.col("class")).alias("class")).join(final, "class", "left")
     return members.select("key", "mark", "n", "label", F.coalesce("least", "key").alias("component"))
