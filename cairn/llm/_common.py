@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairn.shipping import ship
-from cairn.sources.scratch import materialise
+from cairn.sources.scratch import materialise, stored_rows
 
-__all__ = ["arrow_map", "filter_array", "materialise", "named", "packed", "place_filter", "read_table", "small_or_not", "unpacked"]
+__all__ = ["arrow_map", "filter_array", "materialise", "named", "packed", "place_filter", "read_table", "small_or_not", "stored_rows", "unpacked"]
 
 #: Rows that a Python step handles at once; bounds its memory, not its input.
 ROWS_AT_ONCE = 512
@@ -40,7 +40,7 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 def small_or_not(df: DataFrame, most: int = 200_000) -> DataFrame:
     """A materialised frame with a broadcast hint where it has at most ``most`` rows; as it is, for a shuffled join, beyond."""
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if stored_rows(df) <= most else df
 
 
 def named(column: str) -> Column:
@@ -62,13 +62,14 @@ def unpacked(row: str, columns: list[str], **instead: Column) -> list[Column]:
 MOST_PLACES = 1 << 27
 
 
-def place_filter(hashes: DataFrame) -> tuple[DataFrame, int]:
+def place_filter(hashes: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
     """(words, places): a filter of one column of BIGINT hashes, 64-bit words (word, bits) of places ``hash mod places``.
 
     It has 32 places a hash or more, up to ``MOST_PLACES``, so at most two million rows; beyond that it lets more through, and what it let through is to be checked exactly.
     """
+    n = stored_rows(hashes) if n is None else n
     hashes = hashes.toDF("hash")
-    places = min(MOST_PLACES, 1 << max(10, int(32 * hashes.count() - 1).bit_length()))
+    places = min(MOST_PLACES, 1 << max(10, int(32 * n - 1).bit_length()))
     at = hashes.select(F.pmod("hash", F.lit(places)).alias("place"))
     bits = at.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
     return bits.groupBy("word").agg(F.bit_or("bit").alias("bits")), places

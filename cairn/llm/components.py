@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import materialise
+from cairn.llm._common import materialise, stored_rows
 from cairn.shipping import ship
 
 #: Edges that one task contracts; bounds its memory.
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     ship(edges.sparkSession)
     now = materialise(edges.select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")).where("u <> v").distinct())
-    tasks = max(1, math.ceil(now.count() / EDGES_AT_ONCE))
+    tasks = max(1, math.ceil(stored_rows(now) / EDGES_AT_ONCE))
     now = materialise(now.coalesce(tasks).mapInArrow(_contracted, "u long, v long"))
     before = None
     while tasks > 1:

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import arrow_map, materialise, small_or_not
+from cairn.llm._common import arrow_map, materialise, small_or_not, stored_rows
 from cairn.sources.scratch import scratch_path
 
 #: Parts that only their class or id calls the content count as such from this share of the page's text.
@@ -393,7 +393,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], out)
 
     schema = f"key {made.schema['key'].dataType.simpleString()}, url {made.schema['url'].dataType.simpleString()}, text string, n_chars long"
-    if tree.count() <= BROADCAST_ROWS:
+    if stored_rows(tree) <= BROADCAST_ROWS:
         by_host: dict[str, dict[int, tuple[float, float]]] = {}
         for r in tree.toLocalIterator():
             by_host.setdefault(r["host"], {})[r["node"]] = r["value"], r["weight"]

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import arrow_map, materialise, named, packed, place_filter, small_or_not, unpacked
+from cairn.llm._common import arrow_map, materialise, named, packed, place_filter, small_or_not, stored_rows, unpacked
 from cairn.llm.components import connected_components
 
 WORDS = 5
@@ -159,8 +159,10 @@ def _against(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 def _few_parts(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Materialised, in no more parts than its rows need: parts of a few rows cost files and tasks in every later shuffle."""
-    out = materialise(df)
-    return out.coalesce(max(8, out.count() // rows))
+    stored = materialise(df)
+    out = stored.coalesce(max(8, stored_rows(stored) // rows))
+    out._stored_rows = stored_rows(stored)
+    return out
 
 
 def few_or_not(df: DataFrame) -> DataFrame:
@@ -180,7 +182,7 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
 
     rows = classes.select("id", F.explode("bands").alias("bucket"))
     shared = _few_parts(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), 200_000)
-    words, places = place_filter(shared.select("bucket"))
+    words, places = place_filter(shared.select("bucket"), stored_rows(shared))
     likely_shared = rows.join(F.broadcast(words), F.shiftright(F.pmod("bucket", F.lit(places)), 6) == F.col("word")).where(F.expr(f"shiftright(bits, cast(pmod(bucket, {places}) & 63 as int)) & 1 = 1"))  # two million words at most
     met = _few_parts(likely_shared.select("bucket", "id").join(shared, "bucket"), 200_000)
     # the text that a group was made from is in most of the group's buckets, so the best pivot is who meets most others
@@ -193,7 +195,7 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
     def sets_of(ids: DataFrame) -> DataFrame:
         """(id, shingles): the full sets of some classes, each from one of its texts."""
         wanted = _few_parts(ids.join(classes.select("id", "class", "key"), "id"))
-        words, places = place_filter(wanted.select(F.xxhash64("key")))
+        words, places = place_filter(wanted.select(F.xxhash64("key")), stored_rows(wanted))
         place = F.pmod(F.xxhash64("key"), F.lit(places))
         some = source.where("key is not null").select("key", "text", place.alias("place")).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"))  # two million words at most
         made = arrow_map(some.where(F.expr("shiftright(bits, cast(place & 63 as int)) & 1 = 1")).select("key", "text"), _sets, f"key {kind}, class binary, shingles array<bigint>")
@@ -225,7 +227,7 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
         sizes = sizes.agg(F.sum("of_it").alias("members"), F.max(F.struct("of_it", "component")).alias("most"), F.count("*").alias("components"))
         undecided = sizes.where("components > 1").select("bucket", "members", F.col("most.component").alias("main"), (F.col("members") - F.col("most.of_it")).alias("outside"))
         undecided = _few_parts(undecided)
-        if undecided.isEmpty():
+        if not stored_rows(undecided):
             break
         now = _few_parts(now.join(few_or_not(undecided), "bucket"), 200_000)
         if full is None:
@@ -287,9 +289,9 @@ def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         least = kept.groupBy("key", "label", "alone").agg(F.min("mark").alias("stays")).toDF("l_key", "l_label", "l_alone", "stays")
         same = kept.join(least, (F.col("key") == F.col("l_key")) & F.col("label").eqNullSafe(F.col("l_label")) & F.col("alone").eqNullSafe(F.col("l_alone")))
         gone = gone.unionByName(same.where("mark <> stays").select("key", "mark"))
-    gone = materialise(gone.distinct())
+    gone = materialise(gone.distinct().toDF("g_key", "g_mark"))
     rows = df.select(named(key).alias("key"), F.xxhash64(named(text)).alias("mark"), packed(df).alias("row"))
-    out = rows.join(small_or_not(gone.toDF("g_key", "g_mark")), (F.col("key") == F.col("g_key")) & (F.col("mark") == F.col("g_mark")), "left_anti")
+    out = rows.join(small_or_not(gone), (F.col("key") == F.col("g_key")) & (F.col("mark") == F.col("g_mark")), "left_anti")
     if repeated:
         out = out.where("key is not null").dropDuplicates(["key", "mark"]).unionByName(out.where("key is null"))
     return out.select(*unpacked("row", df.columns))
