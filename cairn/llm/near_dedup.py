@@ -165,6 +165,11 @@ def _few_parts(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return out
 
 
+def _release(df: DataFrame) -> None:
+    """Has the driver's JVM collect what earlier rounds left: Spark removes their broadcasts, shuffle files and checkpoints only once they are collected, which an idle heap would put off."""
+    df.sparkSession._jvm.System.gc()
+
+
 def few_or_not(df: DataFrame) -> DataFrame:
     """A materialised frame for a join: broadcast up to ``FEW_ROWS`` rows."""
     return small_or_not(df, FEW_ROWS)
@@ -221,6 +226,7 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
     full = facts = None
     for turn in range(1 << 30):
         few = PIVOTS * GROWTH**turn
+        _release(df)
         # a bucket is decided once all its members are in one component
         now = _few_parts(left.join(labels, "id", "left").select(*left.columns, F.coalesce("component", "id").alias("component")), 200_000)
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("of_it")).groupBy("bucket")
@@ -258,10 +264,13 @@ def _members(df: DataFrame, text: str, key: str) -> DataFrame:
         enough = 100 * most >= THRESHOLD * (F.col("n") + F.col("p_n") - most)
         pairs = now.join(few_or_not(pivots), (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("p_component")) & enough)
         pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-        links = confirmed(_few_parts(likely_of(pairs, facts)), full)
+        likely = _few_parts(likely_of(pairs, facts))
+        _release(df)
+        links = confirmed(likely, full)
         labels = connected_components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
         left = now.where((F.col("outside") > few) & ~F.col("is_pivot")).select("bucket", "id", "n", "common")
 
+    _release(df)
     # a component's key is the smallest of its classes'
     keyed = labels.join(classes.select("id", "key"), "id")
     least = _few_parts(keyed.groupBy("component").agg(F.min("key").alias("least")))
