@@ -52,3 +52,16 @@ def stored_rows(df: DataFrame) -> int:
     """The rows of a frame; without a job where :func:`materialise` made it."""
     known = getattr(df, "_stored_rows", None)
     return df.count() if known is None else known
+
+
+def forget_sizes(df: DataFrame) -> DataFrame:
+    """A stored frame without the optimizer's guess of its size.
+
+    A checkpoint keeps the guess of the plan that made it, and a join's guess is the product of its sides', so over many rounds of
+    joins the number itself would fill the driver's memory.
+    """
+    spark = df.sparkSession
+    plain = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
+    out = DataFrame(plain, spark)
+    out._stored_rows = stored_rows(df)
+    return out
