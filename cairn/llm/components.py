@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm._common import materialise, stored_rows
 from cairn.shipping import ship
+from cairn.sources.scratch import forget_sizes
 
 #: Edges that one task contracts; bounds its memory.
 EDGES_AT_ONCE = 200_000
@@ -47,9 +48,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     partial aggregation and a join, so an id with very many links is split like any skewed key.  No edges give no rows.
     """
     ship(edges.sparkSession)
-    now = materialise(edges.select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")).where("u <> v").distinct())
+    now = forget_sizes(materialise(edges.select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")).where("u <> v").distinct()))
     tasks = max(1, math.ceil(stored_rows(now) / EDGES_AT_ONCE))
-    now = materialise(now.coalesce(tasks).mapInArrow(_contracted, "u long, v long"))
+    now = forget_sizes(materialise(now.coalesce(tasks).mapInArrow(_contracted, "u long, v long")))
     before = None
     while tasks > 1:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -62,5 +63,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # now every edge goes from the greater to the smaller id
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = materialise(small.where("u <> v").distinct())
+        now = forget_sizes(materialise(small.where("u <> v").distinct()))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm._common import arrow_map, materialise, named, packed, place_filter, small_or_not, stored_rows, unpacked
 from cairn.llm.components import connected_components
+from cairn.sources.scratch import forget_sizes
 
 WORDS = 5
 HASHES = 128
@@ -159,7 +160,7 @@ def _against(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 def _few_parts(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Materialised, in no more parts than its rows need: parts of a few rows cost files and tasks in every later shuffle."""
-    stored = materialise(df)
+    stored = forget_sizes(materialise(df))
     out = stored.coalesce(max(8, stored_rows(stored) // rows))
     out._stored_rows = stored_rows(stored)
     return out
