@@ -76,6 +76,12 @@ def words_of(keys: list[bytes], m: int, k: int) -> dict[int, int]:
     return dict(zip(word.tolist(), [int(v) for v in values], strict=True))
 
 
+def may_contain(words: np.ndarray, m: int, k: int, keys: list[bytes]) -> np.ndarray:
+    """Whether the filter may hold each of the keys at hand; ``words`` are all of its 64-bit words, in order."""
+    at = positions_of(keys, m, k)
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=1)
+
+
 def build_words(keys: DataFrame, key: str, m: int, k: int) -> DataFrame:
     """The filter over all keys: (word, bits), the 64-bit words that are not zero.  Words are OR-ed before they are shuffled."""
     bits = keys.select(F.explode(positions(F.col(key), m, k)).alias("bit"))

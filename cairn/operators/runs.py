@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import math
+import heapq
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.operators import lww
-from cairn.sources.scratch import materialise
+from cairn.shipping import ship
 
 FLUSH_BYTES = 4 << 20
 MERGE_AT = 4
@@ -28,20 +31,53 @@ def zone_map(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("entries"), F.count_if("deleted").alias("tombstones"))
 
 
+def layers_of(zones: Iterable[tuple[bytes, bytes]]) -> list[tuple[list[bytes], list[bytes], list[int]]]:
+    """Ranges (low, high) in as few layers as hold no two that meet: the lows, highs and places of each layer, in the order of keys."""
+    layers: list[tuple[list[bytes], list[bytes], list[int]]] = []
+    ends: list[tuple[bytes, int]] = []
+    for low, high, place in sorted((*z, i) for i, z in enumerate(zones)):
+        at = heapq.heappop(ends)[1] if ends and ends[0][0] < low else len(layers)
+        if at == len(layers):
+            layers.append(([], [], []))
+        for column, v in zip(layers[at], (low, high, place), strict=True):
+            column.append(v)
+        heapq.heappush(ends, (high, at))
+    return layers
+
+
 def candidate_runs(zones: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, run): the runs whose key range holds an asked key.
 
-    There are few runs as a rule (merged at four); of any number, at most ``ZONES_AT_ONCE`` are broadcast at a time, and
-    the asked keys meet them in as many blocks as that takes.
+    Ranges lie in layers that each hold no two that meet (files of one write are one layer), and an asked key is searched in
+    each layer by bisection, so it costs as much as ranges lie over each other, however many runs there are.
+    At most ``ZONES_AT_ONCE`` are searched at a time, and the asked keys meet them in as many blocks as that takes.
     """
-    zones = zones.select("run", "min_key", "max_key")
-    asked = keys.select("key").distinct()
-    blocks = max(1, math.ceil(zones.count() / ZONES_AT_ONCE))
-    if blocks > 1:
-        zones = zones.withColumn("block", F.ntile(blocks).over(Window.orderBy("run")))  # one short row a run
-        zones = materialise(zones)
-    parts = [zones if blocks == 1 else zones.where(F.col("block") == i + 1).drop("block") for i in range(blocks)]
-    return reduce(DataFrame.unionByName, [asked.join(F.broadcast(z), F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", "run") for z in parts])
+    ship(keys.sparkSession)
+    known = zones.select("run", F.col("min_key").cast("binary").alias("low"), F.col("max_key").cast("binary").alias("high")).where("low IS NOT NULL")
+    asked = keys.select("key").distinct().select("key", F.col("key").cast("binary").alias("raw")).where("raw IS NOT NULL")
+    table = known.toArrow().sort_by("low").combine_chunks()  # one short row a run
+    schema = T.StructType([T.StructField("key", keys.schema["key"].dataType), T.StructField("run", zones.schema["run"].dataType)])
+
+    def search(part: pa.Table) -> DataFrame:
+        names = pa.concat_arrays([pa.array([], part["run"].type), *part["run"].chunks])
+        layers = layers_of(zip(part["low"].to_pylist(), part["high"].to_pylist(), strict=True))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows: list[int] = []
+                found: list[int] = []
+                raw = batch.column(1).to_pylist()
+                for lows, highs, places in layers:
+                    for i, key in enumerate(raw):
+                        at = bisect_right(lows, key) - 1
+                        if at >= 0 and key <= highs[at]:
+                            rows.append(i)
+                            found.append(places[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), names.take(pa.array(found, pa.int64()))], ["key", "run"])
+
+        return asked.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, [search(table.slice(at, ZONES_AT_ONCE)) for at in range(0, max(1, table.num_rows), ZONES_AT_ONCE)])
 
 
 def compact(runs: DataFrame) -> DataFrame:

@@ -9,10 +9,14 @@ read, as their records have no marks to split at.
 from __future__ import annotations
 
 import itertools
+import math
 import struct
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +26,10 @@ from cairn.functions import bloom
 from cairn.functions.codec import OVERHEAD, Record, decode_records, encode_record
 from cairn.operators.runs import FLUSH_BYTES, candidate_runs
 from cairn.shipping import ship
+from cairn.sources.scratch import materialise
 
 BLOCK_BYTES = 4096
+KEYS_AT_ONCE = 100_000
 FOOTER = struct.Struct(">5Q")
 RATE = 0.01
 
@@ -52,27 +58,41 @@ class Table:
         for b in self.blocks:
             yield from decode_block(self.data[b.offset : b.offset + b.length])
 
+    @cached_property
+    def words(self) -> np.ndarray:
+        """The filter's 64-bit words, those of zero too."""
+        m, _, words = self.bloom
+        out = np.zeros((m + 63) // 64, np.uint64)
+        out[np.fromiter(words.keys(), np.int64, len(words))] = np.fromiter(words.values(), np.uint64, len(words))
+        return out
+
+    @cached_property
+    def first_keys(self) -> list[bytes]:
+        return [b.first_key for b in self.blocks]
+
     def get(self, key: bytes) -> Record | None:
         """The entry of a key: out of range, or by the filter, or in the one block that can hold it."""
-        if not self.blocks or key < self.min_key or key > self.max_key or not may_contain(self.bloom, key):
-            return None
-        at = max((i for i, b in enumerate(self.blocks) if b.first_key <= key), default=0)
-        b = self.blocks[at]
-        for r in decode_block(self.data[b.offset : b.offset + b.length]):
-            if r.key >= key:
-                return r if r.key == key else None
-        return None
+        return next((r for _, r in self.get_all([key])), None)
+
+    def get_all(self, keys: list[bytes]) -> Iterator[tuple[int, Record]]:
+        """(place among the keys, entry) of those that the table holds, as by :meth:`get`; the filter is asked for all of
+        them at once, and a block is decoded once for all that it can hold."""
+        asked = [i for i, key in enumerate(keys) if self.blocks and self.min_key <= key <= self.max_key]
+        m, k, _ = self.bloom
+        asked = list(itertools.compress(asked, bloom.may_contain(self.words, m, k, [keys[i] for i in asked]).tolist()))
+        places: dict[int, list[int]] = {}
+        for i in asked:
+            places.setdefault(max(bisect_right(self.first_keys, keys[i]) - 1, 0), []).append(i)
+        for at, those in places.items():
+            b = self.blocks[at]
+            entries = {r.key: r for r in reversed(decode_block(self.data[b.offset : b.offset + b.length]))}
+            yield from ((i, entries[keys[i]]) for i in those if keys[i] in entries)
 
 
 def _text(data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + data
 
 
-def may_contain(filter_: tuple[int, int, dict[int, int]], key: bytes) -> bool:
-    m, k, words = filter_
-    return all(words.get(b // 64, 0) >> b % 64 & 1 for b in bloom.positions_of([key], m, k)[0].tolist())
-
-
 def cut_blocks(sizes: Iterable[int], target: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """(entries, payload bytes) of each block: entries go in while the payload, its count included, is below the target."""
     n, payload = 0, 4
@@ -194,25 +214,48 @@ def sstable_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def get_from_sstables(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(key, path, value, deleted) of the asked keys that table files hold: a file is read for the keys of its range only, its filter is asked, then one block."""
+    """(key, path, value, deleted) of the asked keys that table files hold: a file is read for the keys of its range only, its filter is asked, then one block.
+
+    A file's keys are dealt to tasks of about ``KEYS_AT_ONCE``, which each get the file first and then read their keys as a stream.
+    """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 t = decode_table(batch.column(1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([t.min_key.decode()]), pa.array([t.max_key.decode()])], ["run", "min_key", "max_key"])
-
-    def find(asked: pa.Table, file: pa.Table) -> pa.Table:
-        found: list[tuple[str, Record]] = []
-        if asked.num_rows and file.num_rows:
-            table = decode_table(file["content"][0].as_py())
-            found = [(k, r) for k in asked["key"].to_pylist() if (r := table.get(k.encode())) is not None]
-        name = file["path"][0].as_py() if file.num_rows else None
-        return pa.table({"key": pa.array([k for k, _ in found], pa.string()), "path": pa.array([name] * len(found), pa.string()), "value": pa.array([r.value for _, r in found], pa.binary()), "deleted": pa.array([r.deleted for _, r in found], pa.bool_())})
-
-    zones = _files(spark, path, "sst").mapInArrow(ranges, "run string, min_key string, max_key string")
-    asked = candidate_runs(zones, keys)
-    return asked.groupBy("run").cogroup(_files(spark, path, "sst").groupBy("path")).applyInArrow(find, "key string, path string, value binary, deleted boolean")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([t.min_key], pa.binary()), pa.array([t.max_key], pa.binary())], ["path", "min_key", "max_key"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, table = None, None
+        for batch in batches:
+            _, key, path, content = batch.columns
+            starts = {0, batch.num_rows, *np.flatnonzero(path.is_valid().to_numpy(zero_copy_only=False)).tolist()}
+            for at, end in itertools.pairwise(sorted(starts)):
+                if path[at].is_valid:
+                    name, table = path[at].as_py(), decode_table(content[at].as_py())
+                    at += 1
+                asked = key.slice(at, end - at)
+                found = list(table.get_all(asked.cast(pa.binary()).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [asked.take(pa.array([i for i, _ in found], pa.int64())), pa.array([name] * len(found), pa.string()), pa.array([r.value for _, r in found], pa.binary()), pa.array([r.deleted for _, r in found], pa.bool_())],
+                    ["key", "path", "value", "deleted"],
+                )
+
+    zones = _files(spark, path, "sst").mapInArrow(ranges, "path string, min_key binary, max_key binary").collect()  # one short row a file
+    numbered = spark.createDataFrame([(i, z["min_key"], z["max_key"]) for i, z in enumerate(zones)], "run int, min_key binary, max_key binary")
+    asked = materialise(candidate_runs(numbered, keys))
+    dealt: list[tuple[int, str, int, int]] = []
+    tasks = 0
+    for r in asked.groupBy("run").count().collect():
+        parts = math.ceil(r["count"] / KEYS_AT_ONCE)
+        dealt.append((r["run"], zones[r["run"]]["path"], tasks, parts))
+        tasks += parts
+    plan = F.broadcast(spark.createDataFrame(dealt, "run int, path string, first int, parts int"))
+    none = F.lit(None)
+    tables = _files(spark, path, "sst").join(plan, "path").select(F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("task"), none.cast("string").alias("key"), "path", "content")
+    wanted = asked.join(plan, "run").select((F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int").alias("task"), "key", none.cast("string").alias("path"), none.cast("binary").alias("content"))
+    rows = tables.unionByName(wanted).repartitionById(max(tasks, 1), "task").sortWithinPartitions("task", F.col("key").asc_nulls_first())
+    return rows.mapInArrow(find, "key string, path string, value binary, deleted boolean")
 
 
 @dataclass

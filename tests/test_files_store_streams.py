@@ -180,3 +180,41 @@ def test_streams_take_late_changes_and_restarts(spark, log, tmp_path):
     stream = spark.readStream.schema(lww.CHANGE).parquet(source)
     streams.replicate(stream, f"{out}2", f"{tmp_path}/checkpoint2").awaitTermination()
     assert {r["key"] for r in streams.read_latest(spark, f"{out}2").collect()} == {"a", "b", "c"}
+
+
+def test_keys_asked_at_once_share_the_filter_and_the_blocks(monkeypatch):
+    entries = [Record(f"key-{i:05d}".encode(), None if i % 7 == 0 else b"v%d" % i, i % 7 == 0) for i in range(0, 4000, 2)]
+    table = files.decode_table(files.encode_table(entries))
+    calls = {"filter": 0, "block": 0}
+    for name, module, f in (("filter", files.bloom, "positions_of"), ("block", files, "decode_block")):
+        monkeypatch.setattr(module, f, lambda *a, name=name, f=getattr(module, f): calls.update({name: calls[name] + 1}) or f(*a))
+    asked = [f"key-{i:05d}".encode() for i in reversed(range(-5, 4005))] + [b"", b"a", b"z", b"key-00000x"]
+    held = {r.key: r for r in entries}
+    assert {asked[i]: r for i, r in table.get_all(asked)} == {k: held[k] for k in asked if k in held} == held
+    assert calls["filter"] == 1 and calls["block"] <= len(table.blocks)
+    assert list(table.get_all([])) == []
+
+
+def test_keys_of_one_table_file_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    uri = f"file://{tmp_path}/sst"
+    rows = [(f"k-{i:04d}", None if i % 5 == 0 else b"v%d" % i, i % 5 == 0) for i in range(0, 2000, 2)] + [("", b"", False), ("ž-1", b"x", False)]
+    files.write_sstables(spark.createDataFrame(rows, "key string, value binary, deleted boolean"), uri)
+    assert len(list((tmp_path / "sst").glob("*.sst"))) == 1
+    monkeypatch.setattr(files, "KEYS_AT_ONCE", 100)
+    asked = spark.createDataFrame([(f"k-{i:04d}",) for i in range(3000)] + [("",), ("ž-1",), ("ž-2",), (None,), ("k-0002",)], "key string")
+    got = files.get_from_sstables(spark, uri, asked)
+    parts = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["key"], None if r["value"] is None else bytes(r["value"]), r["deleted"]) for r in parts) == sorted(rows)
+    sizes = [sum(r["task"] == t for r in parts) for t in {r["task"] for r in parts}]
+    assert len(sizes) == 31 and max(sizes) <= 200
+    assert files.get_from_sstables(spark, uri, asked.where("key = 'ž-2'")).collect() == []
+
+
+def test_each_of_several_table_files_is_asked(spark, tmp_path):
+    uri = f"file://{tmp_path}/sst"
+    for n in range(3):  # later writes overlap the earlier ones
+        files.write_sstables(spark.range(n * 40, 100 + n * 40).select(F.format_string("k-%03d", "id").alias("key"), F.lit(f"v{n}").cast("binary").alias("value"), F.lit(False).alias("deleted")), uri)
+    got = files.get_from_sstables(spark, uri, spark.range(200).select(F.format_string("k-%03d", "id").alias("key")))
+    want = sorted((f"k-{i:03d}", f"v{n}".encode()) for n in range(3) for i in range(n * 40, 100 + n * 40))
+    assert sorted((r["key"], bytes(r["value"])) for r in got.collect()) == want
+    assert got.select("path").distinct().count() == 3

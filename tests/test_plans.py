@@ -1,5 +1,6 @@
 """Plans that must stay as they are at any size, and operators used without the driver's entry."""
 
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -60,6 +61,18 @@ def test_many_zones_meet_keys_in_blocks(spark, log, monkeypatch):
     assert sorted(map(tuple, runs.candidate_runs(zones, asked).collect())) == want
 
 
+def test_zones_that_overlap_are_searched_in_layers_not_row_by_row(spark):
+    chance = random.Random(3)
+    key = lambda: "".join(chance.choices("abž", k=chance.randint(0, 3)))
+    rows = [(i, *sorted((key(), key()))) for i in range(40)] + [(40, "", "žžž"), (41, None, None)]
+    zones, keys = spark.createDataFrame(rows, "run int, min_key string, max_key string"), [key() for _ in range(60)]
+    got = runs.candidate_runs(zones, spark.createDataFrame([(k,) for k in [*keys, None]], "key string"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, i) for k in set(keys) for i, low, high in rows if low is not None and low <= k <= high)
+    assert "NestedLoop" not in plan(got)
+    assert [places for _, _, places in runs.layers_of([(b"a", b"b"), (b"c", b"d"), (b"a", b"z"), (b"d", b"e"), (b"f", b"g")])] == [[0, 1, 4], [2], [3]]
+    assert runs.candidate_runs(zones.limit(0), spark.createDataFrame([("a",)], "key string")).collect() == []
+
+
 def test_flush_threshold(spark, tmp_path):
     rows = lambda name, n, size: spark.range(n).select(F.format_string(f"{name}-%05d", "id").alias("key"), F.repeat(F.lit("v"), size).cast("binary").alias("value"))
     store = KeyValueStore(spark, f"file://{tmp_path}/one", flush_bytes=8192)
